@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +31,16 @@ def word_count(text: Column) -> Column:
 def words(text: Column, separators: str = SPACE) -> Column:
     """The words of a text as an array; null, empty and all-separator texts give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), separators), lambda w: w != "")
+
+
+def by_value(module: str) -> None:
+    """Send this module's functions to executors whole, so that they need not have the library installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, to be shuffled.
+
+    ``df`` is a written table, of which counting rows reads only the file footers.
+    """
+    return F.broadcast(df) if df.count() <= rows else df

@@ -1,9 +1,18 @@
 """Queries of this folder, by name, and their DuckDB counterparts."""
 
-from riskloom.llm import mixing, sharding
+from riskloom.llm import decontamination, line_dedup, mixing, quality, sharding, simhash, toxicity, urls
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
+    "op2_simhash": simhash.op2_simhash,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op7_urls": urls.op7_urls,
+    "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_decontamination": decontamination.OP1_SQL,
+    "op3_line_dedup": line_dedup.OP3_SQL,
+}
