@@ -44,3 +44,12 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     ``df`` is a written table, of which counting rows reads only the file footers.
     """
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def each(df: DataFrame, array: Column, name: str, *keep: str | Column) -> DataFrame:
+    """A row for each element that isn't null.
+
+    A plain explode would make the planner test the array's size below it, which computes the array once more with
+    all that it is made of put in line, and so once for each word.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

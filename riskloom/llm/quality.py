@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import SPACE, sized, table, words
+from riskloom.llm.common import SPACE, each, sized, table, words
 from riskloom.session import cut
 
 BUCKETS = 10_000
@@ -63,7 +63,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[
     ids = trusted.select(F.col("doc_id").alias("q_id")).filter(F.col("q_id").isNotNull()).distinct()
     ids = sized(cut(ids), BROADCAST_ROWS)
     d = docs.select("doc_id", words(F.col("text")).alias("q_words")).select("doc_id", features(buckets).alias("f"))
-    d = d.join(ids, F.col("doc_id") == F.col("q_id"), "left").select(F.explode("f").alias("b"), F.col("q_id").isNotNull().cast("long").alias("t"))
+    d = each(d.join(ids, F.col("doc_id") == F.col("q_id"), "left"), F.col("f"), "b", F.col("q_id").isNotNull().cast("long").alias("t"))
     raw, target = [0] * buckets, [0] * buckets
     for r in d.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t")).collect():
         raw[r.b], target[r.b] = r.n, r.t
