@@ -11,7 +11,7 @@ from riskloom.llm.common import SPACE, each, sized, table, words
 from riskloom.session import cut
 
 BUCKETS = 10_000
-THRESHOLD = -0.15  # mean log-likelihood ratio per n-gram, in nats
+THRESHOLD = -0.03  # mean log-likelihood ratio per n-gram, in nats: a text this much likelier under the raw corpus goes
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of words
 SYMBOLS = "#*$%&|<>"
