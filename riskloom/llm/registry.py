@@ -1,12 +1,14 @@
 """Queries of this folder, by name, and their DuckDB counterparts."""
 
-from riskloom.llm import decontamination, line_dedup, mixing, quality, sharding, simhash, toxicity, urls
+from riskloom.llm import decontamination, line_dedup, lm_scoring, mixing, quality, sharding, simhash, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_simhash": simhash.op2_simhash,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_urls": urls.op7_urls,
     "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
