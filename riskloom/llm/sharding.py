@@ -77,8 +77,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges_a_shard: int = RANGES_A_
     """``docs`` with shard (0 to ``shards`` - 1) and slot (0, 1, ... in each shard); law: near equal bytes.
 
     The key is a 64-bit hash of the text, so equal texts stand together. Keys sampled by size give the splitters of
-    fine ranges; exact sizes of all ranges are summed in one pass; an overfull range is cut into parts: by a hash
-    of the key if it is above twice the mean, by a hash of the row if one key alone fills half a shard. Whole units then go
+    fine ranges; exact sizes of all ranges are summed in one pass; a range above twice the mean is cut into parts
+    by a hash of the key, and a key that alone fills half a shard becomes a range of its own, cut by a hash of the row. Whole units then go
     to shards. The driver holds only the units, of which there are at most a few times shards * ranges_a_shard;
     slots are ranks in a unit plus the rows of the units ahead, so no task holds a shard. Copies of one
     text stay in one shard unless they alone fill half of one.
@@ -96,15 +96,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges_a_shard: int = RANGES_A_
     cuts = splitters(sizes, ranges, total)
 
     u_range = rank_in(F.col("s_key"), cuts) if cuts else F.lit(0)
-    ranged = sizes.withColumn("u_range", u_range)
-    per = {r.u_range: (r.b, r.one) for r in ranged.groupBy("u_range").agg(F.sum("s_size").alias("b"), (F.min("s_key") == F.max("s_key")).alias("one")).collect()}
     even = lambda b, n: -(-b * n // max(1, total))  # noqa: E731  parts of about total / n
-    parts = {r: (even(b, shards * 4 if one else ranges), one) for r, (b, one) in per.items() if (b * shards * 2 > total if one else b * ranges > 2 * total)}
-    u_part = F.lit(0)
-    if parts:
-        found = F.create_map(*[F.lit(x) for r, (n, one) in parts.items() for x in (r, n if one else -n)])
-        n = F.coalesce(F.try_element_at(found, F.col("u_range")), F.lit(0))
-        u_part = F.when(n > 0, F.pmod(F.col("s_id"), n)).when(n < 0, F.pmod(F.xxhash64("s_key", F.lit(3)), -n)).otherwise(F.lit(0)).cast("int")
+    per = {r.u_range: r.b for r in sizes.groupBy(u_range.alias("u_range")).agg(F.sum("s_size").alias("b")).collect()}
+    over = {r: even(b, ranges) for r, b in per.items() if b * ranges > 2 * total}
+    keys = sizes.filter(u_range.isin(list(over))).groupBy("s_key").agg(F.sum("s_size").alias("b")) if over else None
+    heavy = sorted((r.s_key, even(r.b, shards * 4)) for r in keys.filter(F.col("b") * shards * 2 > total).collect()) if over else []  # fewer than 2 * shards
+    look = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    u_part = F.pmod(F.xxhash64("s_key", F.lit(3)), F.coalesce(F.try_element_at(look(over.items()), u_range), F.lit(1))) if over else F.lit(0)
+    if heavy:  # a range of its own for each, cut by the hash of the row
+        own, n = (F.try_element_at(look([(F.lit(k).cast("long"), v) for k, v in pairs]), F.col("s_key")) for pairs in ([(k, ranges + i) for i, (k, _) in enumerate(heavy)], heavy))
+        u_range, u_part = F.coalesce(own, u_range), F.coalesce(F.pmod(F.col("s_id"), n), u_part)
+    u_range, u_part = u_range.cast("int"), u_part.cast("int")
+    ranged = sizes.withColumn("u_range", u_range)
     units = ranged.withColumn("u_part", u_part).groupBy("u_range", "u_part").agg(F.sum("s_size").alias("b"), F.count(F.lit(1)).alias("n"))
     homes = spark.createDataFrame(place([(r.u_range, r.u_part, r.b, r.n) for r in units.collect()], shards), UNITS)
     out = d.withColumn("u_range", u_range).withColumn("u_part", u_part)
