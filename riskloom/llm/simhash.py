@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import by_value, sized, table
+from riskloom.llm.common import by_value, each, sized, table
 from riskloom.llm.components import components
 from riskloom.session import cut
 
@@ -49,12 +49,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _variants(fp: Column, masks: list[tuple[int, int]]) -> Column:
-    """(fp & keep) ^ flip for each pair of masks, mixed with the mask kept: one number that only equal variants share."""
-    return F.array(*[F.xxhash64(F.lit(_signed(keep)), fp.bitwiseAND(F.lit(_signed(keep))).bitwiseXOR(F.lit(_signed(flip)))) for keep, flip in masks])
+def _variants(fp: Column, masks: list[tuple[int, list[int]]]) -> Column:
+    """(fp & keep) ^ flip for each mask and each of its flips, mixed with the mask: one number that only equal variants share.
+
+    The flips are a literal array and a lambda runs over it: written out, the expressions would make a method so long
+    that compiling it takes more memory than the data.
+    """
+    out = []
+    for keep, flips in masks:
+        rest = F.lit(_signed(keep))
+        values = F.array(*[F.lit(_signed(f)) for f in flips])
+        out.append(_flipped(fp, rest, values))
+    return F.concat(*out)
+
+
+def _flipped(fp: Column, keep: Column, flips: Column) -> Column:
+    return F.transform(flips, lambda f: F.xxhash64(keep, fp.bitwiseAND(keep).bitwiseXOR(f)))
 
 
-def middle_masks() -> list[tuple[int, int]]:
+def middle_masks() -> list[tuple[int, list[int]]]:
     """Leave out one part and flip none or one of the other bits.
 
     Of three differing bits at most two are outside the part that holds most of them, so two fingerprints within
@@ -64,7 +77,7 @@ def middle_masks() -> list[tuple[int, int]]:
     for part in PARTS:
         rest = [b for b in range(64) if b not in part]
         keep = sum(1 << b for b in rest)
-        out += [(keep, 0), *((keep, 1 << b) for b in rest)]
+        out.append((keep, [0, *(1 << b for b in rest)]))
     return out
 
 
@@ -78,7 +91,7 @@ def links(nodes: DataFrame) -> DataFrame:
     holders to one near holder; two at distance 3 always meet as near and far. A pair either shares a variant that was resolved in pairs, or both
     ends are among those with hubs: none is lost.
     """
-    rows = nodes.select("fp", F.explode(_variants(F.col("fp"), middle_masks())).alias("v"))
+    rows = each(nodes, _variants(F.col("fp"), middle_masks()), "v", "fp")
     held = Window.partitionBy("v")
     ahead = held.orderBy("fp").rowsBetween(1, PAIRS_UP_TO - 1)
     rows = cut(rows.withColumn("n", F.count(F.lit(1)).over(held)).filter("n > 1").withColumn("next", F.when(F.col("n") <= PAIRS_UP_TO, F.collect_list("fp").over(ahead))).groupBy("fp").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("next", F.array().cast("array<bigint>"))))).alias("next"), F.max(F.col("n") > PAIRS_UP_TO).alias("dense")))
@@ -91,9 +104,9 @@ def links(nodes: DataFrame) -> DataFrame:
 def hub_links(dense: DataFrame) -> DataFrame:
     """Links of fingerprints that crowd together; see links()."""
     full = (1 << 64) - 1
-    near = [(full, 0), *((full, 1 << i) for i in range(64))]
-    far = [(full, 1 << i | 1 << j) for i in range(64) for j in range(i)]
-    balls = dense.select("fp", F.explode(_variants(F.col("fp"), near)).alias("v"))
+    near = [(full, [0, *(1 << i for i in range(64))])]
+    far = [(full, [1 << i | 1 << j for i in range(64) for j in range(i)])]
+    balls = each(dense, _variants(F.col("fp"), near), "v", "fp")
     hubs = balls.groupBy("v").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n"))
     close = balls.join(hubs.filter("n > 1"), "v").filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
     # what one bit already joins needs no second ring within itself: only members outside the largest group emit it
@@ -102,8 +115,7 @@ def hub_links(dense: DataFrame) -> DataFrame:
     largest = group.groupBy("root").count().orderBy(F.desc("count"), "root").limit(1).select("root")
     inside = group.join(F.broadcast(largest), "root", "left_semi").select(F.col("node").alias("fp"))
     rest = cut(dense.join(inside, "fp", "left_anti"))
-    flips = F.array(*[F.lit(_signed(f)) for _, f in far])
-    ring = rest.select("fp", F.explode(F.transform(flips, lambda f: F.xxhash64(F.lit(_signed(full)), F.col("fp").bitwiseXOR(f)))).alias("v"))
+    ring = each(rest, _variants(F.col("fp"), far), "v", "fp")
     return close.unionByName(ring.join(hubs, "v").select(F.col("fp").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct())
 
 
