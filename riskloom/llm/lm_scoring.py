@@ -19,9 +19,9 @@ ALPHA = 0.4
 LEAST_COUNT = 2  # a pair seen less often isn't in the table: the score backs off to the word
 HASH_BITS = 48
 HOT_SHARE = 2048  # words with at least 1 / HOT_SHARE of all words; there are at most that many
-PAIRS_A_BUCKET = 2_000_000
-CHUNK_BYTES = 8_000_000
-FLUSH_WORDS = 400_000
+PAIRS_A_BUCKET = 800_000
+CHUNK_BYTES = 4_000_000
+FLUSH_WORDS = 200_000
 NO_DOC = -(1 << 63)
 
 
@@ -96,46 +96,107 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def pair_rows(hot: np.ndarray, buckets: int):
+def hasher():
+    """A function from words to their hashes; it remembers up to FLUSH_WORDS of them between calls of renew()."""
+    known: dict[bytes, int] = {}
+
+    def run(w: list[bytes]) -> np.ndarray:
+        out = np.empty(len(w), np.uint64)
+        for j, x in enumerate(w):
+            v = known.get(x)
+            if v is None:
+                v = known[x] = word_hash(x)
+            out[j] = v
+        return out
+
+    def renew() -> None:
+        if len(known) > FLUSH_WORDS:
+            known.clear()
+
+    return run, renew
+
+
+def place_in(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each number stands in the sorted table; -1 where it doesn't."""
+    if not len(table):
+        return np.full(len(x), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return np.where(table[at] == x, at, -1)
+
+
+def edge_words(hot: np.ndarray):
+    """(doc, first, last, n): each document's first and last word hash and number of words, none for wordless ones; and with
+    doc null the count of each pair (first, last) of hot words, of which there are at most HOT_SHARE squared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, renew = hasher()
+        pairs: dict[int, int] = {}
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc", "first", "last", "n"])
+        drain = lambda: table([(None, int(hot[c // len(hot)]), int(hot[c % len(hot)]), n) for c, n in pairs.items()])
+        for ids, texts in chunks(batches):
+            renew()
+            rows = []
+            for i, t in zip(ids, texts, strict=True):
+                if w := tokens(t):
+                    h = hashed(w)
+                    rows.append((i, int(h[0]), int(h[-1]), len(w)))
+                    at = place_in(hot, h)
+                    both = (at[:-1] >= 0) & (at[1:] >= 0)
+                    for c, n in zip(*(x.tolist() for x in np.unique(at[:-1][both] * len(hot) + at[1:][both], return_counts=True)), strict=True):
+                        pairs[c] = pairs.get(c, 0) + n
+            yield table(rows)
+            if len(pairs) > FLUSH_WORDS:
+                yield drain()
+                pairs.clear()
+        yield drain()
+
+    return run
+
+
+def pair_rows(hot: np.ndarray, hot_context: np.ndarray, hot_pairs: np.ndarray, hot_pair_counts: np.ndarray, buckets: int):
     """Chunks of documents to (bucket, data): word pairs by the bucket of their context.
 
-    A hot context's pairs are dealt by both words, since its count is known. data: contexts, how many pairs each has, second words, documents
-    (their place in a list), the list. A pair that a document repeats is listed as often.
+    A hot context's pairs are dealt by both words, since its count is known; a hot pair, whose count is known too, is scored on the
+    spot. data: contexts, how many pairs each has, second words, documents (their place in a list), the list; then documents
+    with the number and score of their hot pairs. A pair that a document repeats is listed as often.
     """
+    none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        hashed, renew = hasher()
         for ids, texts in chunks(batches):
-            if len(known) > FLUSH_WORDS:
-                known.clear()
-            first, second, doc = [], [], []
+            renew()
+            all_ids, first, second, doc = np.array(ids, np.int64), [], [], []
             for k, t in enumerate(texts):
                 w = tokens(t)
                 if len(w) > 1:
-                    h = np.empty(len(w), np.uint64)
-                    for j, x in enumerate(w):
-                        v = known.get(x)
-                        if v is None:
-                            v = known[x] = word_hash(x)
-                        h[j] = v
+                    h = hashed(w)
                     first.append(h[:-1])
                     second.append(h[1:])
                     doc.append(np.full(len(w) - 1, k, np.uint16))
             if not first:
                 continue
             a, b, d = np.concatenate(first), np.concatenate(second), np.concatenate(doc)
-            bucket = (mixed(np.where(np.isin(a, hot), a ^ mixed(b), a)) % np.uint64(buckets)).astype(np.int32)
+            x, y = place_in(hot, a), place_in(hot, b)
+            known = np.where((x >= 0) & (y >= 0), place_in(hot_pairs, x * len(hot) + y), -1)
+            easy = known >= 0
+            value = np.log10(hot_pair_counts[known[easy]] / hot_context[x[easy]]) if easy.any() else np.zeros(0)
+            n = np.bincount(d[easy], minlength=len(ids))
+            score = np.bincount(d[easy], value, len(ids))[n > 0]
+            done = packed(none, none, none, none, none, all_ids[n > 0], n[n > 0].astype(np.int64), score.astype(np.float64))
+            a, b, d, spread = a[~easy], b[~easy], d[~easy], x[~easy] >= 0
+            bucket = (mixed(np.where(spread, a ^ mixed(b), a)) % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((a, bucket))
             a, b, d, bucket = a[order], b[order], d[order], bucket[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            all_ids = np.array(ids, np.int64)
-            out = []
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(a) else np.zeros(1, int)
+            homes, out = [abs(ids[0]) % buckets], [done]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                x = a[i:j]
-                starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                c = a[i:j]
+                starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
                 used, place = np.unique(d[i:j], return_inverse=True)
-                out.append(packed(six(x[starts]), np.diff(np.r_[starts, j - i]).astype(np.uint32), six(b[i:j]), place.astype(np.uint16), np.diff(all_ids[used], prepend=0)))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(out, pa.binary())], ["bucket", "data"])
+                homes.append(int(bucket[i]))
+                out.append(packed(six(c[starts]), np.diff(np.r_[starts, j - i]).astype(np.uint32), six(b[i:j]), place.astype(np.uint16), np.diff(all_ids[used], prepend=0), none, none, none))
+            yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int32()), pa.array(out, pa.binary())], ["bucket", "data"])
 
     return run
 
@@ -145,35 +206,29 @@ def score_buckets(hot: np.ndarray, hot_word: np.ndarray, hot_context: np.ndarray
     pairs that back off to the word h, whose count is still to be joined."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpacked(x, np.uint8, np.uint32, np.uint8, np.uint16, np.int64) for x in group["data"]]
+        parts = [unpacked(x, np.uint8, np.uint32, np.uint8, np.uint16, np.int64, np.int64, np.int64, np.float64) for x in group["data"]]
         a = np.concatenate([np.repeat(eight(p[0]), p[1]) for p in parts])
         b = np.concatenate([eight(p[2]) for p in parts])
         doc = np.concatenate([p[4].cumsum()[p[3]] for p in parts])
+        hot_done = pd.DataFrame({"doc": np.concatenate([p[5] for p in parts]), "n": np.concatenate([p[6] for p in parts]), "score": np.concatenate([p[7] for p in parts])})
         del parts
         order = np.lexsort((b, a))
         a, b, doc = a[order], b[order], doc[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        both = np.diff(np.r_[np.flatnonzero(new), len(a)])
-        both = np.repeat(both, both)
-        alone = np.diff(np.r_[np.flatnonzero(np.r_[True, a[1:] != a[:-1]]), len(a)])
-        alone = np.repeat(alone, alone)
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, a), len(hot) - 1)
-            alone = np.where(hot[at] == a, hot_context[at], alone)
+        edge = lambda *xs: np.diff(np.r_[np.flatnonzero(np.logical_or.reduce([np.r_[True, x[1:] != x[:-1]] for x in xs])), len(a)]) if len(a) else np.zeros(0, int)
+        both, alone = (np.repeat(n, n) for n in (edge(a, b), edge(a)))
+        at = place_in(hot, a)
+        alone = np.where(at >= 0, hot_context[at], alone) if len(hot) else alone
         seen = both >= least
-        value = np.where(seen, np.log10(both / alone), 0.0)
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, b), len(hot) - 1)
-            easy = ~seen & (hot[at] == b)
-            value[easy] = np.log10(alpha * hot_word[at[easy]] / total)
-        else:
-            easy = np.zeros(len(a), bool)
+        value = np.where(seen, np.log10(np.maximum(both, 1) / np.maximum(alone, 1)), 0.0)
+        at = place_in(hot, b)
+        easy = ~seen & (at >= 0)
+        value[easy] = np.log10(alpha * hot_word[at[easy]] / total) if len(hot) else 0.0
         done = seen | easy
         ids, place = np.unique(doc[done], return_inverse=True)
-        out = [pd.DataFrame({"doc": ids, "h": pd.array([None] * len(ids), "Int64"), "n": np.bincount(place, minlength=len(ids)), "score": np.bincount(place, value[done], len(ids)), "n_backoff": np.bincount(place, ~seen[done], len(ids)).astype(np.int64)})]
+        out = [hot_done.assign(h=pd.array([None] * len(hot_done), "Int64"), n_backoff=np.int64(0)), pd.DataFrame({"doc": ids, "h": pd.array([None] * len(ids), "Int64"), "n": np.bincount(place, minlength=len(ids)), "score": np.bincount(place, value[done], len(ids)), "n_backoff": np.bincount(place, ~seen[done], len(ids)).astype(np.int64)})]
         if not done.all():
             out.append(pd.DataFrame({"doc": doc[~done], "h": pd.array(b[~done].astype(np.int64), "Int64"), "n": np.int64(1), "score": 0.0, "n_backoff": np.int64(1)}))
-        return pd.concat(out, ignore_index=True)
+        return pd.concat(out, ignore_index=True)[["doc", "h", "n", "score", "n_backoff"]]
 
     return run
 
@@ -184,8 +239,9 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST_COUNT, p
     A word after a word scores log10(c(pair) / c(first)) if the pair occurs ``least`` times, else log10(alpha * c(word) / N); c(first)
     counts the word as a context. A document's first word scores log10(c(word) / N). lm_score is the mean a word.
 
-    1. Word counts, summed in each task, then by hash: the unigram table. Its hot words, at most HOT_SHARE, go to all tasks.
-    2. Word pairs go to the bucket of their context, packed; a hot context's pairs are dealt by both words. A bucket
+    1. Word counts, summed in each task, then by hash: the unigram table. Its hot words, at most HOT_SHARE, and the hot pairs of
+       them, as few, go to all tasks, so no bucket holds a hot word or pair.
+    2. Other word pairs go to the bucket of their context, packed; a hot context's pairs are dealt by both words. A bucket
        counts its pairs, joins the counts to the pairs and sums by document.
     3. Pairs that back off to a word that isn't hot, and first words, are joined with the unigram table by its hash.
     Buckets have a fixed mean size, whatever the input.
@@ -197,13 +253,19 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST_COUNT, p
     docs = docs.select("doc_id", "text")
     words = cut(docs.select("text").mapInArrow(count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n")).first()[0] or 0
+    hot_rows = sorted((r.h, r.n) for r in words.filter(F.col("n") * HOT_SHARE >= total).collect())
+    hot, hot_word = np.array([h for h, _ in hot_rows], np.uint64), np.array([n for _, n in hot_rows], np.int64)
+    edges = cut(docs.mapInArrow(edge_words(hot), "doc bigint, first bigint, last bigint, n bigint"))
+    last = edges.filter("doc IS NOT NULL")
     # a context is any word but a document's last
-    last = cut(docs.mapInArrow(edge_words, "doc bigint, first bigint, last bigint, n bigint"))
-    ends = last.groupBy("last").agg(F.count(F.lit(1)).alias("ends"))
-    found = sorted((r.h, r.n, r.n - (r.ends or 0)) for r in words.filter(F.col("n") * HOT_SHARE >= total).join(ends, F.col("h") == F.col("last"), "left").collect())
-    hot, hot_word, hot_context = (np.array([f[i] for f in found], np.uint64 if i == 0 else np.int64) for i in range(3))
+    ends = {r["last"]: r["count"] for r in last.join(F.broadcast(words.filter(F.col("n") * HOT_SHARE >= total).select(F.col("h").alias("last"))), "last", "left_semi").groupBy("last").count().collect()}
+    hot_context = np.array([n - ends.get(h, 0) for h, n in hot_rows], np.int64)
+    common = edges.filter("doc IS NULL").groupBy("first", "last").agg(F.sum("n").alias("n")).filter((F.col("n") * HOT_SHARE >= total) & (F.col("n") >= least)).collect()
+    at = {h: i for i, (h, _) in enumerate(hot_rows)}
+    found = sorted((at[r["first"]] * len(hot) + at[r["last"]], r.n) for r in common)
+    hot_pairs, hot_pair_counts = (np.array([f[i] for f in found], np.int64) for i in range(2))
     buckets = max(1, -(-total // pairs_a_bucket))
-    pairs = docs.mapInArrow(pair_rows(hot, buckets), "bucket int, data binary")
+    pairs = docs.mapInArrow(pair_rows(hot, hot_context, hot_pairs, hot_pair_counts, buckets), "bucket int, data binary")
     judged = pairs.groupBy("bucket").applyInPandas(score_buckets(hot, hot_word, hot_context, total, alpha, least), "doc bigint, h bigint, n bigint, score double, n_backoff bigint")
     judged = cut(judged)
     starts = last.select("doc", F.col("first").alias("h"), F.lit(1).cast("bigint").alias("n"), F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("n_backoff"))
@@ -215,13 +277,6 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST_COUNT, p
     return out.select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("n_backoff", F.lit(0)).cast("long").alias("n_backoff"), F.round("log10_sum", 6).alias("log10_sum"), F.round(F.col("log10_sum") / F.col("n_words"), 6).alias("lm_score"))
 
 
-def edge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, first, last, n): each document's first and last word hash and number of words; none for wordless ones."""
-    for b in batches:
-        rows = [(NO_DOC if i is None else i, word_hash(w[0]), word_hash(w[-1]), len(w)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (w := tokens(t))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc", "first", "last", "n"])
-
-
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
