@@ -19,7 +19,7 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 3
 #: A variant that more fingerprints share is not resolved in pairs; see links().
-PAIRS_UP_TO = 24
+PAIRS_UP_TO = 256
 BROADCAST_ROWS = 500_000
 CHUNK = 1 << 16
 #: The three parts of 64 bits, of which each key leaves one out.
@@ -94,9 +94,12 @@ def links(nodes: DataFrame) -> DataFrame:
     rows = each(nodes, _variants(F.col("fp"), middle_masks()), "v", "fp")
     held = Window.partitionBy("v")
     ahead = held.orderBy("fp").rowsBetween(1, PAIRS_UP_TO - 1)
-    rows = cut(rows.withColumn("n", F.count(F.lit(1)).over(held)).filter("n > 1").withColumn("next", F.when(F.col("n") <= PAIRS_UP_TO, F.collect_list("fp").over(ahead))).groupBy("fp").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("next", F.array().cast("array<bigint>"))))).alias("next"), F.max(F.col("n") > PAIRS_UP_TO).alias("dense")))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(held)).filter("n > 1").withColumn("next", F.when(F.col("n") <= PAIRS_UP_TO, F.collect_list("fp").over(ahead)))
     near = F.filter("next", lambda x: F.bit_count(F.col("fp").bitwiseXOR(x)) <= RADIUS)
-    pairs = rows.select(F.col("fp").alias("a"), F.explode(near).alias("b"))
+    # only verified links leave the task
+    rows = rows.select("fp", F.coalesce(near, F.array().cast("array<bigint>")).alias("next"), (F.col("n") > PAIRS_UP_TO).alias("dense"))
+    rows = cut(rows.groupBy("fp").agg(F.array_distinct(F.flatten(F.collect_set("next"))).alias("next"), F.max("dense").alias("dense")))
+    pairs = each(rows, F.col("next"), "b", F.col("fp").alias("a"))
     dense = cut(rows.filter("dense").select("fp"))
     return pairs.unionByName(hub_links(dense)) if dense.count() else pairs
 

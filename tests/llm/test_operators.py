@@ -122,7 +122,9 @@ def test_simhash_matches_brute_force(spark):
     assert out == {(i, f): least[c] for (i, _, _), f, c in zip(rows, fps, brute_components(fps), strict=True)}
 
 
-def test_crowded_fingerprints_link_without_pairs(spark):
+@pytest.mark.parametrize("pairs_up_to", [16, 256])
+def test_crowded_fingerprints_link_exactly(spark, pairs_up_to, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS_UP_TO", pairs_up_to)
     r, fps = random.Random(9), set()
     for _ in range(3):
         centre = r.getrandbits(64)
