@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, UPPER, ascii_lower, sized, table, words
+from riskloom.llm.common import LOWER, UPPER, ascii_lower, each, sized, table, words
 from riskloom.session import cut
 
 SPAN = 13  # words of a shared span that must be found
@@ -51,20 +51,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GR
     short, names = [n for n in lengths if n < span], [f"mark_{n}" for n in lengths]
     marks = F.array_distinct(F.flatten(F.array(*[F.col(n) for n in names] or [F.array().cast("array<bigint>")])))
     marked_items = with_marks(items, span, gram, short)
-    of_items = cut(marked_items.select(F.explode(F.when(F.size("g_words") < span, F.array(F.xxhash64(F.size("g_words"), F.col("g_words")))).otherwise(F.col(f"mark_{span}"))).alias("mark")).distinct())
+    of_items = cut(each(marked_items, F.when(F.size("g_words") < span, F.array(F.xxhash64(F.size("g_words"), F.col("g_words")))).otherwise(F.col(f"mark_{span}")), "mark").distinct())
     run = lambda i, n: F.array_join(F.slice("g_words", i + 1, n), " ")
     n_item = F.least(F.size("g_words"), F.lit(span))
     starts = F.sequence(F.lit(0), F.size("g_words") - n_item)
-    of_windows = cut(items.select("item_id", F.explode(F.transform(starts, lambda i: run(i, n_item))).alias("window")).groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
+    of_windows = cut(each(items, F.transform(starts, lambda i: run(i, n_item)), "window", "item_id").groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
 
     texts = docs.filter(F.col("text").isNotNull()).select(F.unhex(F.md5(F.col("text"))).alias("g_key"), words(ascii_lower(F.col("text")), SEPARATORS).alias("g_words"))
-    own = with_marks(texts, span, gram, short).select("g_key", F.explode(marks).alias("mark"))
+    own = each(with_marks(texts, span, gram, short), marks, "mark", "g_key")
     found = cut(own.join(sized(of_items, BROADCAST_ROWS), "mark").groupBy("g_key").agg(F.collect_set("mark").alias("g_found")))
     again = with_marks(texts.join(sized(found, BROADCAST_ROWS), "g_key"), span, gram, short)
     fits = lambda n: F.filter(F.transform(F.col(f"mark_{n}"), lambda m, i: F.when(F.array_contains("g_found", m), i)), lambda i: i.isNotNull())
     shown = lambda n: F.transform(fits(n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("length"), run(i, n).alias("window")))
     windows = F.flatten(F.array(*map(shown, lengths))) if lengths else F.expr("array(named_struct('start', 0, 'length', 0, 'window', ''))")
-    rows = again.select("g_key", F.explode(windows).alias("x")).select("g_key", F.struct("x.start", "x.length").alias("span"), "x.window")
+    rows = each(again, windows, "x", "g_key").select("g_key", F.struct("x.start", "x.length").alias("span"), "x.window")
     return rows.join(sized(of_windows, BROADCAST_ROWS), "window").groupBy("g_key").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, UPPER, ascii_lower, table
+from riskloom.llm.common import LOWER, UPPER, ascii_lower, each, table
 from riskloom.session import cut
 
 RATIO = 0.3
@@ -35,7 +35,7 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
     is one row for each task. A host has at most (mean lines a page) / ratio such lines: b_lines is bounded.
     """
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = pages.select("host", F.explode(F.array_distinct("b_keys")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    counts = each(pages, F.array_distinct("b_keys"), "line", "host").groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     common = counts.join(totals.filter(F.col("pages") >= least_pages), "host").filter(F.col("n") > ratio * F.col("pages"))
     return common.groupBy("host").agg(F.collect_list("line").alias("b_lines"))
 
