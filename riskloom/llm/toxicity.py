@@ -17,8 +17,8 @@ GRAMS = (3, 4, 5)
 #: Bounds of the labelled sample: ids drawn per class, rows kept per class, and UTF-8 bytes of a training text.
 DRAWN, PER_CLASS, LONGEST = 12_000, 1_000, 2_000
 EPOCHS, LEAST_STEPS, BATCH, STEP, SEED = 6, 300, 40, 4e-3, 5
-KNOWN_WORDS = 150_000  # words whose inputs a worker remembers
-CHUNK = 4096  # windows that run side by side
+KNOWN_WORDS = 100_000  # words whose inputs a worker remembers
+CHUNK = 2048  # windows that run side by side
 EDGE = b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum())
 
 
