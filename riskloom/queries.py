@@ -234,7 +234,7 @@ QUERIES = {
     "recent_events": lambda s, d: R.recent_events(*fact_events(s, d)[1:], 60).select("event_id", "document_id", "title"),
     "canonical_events": lambda s, d: R.canonical_events(*fact_events(s, d), 80).select("fingerprint", "event_id", "first_seen", "mention_count", "url"),
     "canonical_count": lambda s, d: facts(s, d).filter("review_status <> 'merged'").agg(F.count(F.lit(1)).alias("n")),
-    "provisional_queue": lambda s, d: R.provisional_events(*fact_events(s, d), documents(s, d), 40).select("fingerprint", "event_id", F.length("source_text").cast("long").alias("source_chars")),
+    "provisional_queue": lambda s, d: R.provisional_events(*fact_events(s, d), documents(s, d), 40).select("fingerprint", "event_id", F.coalesce(F.length("source_text"), F.lit(-1)).cast("long").alias("source_chars")),
     "flagged_queue": lambda s, d: R.flagged_events(*fact_events(s, d), documents(s, d), ledger(s, d), 40, 2).select("fingerprint", "event_id", "review_count", "prior_reasoning"),
     "review_counts": lambda s, d: R.review_counts(facts(s, d), ledger(s, d)),
     "confirmed_observations": lambda s, d: R.confirmed_observations(observations(s, d).withColumns({"event_id": F.col("event_id").cast("string"), "observation_id": F.col("event_id")}), facts(s, d), 100).select("event_id", "variable_key"),
@@ -287,7 +287,7 @@ ORACLE = {
     "recent_events": f"WITH {FIN_SQL}, {ITEM_SQL} SELECT event_id, document_id, title FROM e JOIN i ON document_id = id ORDER BY processed_at DESC, event_id LIMIT 60",
     "canonical_events": f"WITH {FACT_SQL}, {ITEM_SQL} SELECT f.fingerprint, event_id, first_seen, mention_count, url FROM {EV_ITEM} WHERE review_status <> 'merged' ORDER BY first_seen DESC, f.fingerprint LIMIT 80",
     "canonical_count": f"WITH {FACT_SQL} SELECT count(*) AS n FROM f WHERE review_status <> 'merged'",
-    "provisional_queue": f"WITH {FACT_SQL}, {ITEM_SQL} SELECT f.fingerprint, event_id, CAST(length(dd.text) AS BIGINT) AS source_chars FROM {EV_ITEM} LEFT JOIN (SELECT * FROM documents WHERE doc_id % 4 <> 0) dd ON CAST(dd.doc_id AS VARCHAR) = document_id WHERE review_status = 'provisional' ORDER BY first_seen, f.fingerprint LIMIT 40",
+    "provisional_queue": f"WITH {FACT_SQL}, {ITEM_SQL} SELECT f.fingerprint, event_id, CAST(coalesce(length(dd.text), -1) AS BIGINT) AS source_chars FROM {EV_ITEM} LEFT JOIN (SELECT * FROM documents WHERE doc_id % 4 <> 0) dd ON CAST(dd.doc_id AS VARCHAR) = document_id WHERE review_status = 'provisional' ORDER BY first_seen, f.fingerprint LIMIT 40",
     "flagged_queue": f"WITH {FACT_SQL}, {ITEM_SQL}, {LEDGER_SQL} SELECT f.fingerprint, event_id, coalesce(n, 0) AS review_count, v.reasoning AS prior_reasoning FROM {EV_ITEM} LEFT JOIN v ON v.fingerprint = f.fingerprint WHERE review_status = 'flagged' AND coalesce(n, 0) < 2 ORDER BY first_seen, f.fingerprint LIMIT 40",
     "review_counts": f"WITH {FACT_SQL}, {LEDGER_SQL} SELECT count(*) FILTER (review_status = 'provisional') AS provisional, count(*) FILTER (review_status = 'confirmed') AS confirmed, count(*) FILTER (review_status = 'flagged') AS flagged, count(*) FILTER (review_status = 'flagged' AND coalesce(n, 0) < 2) AS retry_pending FROM f LEFT JOIN v USING (fingerprint)",
     "confirmed_observations": f"WITH {FACT_SQL} SELECT event_id, event_type AS variable_key FROM e WHERE event_id IN (SELECT canonical_event_id FROM f WHERE review_status = 'confirmed') ORDER BY processed_at DESC, seq LIMIT 100",
