@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import SPACE, each, sized, table, words
 from riskloom.session import cut
 
 BUCKETS = 10_000
-THRESHOLD = -0.03  # mean log-likelihood ratio per n-gram, in nats: a text this much likelier under the raw corpus goes
+MISSED = 0.02  # share of the trusted documents that the ratio's limit may miss, whatever the table's size
+RANKS = 10_000  # quantiles are exact to one in so many rows
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of words
 SYMBOLS = "#*$%&|<>"
@@ -54,43 +55,100 @@ def features(buckets: int):
     return F.concat(one, F.slice(two, 1, F.greatest(F.size("q_words") - 1, F.lit(0)))).cast("array<int>")
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """Log ratio of trusted-target to raw-corpus probability of each bucket, both with one added.
+def trusted_ids(trusted: DataFrame) -> DataFrame:
+    ids = trusted.select(F.col("doc_id").alias("q_id")).filter(F.col("q_id").isNotNull()).distinct()
+    return sized(cut(ids), BROADCAST_ROWS)
+
+
+def counted(docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS) -> tuple[list[int], list[int]]:
+    """Count of each bucket in all documents, and in those of ``ids``.
 
-    ``trusted`` has the doc_id of each trusted document. All words of all documents are counted; what reaches the
-    driver is one row for each of the ``buckets``.
+    All words of all documents are counted; what reaches the driver is one row for each of the ``buckets``.
     """
-    ids = trusted.select(F.col("doc_id").alias("q_id")).filter(F.col("q_id").isNotNull()).distinct()
-    ids = sized(cut(ids), BROADCAST_ROWS)
     d = docs.select("doc_id", words(F.col("text")).alias("q_words")).select("doc_id", features(buckets).alias("f"))
     d = each(d.join(ids, F.col("doc_id") == F.col("q_id"), "left"), F.col("f"), "b", F.col("q_id").isNotNull().cast("long").alias("t"))
     raw, target = [0] * buckets, [0] * buckets
     for r in d.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t")).collect():
         raw[r.b], target[r.b] = r.n, r.t
-    n, t = sum(raw) + buckets, sum(target) + buckets
+    return raw, target
+
+
+def log_ratios(raw: list[int], target: list[int]) -> list[float]:
+    """Log ratio of target to raw probability of each bucket, both with one added."""
+    n, t = sum(raw) + len(raw), sum(target) + len(raw)
     return [math.log((b + 1) / t) - math.log((a + 1) / n) for a, b in zip(raw, target, strict=True)]
 
 
-def judge(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD) -> DataFrame:
+def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
+    """``log_ratios`` of the trusted documents, whose doc_id ``trusted`` has, to all documents."""
+    return log_ratios(*counted(docs, trusted_ids(trusted), buckets))
+
+
+def literal(values: list) -> Column:
+    """One literal of a fixed length, whatever the input. The planner folds it only outside of branches."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def own_ratio(raw: list[int], target: list[int]) -> Column:
+    """The mean ratio of a trusted text's n-grams (q_f) with the text itself taken out of the target."""
+    counts, logs = literal(target), literal([math.log(a + 1) for a in raw])
+    # a bucket's n of the text come one after the other; what it adds is known where it ends
+    part = lambda acc: acc["n"] * (F.log(F.get(counts, acc["b"]) - acc["n"] + 1) - F.get(logs, acc["b"]))
+    row = lambda b, n, s: F.struct(b.alias("b"), n.alias("n"), s.alias("s"))
+    # products in place of branches, for the literals
+    step = lambda acc, b: row(b, acc["n"] * (acc["b"] == b).cast("double") + 1, acc["s"] + part(acc) * (acc["b"] != b).cast("double"))
+    total = F.aggregate(F.array_sort("q_f"), row(F.lit(0), F.lit(0.0), F.lit(0.0)), step, lambda acc: acc["s"] + part(acc))
+    size = F.greatest(F.size("q_f"), F.lit(1))
+    return total / size - F.log(F.lit(float(sum(target) + len(raw))) - size) + math.log(sum(raw) + len(raw))
+
+
+def limits(docs: DataFrame, ids: DataFrame, raw: list[int], target: list[int], by: str = "lang", missed: float = MISSED) -> DataFrame:
+    """(``by``, q_limit): the least ratio at which a text of the group is kept.
+
+    A trusted text is compared as an unlabelled one is, with itself taken out of the target (``own_ratio``). A group's
+    centre is the median of its trusted texts' ratios, so that how many labels a group has shifts nothing; below all
+    centres lies the same distance, the ``missed`` quantile of what trusted texts lie below theirs: the k-th least of
+    n, k = floor(missed * (n + 1)). A clean text is lost with a chance of about ``missed``, however large the table is.
+    A group without trusted texts has no row. If k is 0 (fewer than 1 / missed - 1 trusted texts pass the base rules),
+    no limit can promise that, and there are no rows.
+    """
+    d = base_rules(docs.join(ids, F.col("doc_id") == F.col("q_id")).select(by, "text")).withColumn("q_f", features(len(raw)))
+    own = cut(d.select(by, "base_failed", own_ratio(raw, target).alias("q_own"))).filter("NOT base_failed")
+    n = own.count()
+    k = math.floor(missed * (n + 1))
+    centres = cut(own.groupBy(F.col(by).alias("q_by")).agg(F.percentile_approx("q_own", 0.5, RANKS).alias("q_centre")))
+    if not k:
+        return centres.filter("false").select(F.col("q_by").alias(by), F.col("q_centre").alias("q_limit"))
+    below = own.join(sized(centres, BROADCAST_ROWS), F.col(by).eqNullSafe(F.col("q_by"))).select((F.col("q_own") - F.col("q_centre")).alias("q_below"))
+    least = below.agg(F.percentile_approx("q_below", (k - 0.5) / n, RANKS)).first()[0]
+    return centres.select(F.col("q_by").alias(by), (F.col("q_centre") + least).alias("q_limit"))
+
+
+def judge(docs: DataFrame, weights: list[float], threshold: float | DataFrame | None = None) -> DataFrame:
     """``docs`` with the base counts, base_failed, llr (mean over a text's n-grams) and kept.
 
-    kept: not base_failed, and llr at least ``threshold``; the same text always gets the same verdict. Null, empty
-    and blank texts: counts 0, llr 0, base_failed. Repeated rows and doc_ids: each row by itself. No rows: no rows.
-    Columns of ``docs`` with these names, or q_*, are overwritten.
+    kept: not base_failed, and llr at least ``threshold``: a number, or what ``limits`` gives for the document's group;
+    without one the base rules decide. The same text always gets the same verdict in a group. Null, empty and blank
+    texts: counts 0, llr 0, base_failed. Repeated rows and doc_ids: each row by itself. No rows: no rows. Columns of
+    ``docs`` with these names, or q_*, are overwritten.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     keep = [c for c in docs.columns if c not in {*made, "llr", "kept"} and not c.startswith("q_")]
-    # one literal of a fixed length, whatever the input
-    table_of = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
-    d = base_rules(docs.select(*keep)).withColumn("q_f", features(len(weights)))
+    d, limit = docs.select(*keep), F.lit(None if isinstance(threshold, DataFrame) else threshold).cast("double")
+    if isinstance(threshold, DataFrame):
+        by, limit = threshold.columns[0], F.col("q_limit")
+        d = d.join(sized(threshold.withColumnRenamed(by, "q_by"), BROADCAST_ROWS), F.col(by).eqNullSafe(F.col("q_by")), "left").drop("q_by")
+    table_of = literal(weights)
+    d = base_rules(d).withColumn("q_f", features(len(weights)))
     total = F.aggregate("q_f", F.lit(0.0), lambda acc, b: acc + F.get(table_of, b))
     # no condition around it: the planner folds the literal only outside of branches
     d = d.withColumn("llr", total / F.greatest(F.size("q_f"), F.lit(1)))
-    return d.select(*keep, *made, "llr", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"))
+    return d.select(*keep, *made, "llr", (~F.col("base_failed") & F.coalesce(F.col("llr") >= limit, F.lit(True))).alias("kept"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
-    out = judge(docs, ratios(docs, trusted))
-    return out.drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    ids = trusted_ids(table(spark, sf_dir, "labels").filter("quality = 1"))
+    raw, target = counted(docs, ids)
+    out = judge(docs, log_ratios(raw, target), limits(docs, ids, raw, target))
+    return out.drop("text", "lang")

@@ -330,6 +330,55 @@ def test_quality_counts_and_ratio(spark, empty):
     assert quality.judge(empty, quality.ratios(empty, trusted, 8)).count() == 0
 
 
+def test_quality_limits_match_brute_force(spark, empty):
+    r = random.Random(4)
+    text = lambda g: " ".join(f"{g}{r.randrange(90)}" for _ in range(60))
+    rows = [(i, text("xyz"[i % 3]), "xyz"[i % 3]) for i in range(240)] + [(240 + i, text("u"), None) for i in range(9)] + [(250, "too short", "x"), (251, None, "x"), (252, text("v"), "v")]
+    # x is labelled in full, y in part, z hardly, null once, v never
+    trusted = [i for i, _, g in rows if g == "x" or (g == "y" and i % 2) or i in (2, 5, 240)]
+    docs, ids = spark.createDataFrame(rows, "doc_id long, text string, lang string"), quality.trusted_ids(spark.createDataFrame([(i,) for i in trusted], "doc_id long"))
+    raw, target = quality.counted(docs, ids, 64)
+    h = lambda s, seed=42: xxhash.xxh64_intdigest(s.encode(), seed)
+    own = {}
+    for i, t, g in rows:
+        if i in trusted and not brute_base(t)[-1]:
+            w = words(t)
+            f = Counter((x - (1 << 64) if x >> 63 else x) % 64 for x in [*map(h, w), *(h(b, h(a)) for a, b in zip(w, w[1:], strict=False))])
+            rest = [x - f[b] for b, x in enumerate(target)]
+            weights = quality.log_ratios(raw, rest)
+            own.setdefault(g, []).append(sum(n * weights[b] for b, n in f.items()) / f.total())
+    centre = {g: sorted(v)[math.ceil(len(v) / 2) - 1] for g, v in own.items()}
+    below = sorted(x - centre[g] for g, v in own.items() for x in v)
+    least = below[math.floor(0.02 * (len(below) + 1)) - 1]
+    limits = quality.limits(docs, ids, raw, target)
+    got = {x.lang: x.q_limit for x in limits.collect()}
+    assert got.keys() == {"x", "y", "z", None} and all(abs(got[g] - centre[g] - least) < 1e-9 for g in got)
+    out = quality.judge(docs, quality.log_ratios(raw, target), limits).collect()
+    assert len(out) == len(rows) and all(x.kept == (not x.base_failed and (x.lang not in got or x.llr >= got[x.lang])) for x in out)
+    few = quality.trusted_ids(spark.createDataFrame([(i,) for i in trusted[:40]], "doc_id long"))
+    assert quality.limits(docs, few, *quality.counted(docs, few, 64)).count() == 0
+
+
+@pytest.mark.parametrize("n_docs, labelled", [(150, (0.5, 0.5)), (600, (0.5, 0.5)), (600, (0.5, 0.05))])
+def test_quality_keeps_clean_texts_of_any_table(spark, tmp_path, n_docs, labelled):
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(n_docs):
+        g = i % 2
+        junk = i % 10 == 9
+        vocab = [f"junk{g}{k}" for k in range(300)] if junk else [f"{'de' if g else 'en'}{k}" for k in range(3000)]
+        rows.append((i, " ".join(r.choice(vocab) for _ in range(120)), "de" if g else "en"))
+        if not junk and r.random() < labelled[g]:
+            labels.append((i, 1))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {x.doc_id: x.kept for x in quality.op8_quality(spark, str(tmp_path)).collect()}
+    for g in (0, 1):
+        clean = [kept[i] for i in range(n_docs) if i % 10 != 9 and i % 2 == g]
+        assert sum(clean) >= 0.93 * len(clean), (g, sum(clean), len(clean))
+    assert not any(kept[i] for i in range(9, n_docs, 10))
+
+
 # -- mixing ----------------------------------------------------------------------------------------------------------------------
 
 
