@@ -9,7 +9,8 @@ from riskloom.llm.common import LOWER, UPPER, ascii_lower, each, table
 from riskloom.session import cut
 
 RATIO = 0.3
-LEAST_PAGES = 10  # hosts with fewer pages have no boilerplate: each line would be a large part of them
+LEAST_HOLDERS = 2  # a line on one page is not repeated, however few pages the host has
+LEAST_PAGES = 10  # only in OP3_SQL, which leaves hosts with fewer pages as they are; the operator does not
 BREAKS = r"(?i)<(?:br|p|div|li|ul|ol|tr|table|h[1-6]|nav|footer|header|article|section|title|script|style)\b[^>]*>|</(?:p|div|li|ul|ol|tr|table|h[1-6]|nav|footer|header|article|section|title|script|style)\s*>"
 
 
@@ -28,19 +29,19 @@ def line_key(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, b_lines): keys of the lines that stand on more than ``ratio`` of a host's pages.
+def boilerplate(pages: DataFrame, ratio: float = RATIO, least_holders: int = LEAST_HOLDERS) -> DataFrame:
+    """(host, b_lines): keys of the lines that stand on more than ``ratio`` of a host's pages, and on ``least_holders`` at least.
 
     ``pages`` has host and b_keys, the keys of a page's lines. Counts are summed on the map side, so a hot line or host
     is one row for each task. A host has at most (mean lines a page) / ratio such lines: b_lines is bounded.
     """
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = each(pages, F.array_distinct("b_keys"), "line", "host").groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    common = counts.join(totals.filter(F.col("pages") >= least_pages), "host").filter(F.col("n") > ratio * F.col("pages"))
+    common = counts.filter(F.col("n") >= least_holders).join(totals, "host").filter(F.col("n") > ratio * F.col("pages"))
     return common.groupBy("host").agg(F.collect_list("line").alias("b_lines"))
 
 
-def dedup_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def dedup_lines(pages: DataFrame, ratio: float = RATIO, least_holders: int = LEAST_HOLDERS) -> DataFrame:
     """``pages`` with host, n_lines, n_dropped and text: the kept lines, joined by newlines.
 
     Null url or one without ://: the empty host, a site as any other. Null or empty html: no lines. Each row counts
@@ -49,7 +50,7 @@ def dedup_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
     """
     keep = [c for c in pages.columns if c not in {"host", "n_lines", "n_dropped", "text"} and not c.startswith("b_")]
     split = pages.select(*keep, host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("b_all"))
-    common = cut(boilerplate(split.select("host", F.transform("b_all", line_key).alias("b_keys")), ratio, least_pages))
+    common = cut(boilerplate(split.select("host", F.transform("b_all", line_key).alias("b_keys")), ratio, least_holders))
     # a written table: the planner broadcasts it if its files are small, else the join shuffles and splits a hot host
     out = split.join(common, "host", "left").withColumn("b_kept", F.when(F.col("b_lines").isNull(), F.col("b_all")).otherwise(F.filter("b_all", lambda x: ~F.array_contains("b_lines", line_key(x)))))
     return out.select(*keep, "host", F.size("b_all").cast("long").alias("n_lines"), (F.size("b_all") - F.size("b_kept")).cast("long").alias("n_dropped"), F.array_join("b_kept", "\n").alias("text"))

@@ -167,6 +167,19 @@ def test_line_dedup_drops_what_a_host_repeats(spark):
     assert out[0].host == "a.example.org" and out[101].text == "menu" and out[None].host == "" and out[200].n_lines == 0
 
 
+def test_line_dedup_cleans_small_hosts(spark, tmp_path):
+    rows = [(100 * n + i, f"http://h{n}.example/{i}", f"<nav>menu</nav><p>only {i}</p>") for n in (1, 2, 3, 4, 9, 10) for i in range(n)]
+    # on two pages of four, and of nine
+    rows += [(900 + i, f"http://pair{n}.example/{i}", f"<p>only {i}</p>" + "<p>pair</p>" * (i % n < 2)) for n, at in ((4, 0), (9, 4)) for i in range(at, at + n)]
+    spark.createDataFrame([(k, u, h) for k, (_, u, h) in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = line_dedup.op3_line_dedup(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows)
+    dropped = Counter()
+    for r in out:
+        dropped[r.host] += r.n_dropped
+    assert dropped == {"h1.example": 0} | {f"h{n}.example": n for n in (2, 3, 4, 9, 10)} | {"pair4.example": 2, "pair9.example": 0}
+
+
 # -- language model ---------------------------------------------------------------------------------------------------
 
 
