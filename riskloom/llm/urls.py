@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,11 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 FEATURES = ("length", "host_length", "depth", "host_depth", "digit_ratio", "host_digits", "hyphens", "entropy", "host_entropy", "params", "query_length", "suffix_rate", "suffix_count")
 TREES, DEPTH, RATE, LEAST_LEAF, BINS = 60, 3, 0.2, 5, 32
 PRIOR = 4.0  # pseudo-rows behind a suffix's rate of blocked URLs
+LEAST_SEEN = 20  # labelled URLs without which a suffix counts as unknown
+FOLDS = 10  # a labelled URL's suffix rate is that of the other folds; one fold is learnt from as if its suffixes were unknown
+
+#: Public endings of two labels, fixed values; of any other host the last label is the ending.
+PUBLIC = frozenset("co.uk org.uk ac.uk gov.uk me.uk net.uk com.au net.au org.au edu.au co.nz org.nz co.jp ne.jp or.jp ac.jp co.kr or.kr com.br org.br com.cn org.cn com.tw com.hk com.sg com.my co.id co.in co.th com.tr com.mx com.ar com.co co.za co.il com.ua co.example".split())
 
 #: Words of the seed set, fixed values.
 PLAIN = ("news", "garden", "river", "science", "history", "music", "school", "library", "city", "travel", "kitchen", "forum", "wiki", "blog", "docs", "photo", "sport", "weather", "museum", "health")
@@ -46,7 +52,10 @@ def entropy(s: str) -> float:
 
 
 def suffix(host: str) -> str:
-    return ".".join(host.split(".")[-2:])
+    """The public ending, without a port; empty for numeric hosts."""
+    labels = re.sub(r":[0-9]*$", "", host).rstrip(".").split(".")
+    two = ".".join(labels[-2:])
+    return two if two in PUBLIC else "" if re.fullmatch(r"[0-9]+|.*\]", labels[-1]) else labels[-1]
 
 
 def describe(url: str | None, stats: dict[str, tuple[float, float]]) -> list[float]:
@@ -88,11 +97,22 @@ class Trees:
     def fit(cls, urls: list[str], labels: list[int], trees: int = TREES, depth: int = DEPTH) -> Trees:
         y = np.asarray(labels, float)
         mean = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
-        groups: dict[str, list[float]] = {}
-        for u, v in zip(urls, y, strict=True):
-            groups.setdefault(suffix(split_url(u)[0]), []).append(v)
-        stats = {s: ((sum(v) + PRIOR * mean) / (len(v) + PRIOR), float(np.log1p(len(v)))) for s, v in groups.items()} | {"": (mean, 0.0)}
-        x = np.array([describe(u, stats) for u in urls], float).reshape(len(urls), len(FEATURES))
+        groups: dict[str, list[tuple[int, float]]] = {}
+        folds = [zlib.crc32(split_url(u)[0].encode("utf-8", "surrogatepass")) % FOLDS for u in urls]
+        for u, k, v in zip(urls, folds, y, strict=True):
+            groups.setdefault(suffix(split_url(u)[0]), []).append((k, v))
+
+        def known(out: int) -> dict[str, tuple[float, float]]:
+            """Statistics of the suffixes, with the rate of all folds but ``out``."""
+            stats = {}
+            for s, rows in groups.items():
+                rest = [v for k, v in rows if k != out]
+                if s and len(rows) >= LEAST_SEEN:
+                    stats[s] = ((sum(rest) + PRIOR * mean) / (len(rest) + PRIOR), float(np.log1p(len(rows))))
+            return stats | {"": (mean, 0.0)}
+
+        stats, apart = known(-1), [{"": (mean, 0.0)}, *(known(k) for k in range(1, FOLDS))]
+        x = np.array([describe(u, apart[k]) for u, k in zip(urls, folds, strict=True)], float).reshape(len(urls), len(FEATURES))
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for j in range(x.shape[1])]
         binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], 1) if len(x) else np.zeros((0, len(FEATURES)), int)
         score, base, out = np.full(len(y), np.log(mean / (1 - mean))), float(np.log(mean / (1 - mean))), []

@@ -296,6 +296,19 @@ def test_trees_hold_out_accuracy():
     assert ((model.score(test) >= 0.5) == np.array(labels)).mean() > 0.9
 
 
+def test_suffixes_are_public_endings_learnt_out_of_fold():
+    hosts = ("shop.com", "a.b.shop.com", "x.co.uk", "x.example.org:80", "10.0.0.1", "", "x.net.")
+    assert [urls.suffix(h) for h in hosts] == ["com", "com", "co.uk", "org", "", "", "net"]
+    r = random.Random(8)
+    made = lambda n: [f"http://{''.join(r.choice('abcdefgh') for _ in range(9))}.{('com', 'biz')[i % 2]}/p" for i in range(n)]
+    model = urls.Trees.fit(made(400), [i % 2 for i in range(400)])
+    score = model.score(made(100))
+    assert ((score >= 0.5) == np.array([i % 2 for i in range(100)])).mean() > 0.95
+    assert set(model.stats) == {"com", "biz", ""} and abs(model.stats["biz"][0] - (200 + 2) / 204) < 1e-9
+    # an ending seen less often than the floor is unknown
+    assert set(urls.Trees.fit(made(400) + ["http://q.rare/p"] * 19, [i % 2 for i in range(419)]).stats) == {"com", "biz", ""}
+
+
 # -- quality --------------------------------------------------------------------------------------------------------------------
 
 
