@@ -25,7 +25,7 @@ def ascii_lower(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of white-space-separated words; null counts as no words."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(words(text)).cast("long")
 
 
 def words(text: Column, separators: str = SPACE) -> Column:
@@ -38,12 +38,49 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, to be shuffled.
+#: Bytes of Parquet up to which a written table is broadcast, some times as many in memory.
+BROADCAST_BYTES = 8 << 20
 
-    ``df`` is a written table, of which counting rows reads only the file footers.
+
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` bytes, else as it is, to be shuffled.
+
+    ``df`` comes from a written table (``cut``), whose files tell the planner their size; no job is run.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= most else df
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores as keep it apart from ``columns``, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def kept_columns(columns: list[str], made: list[str]) -> list[Column]:
+    """All columns but those that an operator makes itself."""
+    return [named(c) for c in columns if c.lower() not in {m.lower() for m in made}]
+
+
+def shielded(docs: DataFrame, *used: str, made: list[str] = ()) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with names of our own for all but the ``used`` columns, and what selects its columns again.
+
+    An operator that makes columns inside then can't clash with the user's; those named like its results (``made``)
+    are left out in the end.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    inner = {c: c if c in used else f"own_{i}" for i, c in enumerate(docs.columns)}
+    back = [named(n).alias(c) for c, n in inner.items() if c.lower() not in {m.lower() for m in made}]
+    return docs.select(*[named(c).alias(n) for c, n in inner.items()]), back
 
 
 def each(df: DataFrame, array: Column, name: str, *keep: str | Column) -> DataFrame:

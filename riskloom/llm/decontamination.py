@@ -5,33 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, UPPER, ascii_lower, each, sized, table, words
+from riskloom.llm.common import LOWER, UPPER, ascii_lower, each, fresh, kept_columns, sized, table, words
 from riskloom.session import cut
 
 SPAN = 13  # words of a shared span that must be found
 GRAM = 6  # words of a gram; a window has SPAN - GRAM + 1 grams, so each span holds one whole window
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows up to which a side is broadcast; with more, the join shuffles.
-BROADCAST_ROWS = 200_000
+ANY_CASE_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def grams(w: Column, n: int) -> Column:
-    """A hash of each run of ``n`` words."""
-    return F.when(F.size(w) >= n, F.slice(F.transform(w, lambda _, i: F.xxhash64(F.lit(n), F.slice(w, i + 1, n))), 1, F.size(w) - (n - 1))).otherwise(F.array().cast("array<bigint>"))
+def grams(hashes: str, n: int) -> Column:
+    """A hash of the run of ``n`` words at each position; the last n - 1 are of fewer words and mean nothing."""
+    return F.transform(hashes, lambda _, i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))
+
+
+def least_of_runs(df: DataFrame, column: str, run: int) -> DataFrame:
+    """``column`` with each value replaced by the least of the ``run`` values from there on, by doubling."""
+    ahead = lambda step: F.transform(column, lambda v, i: F.least(v, F.get(column, i + step)))
+    width = 1
+    while width < run:
+        step = min(width, run - width)
+        df, width = df.withColumn(column, ahead(step)), width + step
+    return df
 
 
 def with_marks(df: DataFrame, span: int, gram: int, short: list[int]) -> DataFrame:
-    """Adds mark_<n>: for each run of n words the hash that stands for it.
+    """Adds mark_<n>: at each position the hash that stands for the run of n words there.
 
     For n = ``span`` that is the least gram hash in the run (winnowing: neighbouring runs mostly share it); for
-    the lengths of items shorter than ``span`` it is the hash of the run.
+    the lengths of items shorter than ``span`` it is the hash of the run. Each word is hashed once. The last n - 1
+    positions, where no whole run starts, hold values without meaning.
     """
-    run = span - gram + 1
-    df = df.withColumn("g_hash", grams(F.col("g_words"), gram))
-    least = F.slice(F.transform("g_hash", lambda _, i: F.array_min(F.slice("g_hash", i + 1, run))), 1, F.size("g_hash") - (run - 1))
-    df = df.withColumn(f"mark_{span}", F.when(F.size("g_hash") >= run, least).otherwise(F.array().cast("array<bigint>")))
-    return df.withColumns({f"mark_{n}": grams(F.col("g_words"), n) for n in short})
+    df = df.withColumn("g_hash", F.transform("g_words", lambda w: F.xxhash64(w)))
+    df = least_of_runs(df.withColumn(f"mark_{span}", grams("g_hash", gram)), f"mark_{span}", span - gram + 1)
+    return df.withColumns({f"mark_{n}": grams("g_hash", n) for n in short})
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -40,32 +47,36 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GR
     spans: array of (start, length), every occurrence in the text of a window of ``span`` consecutive words of an
     item, or of a whole shorter item. items: the ids of those items, as sorted strings.
 
-    1. Each text keeps the distinct winnowing fingerprints of its windows. They are joined with the
-       benchmark's; what fits is the set of candidate texts with their shared fingerprints.
-    2. A window of a candidate whose fingerprint is shared is extended to its ``span`` words and joined with the
-       items' windows on the words themselves, so hash collisions do no harm.
+    1. Each text gives the winnowing fingerprints of its windows, once for each stretch that shares one. They are
+       joined with the benchmark's; what fits is the set of candidate texts with their shared fingerprints.
+    2. Candidates alone are split again. A window whose fingerprint is shared is extended to its ``span`` words and
+       joined with the items' windows on the words themselves, so hash collisions do no harm.
     Equal windows have equal fingerprints, so no shared window is lost.
     """
     items = cut(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(ascii_lower(F.col("text")), SEPARATORS).alias("g_words")).filter(F.size("g_words") > 0))
     lengths = sorted(r[0] for r in items.select(F.least(F.size("g_words"), F.lit(span))).distinct().collect())  # at most ``span`` numbers
-    short, names = [n for n in lengths if n < span], [f"mark_{n}" for n in lengths]
-    marks = F.array_distinct(F.flatten(F.array(*[F.col(n) for n in names] or [F.array().cast("array<bigint>")])))
+    short = [n for n in lengths if n < span]
+    n_item = F.least(F.size("g_words"), F.lit(span))
     marked_items = with_marks(items, span, gram, short)
-    of_items = cut(each(marked_items, F.when(F.size("g_words") < span, F.array(F.xxhash64(F.size("g_words"), F.col("g_words")))).otherwise(F.col(f"mark_{span}")), "mark").distinct())
+    whole = F.coalesce(*[F.when(n_item == n, F.slice(f"mark_{n}", 1, F.size("g_words") - (n - 1))) for n in lengths] or [F.array().cast("array<bigint>")])
+    of_items = cut(each(marked_items, whole, "mark").distinct())
     run = lambda i, n: F.array_join(F.slice("g_words", i + 1, n), " ")
-    n_item = F.least(F.size("g_words"), F.lit(span))
     starts = F.sequence(F.lit(0), F.size("g_words") - n_item)
-    of_windows = cut(each(items, F.transform(starts, lambda i: run(i, n_item)), "window", "item_id").groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
-
-    texts = docs.filter(F.col("text").isNotNull()).select(F.unhex(F.md5(F.col("text"))).alias("g_key"), words(ascii_lower(F.col("text")), SEPARATORS).alias("g_words"))
-    own = each(with_marks(texts, span, gram, short), marks, "mark", "g_key")
-    found = cut(own.join(sized(of_items, BROADCAST_ROWS), "mark").groupBy("g_key").agg(F.collect_set("mark").alias("g_found")))
-    again = with_marks(texts.join(sized(found, BROADCAST_ROWS), "g_key"), span, gram, short)
-    fits = lambda n: F.filter(F.transform(F.col(f"mark_{n}"), lambda m, i: F.when(F.array_contains("g_found", m), i)), lambda i: i.isNotNull())
+    of_windows = cut(each(items, F.transform(starts, lambda i: run(i, n_item)), "window", "item_id").distinct())
+
+    texts = docs.filter(F.col("text").isNotNull()).select("text", F.unhex(F.md5(F.col("text"))).alias("g_key"))
+    split = lambda df: df.select("*", words(ascii_lower(F.col("text")), SEPARATORS).alias("g_words")).drop("text")
+    once = lambda name: F.filter(name, lambda m, i: ~m.eqNullSafe(F.get(name, i - 1)))
+    marks = F.concat(*[once(f"mark_{n}") for n in lengths] or [F.array().cast("array<bigint>")])
+    own = each(with_marks(split(texts), span, gram, short), marks, "mark", "g_key")
+    found = cut(own.join(sized(of_items), "mark").groupBy("g_key").agg(F.collect_set("mark").alias("g_found")))
+    again = with_marks(split(texts.join(sized(found), "g_key")), span, gram, short)
+    fits = lambda n: F.filter(F.transform(F.col(f"mark_{n}"), lambda m, i: F.when((i <= F.size("g_words") - n) & F.array_contains("g_found", m), i)), lambda i: i.isNotNull())
     shown = lambda n: F.transform(fits(n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("length"), run(i, n).alias("window")))
     windows = F.flatten(F.array(*map(shown, lengths))) if lengths else F.expr("array(named_struct('start', 0, 'length', 0, 'window', ''))")
     rows = each(again, windows, "x", "g_key").select("g_key", F.struct("x.start", "x.length").alias("span"), "x.window")
-    return rows.join(sized(of_windows, BROADCAST_ROWS), "window").groupBy("g_key").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    # copies of a text, and items that share a window, meet in the sets of each task before anything is shuffled
+    return rows.join(sized(of_windows), "window").groupBy("g_key").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
 def covered(spans: Column) -> Column:
@@ -74,20 +85,24 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"]
 
 
+MADE = ["n_words", "n_hit", "spans", "items", "contaminated"]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """``docs`` with n_words, n_hit, spans, items, contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
     A word is a run of [0-9a-z] or non-ASCII characters, A-Z lower-cased. A function of the text alone: copies and rows
-    with a null or repeated doc_id each get their text's result. Null and empty texts have no words and no hits. An
-    item with a null id counts under the empty id, an item without words is passed over. Empty tables: no
-    rows, or no hits. Columns of ``docs`` with these names, or g_*, are overwritten.
+    with a null or repeated doc_id each get their text's result. Null and empty texts have no words and no hits; a text
+    may be as long as a value may be. An item with a null id counts under the empty id, an item without words is passed
+    over. Empty tables: no rows, or no hits. Columns of ``docs`` with the five names are overwritten, all others kept.
     """
-    made = {"n_words", "n_hit", "spans", "items", "contaminated"}
-    keep = [c for c in docs.columns if c not in made and not c.startswith("g_")]
-    found = cut(hits(docs.select("text"), benchmark, span, gram))
-    out = docs.select(*keep, F.unhex(F.md5(F.col("text"))).alias("g_key"), F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
-    out = out.join(sized(found, BROADCAST_ROWS), "g_key", "left").withColumn("n_hit", F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long"))
-    return out.select(*keep, "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    keep = kept_columns(docs.columns, MADE)
+    g_key, g_spans, g_items = fresh([*docs.columns, *MADE], "g_key", "g_spans", "g_items")
+    found = cut(hits(docs.select("text"), benchmark, span, gram).toDF(g_key, g_spans, g_items))
+    out = docs.select(*keep, F.unhex(F.md5(F.col("text"))).alias(g_key), F.size(words(F.col("text"), ANY_CASE_SEPARATORS)).cast("long").alias("n_words"))
+    out = out.join(sized(found), g_key, "left").withColumn("n_hit", F.coalesce(covered(F.col(g_spans)), F.lit(0)).cast("long"))
+    contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return out.select(*keep, "n_words", "n_hit", F.col(g_spans).alias("spans"), F.col(g_items).alias("items"), contaminated.alias("contaminated"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,6 @@ SEED = 42
 RADIUS = 3
 #: A variant that more fingerprints share is not resolved in pairs; see links().
 PAIRS_UP_TO = 256
-BROADCAST_ROWS = 500_000
 CHUNK = 1 << 16
 #: The three parts of 64 bits, of which each key leaves one out.
 PARTS = (range(0, 21), range(21, 43), range(43, 64))
@@ -140,7 +139,7 @@ def joined(marked: DataFrame, keep: list[str]) -> DataFrame:
     roots = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     groups = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))
     more = cut(roots.join(groups.filter("members > 1"), "root").select("fp", "component_id"))
-    return marked.join(sized(more, BROADCAST_ROWS).withColumn("linked", F.lit(True)), "fp", "left").select(*keep, "fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("linked").isNull().alias("alone"))
+    return marked.join(sized(more).withColumn("linked", F.lit(True)), "fp", "left").select(*keep, "fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("linked").isNull().alias("alone"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -151,7 +150,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     repeated = cut(first.filter("not alone").groupBy("component_id").count().filter("count > 1").select(F.col("component_id").alias("r_id")))
     if not repeated.count():
         return first.select(*docs.columns)
-    twice = first.join(sized(repeated, BROADCAST_ROWS), ~F.col("alone") & F.col("component_id").eqNullSafe(F.col("r_id")), "left").withColumn("r_has", ~F.col("alone") & (F.col("r_id").isNotNull() | F.col("component_id").isNull()))
+    twice = first.join(sized(repeated), ~F.col("alone") & F.col("component_id").eqNullSafe(F.col("r_id")), "left").withColumn("r_has", ~F.col("alone") & (F.col("r_id").isNotNull() | F.col("component_id").isNull()))
     return twice.filter("not r_has").select(*docs.columns).unionByName(twice.filter("r_has").dropDuplicates(["component_id"]).select(*docs.columns))
 
 
