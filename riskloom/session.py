@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only on one machine, where the session names no shared folder (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
@@ -25,8 +25,11 @@ def get_spark(app: str = "riskloom", master: str | None = None, **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder that the driver and every executor share; on a cluster the session has to name it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,3 +42,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/riskloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself if it only reads files and maps or filters their rows, so that each run finds the same rows in the same
+    places; else written and read again."""
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        children = plan.children()
+        if plan.nodeName() not in ("Project", "Filter") and not (plan.nodeName() == "LogicalRelation" and df.inputFiles()):
+            return cut(df)
+        plans += [children.apply(i) for i in range(children.size())]
+    return df
