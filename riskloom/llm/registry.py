@@ -17,4 +17,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_decontamination": decontamination.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op4_lm_scoring": lm_scoring.OP4_SQL,
 }
