@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import SPACE, each, sized, table, words
+from riskloom.llm.common import SPACE, each, shielded, sized, table, words
 from riskloom.session import cut
 
 BUCKETS = 10_000
@@ -16,18 +16,18 @@ RANKS = 10_000  # quantiles are exact to one in so many rows
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of words
 SYMBOLS = "#*$%&|<>"
-BROADCAST_ROWS = 1_000_000
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """Adds q_words (array), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
+    """Adds q_words and q_hash (the words and their hashes), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
     n_repeat_words: windows of three words, hashed, that occur twice or more in the text; the words that they cover.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.withColumn("q_words", words(F.col("text")))
+    d = docs.withColumn("q_words", words(F.col("text"))).withColumn("q_hash", hashes("q_words"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumn("q_lines", lines).withColumn("q_runs", F.when(F.size("q_words") >= 3, F.slice(F.transform("q_words", lambda _, i: F.xxhash64(F.slice("q_words", i + 1, 3))), 1, F.size("q_words") - 2)).otherwise(F.array().cast("array<bigint>")))
+    runs = F.transform("q_hash", lambda h, i: F.xxhash64(h, F.get("q_hash", i + 1), F.get("q_hash", i + 2)))
+    d = d.withColumn("q_lines", lines).withColumn("q_runs", F.slice(runs, 1, F.greatest(F.size("q_hash") - 2, F.lit(0))))
     placed = F.array_sort(F.transform("q_runs", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     d = d.withColumn("q_sorted", F.when(F.size(F.array_distinct("q_runs")) < F.size("q_runs"), placed))
     same = lambda x, j: (x["h"] == F.get("q_sorted", j - 1)["h"]) | (x["h"] == F.get("q_sorted", j + 1)["h"])
@@ -48,16 +48,20 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def features(buckets: int):
-    """Hash buckets of the words and word pairs of q_words."""
-    one = F.transform("q_words", lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)))
-    two = F.transform("q_words", lambda w, i: F.pmod(F.xxhash64(w, F.get("q_words", i + 1)), F.lit(buckets)))
-    return F.concat(one, F.slice(two, 1, F.greatest(F.size("q_words") - 1, F.lit(0)))).cast("array<int>")
+def hashes(words: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def features(buckets: int) -> Column:
+    """Hash buckets of the words and word pairs of a text, from the hashes of its words (q_hash)."""
+    one = F.transform("q_hash", lambda h: F.pmod(h, F.lit(buckets)))
+    two = F.transform("q_hash", lambda h, i: F.pmod(F.xxhash64(h, F.get("q_hash", i + 1)), F.lit(buckets)))
+    return F.concat(one, F.slice(two, 1, F.greatest(F.size("q_hash") - 1, F.lit(0)))).cast("array<int>")
 
 
 def trusted_ids(trusted: DataFrame) -> DataFrame:
     ids = trusted.select(F.col("doc_id").alias("q_id")).filter(F.col("q_id").isNotNull()).distinct()
-    return sized(cut(ids), BROADCAST_ROWS)
+    return sized(cut(ids))
 
 
 def counted(docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS) -> tuple[list[int], list[int]]:
@@ -65,7 +69,7 @@ def counted(docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS) -> tuple[li
 
     All words of all documents are counted; what reaches the driver is one row for each of the ``buckets``.
     """
-    d = docs.select("doc_id", words(F.col("text")).alias("q_words")).select("doc_id", features(buckets).alias("f"))
+    d = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("q_hash")).select("doc_id", features(buckets).alias("f"))
     d = each(d.join(ids, F.col("doc_id") == F.col("q_id"), "left"), F.col("f"), "b", F.col("q_id").isNotNull().cast("long").alias("t"))
     raw, target = [0] * buckets, [0] * buckets
     for r in d.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t")).collect():
@@ -119,7 +123,7 @@ def limits(docs: DataFrame, ids: DataFrame, raw: list[int], target: list[int], b
     centres = cut(own.groupBy(F.col(by).alias("q_by")).agg(F.percentile_approx("q_own", 0.5, RANKS).alias("q_centre")))
     if not k:
         return centres.filter("false").select(F.col("q_by").alias(by), F.col("q_centre").alias("q_limit"))
-    below = own.join(sized(centres, BROADCAST_ROWS), F.col(by).eqNullSafe(F.col("q_by"))).select((F.col("q_own") - F.col("q_centre")).alias("q_below"))
+    below = own.join(sized(centres), F.col(by).eqNullSafe(F.col("q_by"))).select((F.col("q_own") - F.col("q_centre")).alias("q_below"))
     least = below.agg(F.percentile_approx("q_below", (k - 0.5) / n, RANKS)).first()[0]
     return centres.select(F.col("q_by").alias(by), (F.col("q_centre") + least).alias("q_limit"))
 
@@ -130,20 +134,21 @@ def judge(docs: DataFrame, weights: list[float], threshold: float | DataFrame |
     kept: not base_failed, and llr at least ``threshold``: a number, or what ``limits`` gives for the document's group;
     without one the base rules decide. The same text always gets the same verdict in a group. Null, empty and blank
     texts: counts 0, llr 0, base_failed. Repeated rows and doc_ids: each row by itself. No rows: no rows. Columns of
-    ``docs`` with these names, or q_*, are overwritten.
+    ``docs`` with these names are overwritten, all others kept.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    keep = [c for c in docs.columns if c not in {*made, "llr", "kept"} and not c.startswith("q_")]
-    d, limit = docs.select(*keep), F.lit(None if isinstance(threshold, DataFrame) else threshold).cast("double")
-    if isinstance(threshold, DataFrame):
-        by, limit = threshold.columns[0], F.col("q_limit")
-        d = d.join(sized(threshold.withColumnRenamed(by, "q_by"), BROADCAST_ROWS), F.col(by).eqNullSafe(F.col("q_by")), "left").drop("q_by")
+    by = threshold.columns[0] if isinstance(threshold, DataFrame) else None
+    d, back = shielded(docs, "text", *filter(None, [by]), made=[*made, "llr", "kept"])
+    limit = F.lit(None if by else threshold).cast("double")
+    if by:
+        limit = F.col("q_limit")
+        d = d.join(sized(threshold.withColumnRenamed(by, "q_by")), F.col(by).eqNullSafe(F.col("q_by")), "left").drop("q_by")
     table_of = literal(weights)
     d = base_rules(d).withColumn("q_f", features(len(weights)))
     total = F.aggregate("q_f", F.lit(0.0), lambda acc, b: acc + F.get(table_of, b))
     # no condition around it: the planner folds the literal only outside of branches
     d = d.withColumn("llr", total / F.greatest(F.size("q_f"), F.lit(1)))
-    return d.select(*keep, *made, "llr", (~F.col("base_failed") & F.coalesce(F.col("llr") >= limit, F.lit(True))).alias("kept"))
+    return d.select(*back, *made, "llr", (~F.col("base_failed") & F.coalesce(F.col("llr") >= limit, F.lit(True))).alias("kept"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
