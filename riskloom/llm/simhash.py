@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import by_value, each, sized, table
+from riskloom.llm.common import by_value, each, shielded, sized, table
 from riskloom.llm.components import components
 from riskloom.session import cut
 
@@ -21,6 +21,7 @@ RADIUS = 3
 #: A variant that more fingerprints share is not resolved in pairs; see links().
 PAIRS_UP_TO = 256
 CHUNK = 1 << 16
+VARIANTS_A_TASK = 1_000_000
 #: The three parts of 64 bits, of which each key leaves one out.
 PARTS = (range(0, 21), range(21, 43), range(43, 64))
 
@@ -81,26 +82,29 @@ def middle_masks() -> list[tuple[int, list[int]]]:
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): edges between fingerprints (column fp) that join exactly those within RADIUS bits of a common chain.
-
-    Every fingerprint emits its variants. A variant held by 2 to PAIRS_UP_TO fingerprints gives its pairs, which are verified.
-    The fingerprints in fuller ones are few values close together: they are linked without pairs, by
-    hubs. Each emits all values within one bit (near) and, two bits away, within two (far). All near holders of a value lie
-    within 2 of each other and within 3 of all its far holders, so a value with a near holder links all its
-    holders to one near holder; two at distance 3 always meet as near and far. A pair either shares a variant that was resolved in pairs, or both
-    ends are among those with hubs: none is lost.
+    """(a, b): edges between fingerprints (column fp, each once) that join exactly those within RADIUS bits of a common chain.
+
+    Every fingerprint emits its variants, which are counted first: sums on the map side, so a crowded variant is a row a
+    task. A variant held by 2 to PAIRS_UP_TO fingerprints gives its pairs, which are verified. The fingerprints in fuller ones are
+    few values close together: they are linked without pairs, by hubs. Each emits all values within one bit (near) and, two
+    bits away, within two (far). All near holders of a value lie within 2 of each other and within 3 of all its far
+    holders, so a value with a near holder links all its holders to one near holder; two at distance 3 always meet as near
+    and far. A pair either shares a variant that was resolved in pairs, or both ends are among those with hubs: none is lost.
     """
-    rows = each(nodes, _variants(F.col("fp"), middle_masks()), "v", "fp")
-    held = Window.partitionBy("v")
-    ahead = held.orderBy("fp").rowsBetween(1, PAIRS_UP_TO - 1)
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(held)).filter("n > 1").withColumn("next", F.when(F.col("n") <= PAIRS_UP_TO, F.collect_list("fp").over(ahead)))
-    near = F.filter("next", lambda x: F.bit_count(F.col("fp").bitwiseXOR(x)) <= RADIUS)
+    masks = middle_masks()
+    parts = -(-nodes.count() * sum(len(flips) for _, flips in masks) // VARIANTS_A_TASK)
+    rows = each(nodes.select("fp").repartition(max(parts, 1), "fp"), _variants(F.col("fp"), masks), "v", "fp")
+    crowded = cut(rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRS_UP_TO).select("v"))
+    any_crowded = crowded.count() > 0
+    few = rows.join(sized(crowded), "v", "left_anti") if any_crowded else rows
+    ahead = F.collect_list("fp").over(Window.partitionBy("v").orderBy("fp").rowsBetween(1, PAIRS_UP_TO - 1))
+    near = F.filter(F.col("next"), lambda x: F.bit_count(F.col("fp").bitwiseXOR(x)) <= RADIUS)
     # only verified links leave the task
-    rows = rows.select("fp", F.coalesce(near, F.array().cast("array<bigint>")).alias("next"), (F.col("n") > PAIRS_UP_TO).alias("dense"))
-    rows = cut(rows.groupBy("fp").agg(F.array_distinct(F.flatten(F.collect_set("next"))).alias("next"), F.max("dense").alias("dense")))
-    pairs = each(rows, F.col("next"), "b", F.col("fp").alias("a"))
-    dense = cut(rows.filter("dense").select("fp"))
-    return pairs.unionByName(hub_links(dense)) if dense.count() else pairs
+    found = few.withColumn("next", ahead).filter(F.size("next") > 0).select("fp", near.alias("next")).filter(F.size("next") > 0)
+    pairs = each(found, F.col("next"), "b", F.col("fp").alias("a")).distinct()
+    if not any_crowded:
+        return pairs
+    return pairs.unionByName(hub_links(cut(rows.join(sized(crowded), "v", "left_semi").select("fp").distinct())))
 
 
 def hub_links(dense: DataFrame) -> DataFrame:
@@ -121,43 +125,53 @@ def hub_links(dense: DataFrame) -> DataFrame:
     return close.unionByName(ring.join(hubs, "v").select(F.col("fp").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct())
 
 
+MADE = ["fp", "component_id", "alone"]
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with fp (the signed fingerprint), component_id (least doc_id reachable) and alone (nothing is linked to it).
 
     Links are between fingerprints, so copies cost one row and no pairs. Null, empty and blank texts have fingerprint 0,
-    linked like any other. Rows with a null doc_id take their component's id; a component of such rows only
-    has a null one. Repeated doc_ids: each row by itself. No rows: no rows. Columns with these names are overwritten.
+    linked like any other; a text of any length counts whole. Rows with a null doc_id take their component's id; a
+    component of such rows only has a null one. Repeated doc_ids: each row by itself. No rows: no rows. Columns with these
+    names are overwritten, all others kept.
     """
-    keep = [c for c in docs.columns if c not in {"fp", "component_id", "alone"}]
-    return joined(cut(docs.select(*keep, fingerprint(F.col("text")).alias("fp"))), keep)
+    inner, back = shielded(docs, "doc_id", "text", made=MADE)
+    return joined(cut(inner.select("*", fingerprint(F.col("text")).alias("fp")))).select(*back, *MADE)
 
 
-def joined(marked: DataFrame, keep: list[str]) -> DataFrame:
-    """near_duplicates() for a written table that has fp already."""
+def joined(marked: DataFrame) -> DataFrame:
+    """A written table that has doc_id and fp, with component_id, alone and root (the component's name among fingerprints)."""
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     found = components(links(nodes.select("fp")))
     roots = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     groups = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))
-    more = cut(roots.join(groups.filter("members > 1"), "root").select("fp", "component_id"))
-    return marked.join(sized(more).withColumn("linked", F.lit(True)), "fp", "left").select(*keep, "fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("linked").isNull().alias("alone"))
+    more = cut(roots.join(groups.filter("members > 1"), "root").select("fp", "component_id", "root", F.lit(True).alias("linked")))
+    out = marked.join(sized(more), "fp", "left")
+    return out.withColumns({"component_id": F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")), "alone": F.col("linked").isNull()}).drop("linked")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, one row of each component: that of its least doc_id."""
-    out = near_duplicates(docs)
+    """The columns of ``docs``, whatever their names, one row of each component: that of its least doc_id.
+
+    Null, empty and long texts, repeated rows and null or repeated ids: as in ``near_duplicates``; of rows that share the least
+    doc_id, or have none, one stays. No rows: no rows.
+    """
+    inner, back = shielded(docs, "doc_id", "text")
+    out = joined(cut(inner.select("*", fingerprint(F.col("text")).alias("fp"))))
     first = out.filter(F.col("alone") | F.col("doc_id").eqNullSafe(F.col("component_id")))
     # rows that repeat a doc_id, or have none, stand in for each other
-    repeated = cut(first.filter("not alone").groupBy("component_id").count().filter("count > 1").select(F.col("component_id").alias("r_id")))
+    repeated = cut(first.filter("not alone").groupBy("root").count().filter("count > 1").select("root"))
     if not repeated.count():
-        return first.select(*docs.columns)
-    twice = first.join(sized(repeated), ~F.col("alone") & F.col("component_id").eqNullSafe(F.col("r_id")), "left").withColumn("r_has", ~F.col("alone") & (F.col("r_id").isNotNull() | F.col("component_id").isNull()))
-    return twice.filter("not r_has").select(*docs.columns).unionByName(twice.filter("r_has").dropDuplicates(["component_id"]).select(*docs.columns))
+        return first.select(*back)
+    single = first.filter("alone").unionByName(first.filter("not alone").join(sized(repeated), "root", "left_anti"), allowMissingColumns=True)
+    several = first.filter("not alone").join(sized(repeated), "root", "left_semi").dropDuplicates(["root"])
+    return single.select(*back).unionByName(several.select(*back))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    marked = cut(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
-    out = joined(marked, ["doc_id"])
+    out = joined(cut(docs.select("doc_id", fingerprint(F.col("text")).alias("fp"))))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
