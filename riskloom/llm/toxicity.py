@@ -6,17 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import by_value, table
+from riskloom.llm.common import by_value, shielded, table
 
-WINDOW, STRIDE = 32, 24  # words; neighbouring windows share WINDOW - STRIDE
+WINDOW, STRIDE = 32, 16  # words; neighbouring windows share half
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN, ATTENTION = 1 << 13, 1 << 14, 16, 16, 16
 GRAMS = (3, 4, 5)
-#: Bounds of the labelled sample: ids drawn per class, rows kept per class, and UTF-8 bytes of a training text.
-DRAWN, PER_CLASS, LONGEST = 12_000, 1_000, 2_000
-EPOCHS, LEAST_STEPS, BATCH, STEP, SEED = 6, 300, 40, 4e-3, 5
+#: Bounds of the labelled sample, for each class: ids drawn, rows kept, and UTF-8 bytes of all their texts together.
+DRAWN, PER_CLASS, BYTES = 12_000, 1_000, 2_000_000
+EPOCHS, LEAST_STEPS, BATCH, STEP, SEED = 6, 500, 40, 4e-3, 5
+LEAST_SHARE = 3  # the rarer class is repeated until it is one in so many
 KNOWN_WORDS = 100_000  # words whose inputs a worker remembers
 CHUNK = 2048  # windows that run side by side
 EDGE = b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum())
@@ -145,52 +146,52 @@ class Net:
             g[name] = du
         return g, dx
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Net:
-        """Learns from whole documents: a document's logit is the greatest of its windows (early on, a soft maximum)."""
+    def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, least_steps: int = LEAST_STEPS) -> Net:
+        """Learns from whole documents: a document's logit is the greatest of its windows, so only that window is learnt from
+        (early on a soft maximum, and so all windows). Without texts of both labels all scores are low."""
         vocab: dict[bytes, int] = {b"": 0}
         docs = [np.array([vocab.setdefault(w, len(vocab)) for w in tokens(t)], np.int32) for t in texts]
-        use = [i for i, d in enumerate(docs) if len(d)]
         y, r = np.asarray(labels, np.float32), np.random.default_rng(SEED)
-        if not use or y[use].min() == y[use].max():
+        classes = sorted(([i for i, d in enumerate(docs) if len(d) and y[i] == c] for c in (0, 1)), key=len)
+        if not classes[0]:
             self.p["bo"][:] = -4.0
             self.p["wo"][:] = 0
             return self
         word, char, starts = word_inputs(list(vocab))
         ends = np.append(starts[1:], len(char))
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        step = 0
-        epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(use)))  # a small sample is gone through more often
+        step, rare = 0, max(len(classes[0]), len(classes[1]) // (LEAST_SHARE - 1))
+        size = rare + len(classes[1])
+        epochs = max(epochs, -(-least_steps * BATCH // size))  # a small sample is gone through more often
         for epoch in range(epochs):
             rate = STEP * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
-            order = r.permutation(use)
+            often = np.concatenate([r.permutation(classes[0]) for _ in range(-(-rare // len(classes[0])))])[:rare]
+            order = r.permutation(np.concatenate([often, classes[1]]))
             for at in range(0, len(order), BATCH):
                 chosen = order[at : at + BATCH]
                 ids, owner = laid_out([docs[i] for i in chosen])
-                seen, flat = np.unique(ids, return_inverse=True)
-                flat = flat.reshape(ids.shape).T
-                span = np.concatenate([np.arange(starts[w], ends[w]) for w in seen])
-                size = ends[seen] - starts[seen]
-                begin = np.concatenate([[0], size.cumsum()[:-1]])
-                vectors, scale = self.embed(word[seen], char[span], begin)
-                proj = vectors @ self.p["wx"] + self.p["bx"]
-                mask = (ids > 0).T
-                logit, kept = self.run(proj[flat], mask, keep=True)
+                inputs = self.inputs(ids, word, char, starts, ends)
+                if epoch >= 2:
+                    logit = self.run(inputs[-1][inputs[1]], (ids > 0).T)
+                    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                    top = np.flatnonzero(logit == np.maximum.reduceat(logit, edges)[owner])
+                    ids = ids[top[np.r_[True, owner[top][1:] != owner[top][:-1]]]]  # the first, if windows are equal
+                    owner = np.arange(len(chosen))
+                    inputs = self.inputs(ids, word, char, starts, ends)
+                seen, flat, span, sizes, vectors, scale, proj = inputs
+                logit, kept = self.run(proj[flat], (ids > 0).T, keep=True)
                 edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 top = np.maximum.reduceat(logit, edges)
-                if epoch < 2:
-                    soft = np.exp(logit - top[owner])
-                    total = np.add.reduceat(soft, edges)
-                    share, doc = soft / total[owner], top + np.log(total)
-                else:
-                    share, doc = (logit == top[owner]).astype(np.float32), top
-                g, dx = self.back(((sigmoid(doc) - y[chosen]) / len(chosen))[owner].astype(np.float32) * share, kept)
+                soft = np.exp(logit - top[owner])
+                total = np.add.reduceat(soft, edges)
+                g, dx = self.back(((sigmoid(top + np.log(total)) - y[chosen]) / len(chosen))[owner].astype(np.float32) * soft / total[owner], kept)
                 dproj = np.zeros_like(proj)
                 np.add.at(dproj, flat.ravel(), dx.reshape(-1, dx.shape[2]))
                 g["wx"], g["bx"] = vectors.T @ dproj, dproj.sum(0)
                 dvec = dproj @ self.p["wx"].T
                 g["word"], g["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
                 np.add.at(g["word"], word[seen], dvec)
-                spread = np.repeat(dvec * scale, size, axis=0)
+                spread = np.repeat(dvec * scale, sizes, axis=0)
                 for j in range(char.shape[1]):
                     np.add.at(g["char"], char[span, j], spread)
                 g["char"][CHAR_ROWS] = 0
@@ -201,6 +202,16 @@ class Net:
                     v -= (rate / (1 - 0.9**step) * first[k] / (np.sqrt(second[k] / (1 - 0.998**step)) + 1e-7)).astype(np.float32)
         return self
 
+    def inputs(self, ids: np.ndarray, word: np.ndarray, char: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Of some windows of words: the different words, which of them stands where (time, window), their characters, how many
+        each has, their input vectors and scales, and what they give to the gates."""
+        seen, flat = np.unique(ids, return_inverse=True)
+        sizes = ends[seen] - starts[seen]
+        begin = np.concatenate([[0], sizes.cumsum()[:-1]])
+        span = np.repeat(starts[seen] - begin, sizes) + np.arange(sizes.sum())
+        vectors, scale = self.embed(word[seen], char[span], begin)
+        return seen, flat.reshape(ids.shape).T, span, sizes, vectors, scale, vectors @ self.p["wx"] + self.p["bx"]
+
     def scorer(self):
         """A function from texts to scores; it remembers the inputs of words that it has met, up to KNOWN_WORDS."""
         vocab: dict[bytes, int] = {b"": 0}
@@ -226,19 +237,28 @@ class Net:
         return score
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: at most PER_CLASS rows of each class, drawn by a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = BYTES) -> tuple[list[str], list[int]]:
+    """Texts and labels to learn from, drawn by a hash of doc_id: of each class at most ``per_class`` rows of at most ``most_bytes`` in all.
 
     Rows with crc32(doc_id as text) mod 5 = 0 are held out. Labels pick the ids first (DRAWN a class, so the join's small
-    side is bounded); texts of more than LONGEST bytes are passed over in training only.
+    side is bounded). Texts of any length are drawn whole, in the order of the hash, up to the first that doesn't fit.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     drawn = [known.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(DRAWN) for c in (0, 1)]
-    short = docs.select("doc_id", "text").filter(F.octet_length("text") <= LONGEST)
-    both = short.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
-    rows = [r for c in (0, 1) for r in both.filter(F.col("toxic") == c).orderBy(order, "doc_id", F.xxhash64("text")).limit(PER_CLASS).collect()]
-    return [r.text for r in rows], [int(r.toxic) for r in rows]
+    both = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
+    place = Window.orderBy("h", "doc_id", "k")
+    texts, classes = [], []
+    for c in (0, 1):
+        keys = both.filter(F.col("toxic") == c).select("doc_id", order.alias("h"), F.xxhash64("text").alias("k"), F.octet_length("text").alias("b"))
+        # the first rows in order, without their texts: at most ``per_class``
+        first = keys.orderBy("h", "doc_id", "k").limit(per_class).withColumn("sum", F.sum("b").over(place)).filter(F.col("sum") <= most_bytes)
+        chosen = first.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"))
+        rows = docs.select("doc_id", "text").withColumn("k", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "k"]).select("doc_id", "text", "k", "n").distinct().collect()
+        for r in sorted(rows, key=lambda r: (r.doc_id, r.k)):
+            texts += [r.text] * r.n
+            classes += [c] * r.n
+    return texts, classes
 
 
 def held_out():
@@ -249,7 +269,7 @@ def toxicity(docs: DataFrame, net: Net) -> DataFrame:
     """``docs`` with score: the greatest over all overlapping windows of the whole text.
 
     Null, empty and wordless texts score 0. Only the text is used: copies and rows with null or repeated ids get
-    their text's score. No rows: no rows. A column named score is overwritten.
+    their text's score. No rows: no rows. A column named score is overwritten, all others are kept.
     """
 
     @F.pandas_udf("double")
@@ -267,7 +287,8 @@ def toxicity(docs: DataFrame, net: Net) -> DataFrame:
             out.append(score(part))
             yield pd.Series(np.concatenate(out))
 
-    return docs.select(*[c for c in docs.columns if c != "score"], scored(F.col("text")).alias("score"))
+    inner, back = shielded(docs, "text", made=["score"])
+    return inner.select(*back, scored(F.col("text")).alias("score"))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Net:
