@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import table, word_count
+from riskloom.llm.common import shielded, table, word_count
 from riskloom.session import cut
 
 WEIGHTS = (5, 2, 1)
@@ -43,7 +43,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     return out.select("source", "source_size", F.col("w").alias("weight"), target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
+MADE = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """Rows of ``docs`` with mix_size, mix_source_size, mix_target, mix_copies (0 to ``most``).
 
     Systematic sampling: every document of a source expects target / source_size copies; their prefix sum
@@ -52,39 +55,45 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     all sizes and the words taken miss the target by little more than one large document. The rank
     in a source is the rank in a bucket plus the sizes of the buckets before it: no task holds a source.
 
-    Null source: a source of its own, the last. Null or empty text: size 0, and copies as any other. Repeated
-    rows and doc_ids: each row is a document; equal rows can swap places. No rows: no rows.
+    Null source: a source of its own, the last. Null or empty text: size 0, and copies as any other; a text of any length
+    counts whole. Repeated rows and doc_ids: each row is a document; equal rows can swap places, and share a bucket. No rows:
+    no rows. Columns of ``docs`` with the names made here are overwritten, all others kept.
     """
-    spark, rows = docs.sparkSession, docs.count()
+    inner, back = shielded(docs, "doc_id", "text", "source", made=MADE)
+    inner = inner.withColumns({"mix_size": word_count(F.col("text")), "mix_key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    return placed(inner, docs.count(), weights, share, most, seed).select(*back, *MADE)
+
+
+def placed(d: DataFrame, rows: int, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """``mix`` of ``rows`` rows that have doc_id, source, mix_size and mix_key, a hash of the text."""
     k = max(1, -(-rows // ROWS_A_BUCKET))
-    size = word_count(F.col("text")) if size is None else size
-    d = docs.withColumn("mix_size", size.cast("long"))
-    d = d.withColumn("mix_class", F.floor(F.log2(F.col("mix_size") + 1)).cast("int")).withColumn("mix_bucket", F.pmod(F.xxhash64("doc_id", F.col("text") if "text" in docs.columns else F.col("mix_size"), F.lit(seed)), F.lit(k)).cast("int"))
+    d = d.withColumn("mix_class", F.floor(F.log2(F.col("mix_size") + 1)).cast("int")).withColumn("mix_bucket", F.pmod(F.xxhash64("doc_id", "mix_key", F.lit(seed)), F.lit(k)).cast("int"))
     buckets = cut(d.groupBy("source", "mix_class", "mix_bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("words")))
     wanted = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     inside = Window.partitionBy("source").orderBy(F.col("mix_class").desc(), "mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = buckets.withColumn("ahead", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    placed = placed.join(wanted, placed["source"].eqNullSafe(wanted["source"])).select(placed["source"].alias("b_source"), F.col("mix_class").alias("b_class"), F.col("mix_bucket").alias("b_bucket"), F.col("ahead").alias("b_ahead"), F.col("source_size").alias("b_size"), F.col("target").alias("b_target"))
-    rank = F.row_number().over(Window.partitionBy("source", "mix_class", "mix_bucket").orderBy(F.col("mix_size").desc(), F.col("doc_id").asc_nulls_last(), *([F.xxhash64("text")] if "text" in docs.columns else [])))
+    ahead = buckets.withColumn("ahead", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    ahead = ahead.join(wanted, ahead["source"].eqNullSafe(wanted["source"])).select(ahead["source"].alias("b_source"), F.col("mix_class").alias("b_class"), F.col("mix_bucket").alias("b_bucket"), F.col("ahead").alias("b_ahead"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    rank = F.row_number().over(Window.partitionBy("source", "mix_class", "mix_bucket").orderBy(F.col("mix_size").desc(), F.col("doc_id").asc_nulls_last(), "mix_key"))
     d = d.withColumn("mix_rank", rank)
-    d = d.join(placed, d["source"].eqNullSafe(F.col("b_source")) & (d["mix_class"] == F.col("b_class")) & (d["mix_bucket"] == F.col("b_bucket")))
-    expected = F.when(F.col("b_size") > 0, F.col("b_target") / F.col("b_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64(d["source"], F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    d = d.join(ahead, d["source"].eqNullSafe(F.col("b_source")) & (d["mix_class"] == F.col("b_class")) & (d["mix_bucket"] == F.col("b_bucket")))
+    expected = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
+    offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     place = F.col("b_ahead") + F.col("mix_rank")
     crossed = F.floor(place * expected + offset) - F.floor((place - 1) * expected + offset)
-    made = {"mix_source_size": F.col("b_size"), "mix_target": F.col("b_target"), "mix_copies": F.greatest(F.lit(0), F.least(crossed, F.lit(most))).cast("int")}
-    kept = [d[c] for c in docs.columns if c not in {"mix_size", *made}]
-    return d.select(*kept, "mix_size", *[c.alias(k) for k, c in made.items()])
+    return d.withColumn("mix_copies", F.greatest(F.lit(0), F.least(crossed, F.lit(most))).cast("int"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as it is taken."""
-    out = mix(docs, **options)
-    return out.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    """The mix itself: the columns of ``docs``, whatever their names, each row as often as it is taken.
+
+    Null and empty texts, null sources, repeated rows and empty tables: as in ``mix``.
+    """
+    inner, back = shielded(docs, "doc_id", "text", "source")
+    return mix(inner, **options).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(*back)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    slim = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    out = mix(slim, size=F.col("size"))
-    return out.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).cast("long").alias("taken"), F.col("mix_copies").alias("copies"))
+    slim = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("mix_size"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mix_key")))
+    out = placed(slim, slim.count())
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken"), F.col("mix_copies").alias("copies"))
