@@ -13,6 +13,7 @@ import xxhash
 from riskloom.llm import components, decontamination, line_dedup, lm_scoring, mixing, quality, sharding, simhash, token_counts, toxicity, urls
 
 VOCAB = [f"w{i}" for i in range(60)]
+PAGES = "page_id long, url string, html string"
 SCHEMA = "doc_id long, text string, source string"
 
 
@@ -156,6 +157,15 @@ def test_one_of_each_keeps_whole_rows(spark, docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_of_null_ids_and_clashing_names(spark):
+    a, b = corpus()[2][1], " ".join(reversed(corpus()[2][1].split()))
+    rows = [(None, a, "x"), (None, a, "y"), (None, b, "x"), (None, b, "y"), (3, "one two three", "z"), (3, "one two three", "z"), (4, "one two three", "z"), (5, None, "n"), (6, "", "n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, fp string").selectExpr("*", "1 AS linked", "'q' AS root", "2L AS component_id", "true AS alone", "'r' AS r_id", "0 AS own_0", "7 AS `a.b`")
+    out = simhash.one_of_each(d).collect()
+    assert sorted(str(r.text) for r in out) == sorted(map(str, (a, b, "one two three", None))) and simhash.one_of_each(d).columns == d.columns
+    assert all((r.linked, r.root, r.component_id, r["a.b"]) == (1, "q", 2, 7) for r in out) and {r.doc_id for r in out} == {None, 3, 5}
+
+
 # -- line dedup -------------------------------------------------------------------------------------------------------
 
 
@@ -180,6 +190,19 @@ def test_line_dedup_cleans_small_hosts(spark, tmp_path):
     assert dropped == {"h1.example": 0} | {f"h{n}.example": n for n in (2, 3, 4, 9, 10)} | {"pair4.example": 2, "pair9.example": 0}
 
 
+@pytest.mark.parametrize("bound", [0, line_dedup.sized.__defaults__[0]])
+def test_line_dedup_of_a_hot_host_matches_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(line_dedup.sized, "__defaults__", (bound,))
+    r = random.Random(4)
+    rows = [(i, f"http://{'hot' if r.random() < 0.6 else f'h{r.randrange(9)}'}.example/{i}", "".join(f"<p>{r.choice('abcdefgh') * 3}</p>" for _ in range(r.randint(0, 6))) + f"<div>own {i}</div>") for i in range(300)]
+    lines = {i: [x for x in re.split(r"</?(?:p|div)>", h) if x] for i, _, h in rows}
+    host = {i: u.split("/")[2] for i, u, _ in rows}
+    pages, holds = Counter(host.values()), Counter((host[i], x) for i in lines for x in set(lines[i]))
+    bad = {k for k, n in holds.items() if n >= 2 and n > 0.3 * pages[k[0]]}
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, PAGES)).collect()
+    assert len(out) == 300 and {r.page_id: r.text for r in out} == {i: "\n".join(x for x in lines[i] if (host[i], x) not in bad) for i in lines}
+
+
 # -- language model ---------------------------------------------------------------------------------------------------
 
 
@@ -273,7 +296,87 @@ def test_toxicity_learns_and_scores_whole_texts(spark):
     tests = [(1, plain(5000) + " vilgaras " + plain(5000)), (2, plain(3000)), (3, None), (4, ""), (5, "VILGARO!!")]
     out = {x.doc_id: x.score for x in toxicity.toxicity(spark.createDataFrame(tests, "doc_id long, text string"), net).collect()}
     assert out[1] >= 0.5 > out[2] and out[3] == out[4] == 0.0 and out[5] > 0.5
-    assert list(toxicity.windows(33)) == [0, 24] and list(toxicity.windows(32)) == [0] and list(toxicity.windows(1)) == [0]
+    assert list(toxicity.windows(33)) == [0, 16] and list(toxicity.windows(32)) == [0] and list(toxicity.windows(1)) == [0]
+
+
+def slow_score(net, text):
+    """The network word by word and unit by unit."""
+    p, h = {k: v.astype(float).tolist() for k, v in net.p.items() if k not in ("word", "char")}, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    ws = toxicity.tokens(text)
+    best = None
+    for at in toxicity.windows(len(ws)):
+        xs = []
+        for w in ws[at : at + toxicity.WINDOW]:
+            word, char, _ = toxicity.word_inputs([w])
+            v, n = np.zeros(toxicity.DIM), 0
+            for row in char.tolist():
+                for c in row:
+                    if c < toxicity.CHAR_ROWS:
+                        v, n = v + net.p["char"][c], n + 1
+            v = v / math.sqrt(max(n, 1)) + net.p["word"][word[0]]
+            xs.append([sum(v[i] * p["wx"][i][j] for i in range(toxicity.DIM)) + p["bx"][j] for j in range(6 * h)])
+        both = []
+        for d, u in ((0, p["uf"]), (1, p["ub"])):
+            state, out = [0.0] * h, {}
+            for t in range(len(xs)) if d == 0 else reversed(range(len(xs))):
+                x = xs[t][3 * h * d : 3 * h * (d + 1)]
+                g = [sum(state[i] * u[i][j] for i in range(h)) for j in range(3 * h)]
+                z, r = [sig(x[j] + g[j]) for j in range(h)], [sig(x[h + j] + g[h + j]) for j in range(h)]
+                new = [math.tanh(x[2 * h + j] + r[j] * g[2 * h + j]) for j in range(h)]
+                state = [(1 - z[j]) * new[j] + z[j] * state[j] for j in range(h)]
+                out[t] = state
+            both.append(out)
+        hs = [both[0][t] + both[1][t] for t in range(len(xs))]
+        say = [sum(math.tanh(sum(x[i] * p["wa"][i][k] for i in range(2 * h)) + p["ba"][k]) * p["va"][k] for k in range(toxicity.ATTENTION)) for x in hs]
+        e = [math.exp(v - max(say)) for v in say]
+        pooled = [sum(e[t] * hs[t][i] for t in range(len(hs))) / sum(e) for i in range(2 * h)]
+        logit = sum(a * b for a, b in zip(pooled, p["wo"], strict=True)) + p["bo"][0]
+        best = logit if best is None else max(best, logit)
+    return 0.0 if best is None else sig(best)
+
+
+@pytest.fixture(scope="module")
+def toxic_tables(spark, tmp_path_factory):
+    r = random.Random(12)
+    plain = lambda n: " ".join("".join(r.choice(("th", "er", "on", "re", "an", "ha")) for _ in range(3)) for _ in range(n))
+    docs = [(i, plain(r.choice((5, 40, 400))) + (" you vilgar scumlet " + plain(20) if i % 4 == 0 else "")) for i in range(400)] + [(900, None), (901, ""), (902, " \n"), (None, "null id"), (4, "the id twice"), (903, plain(4000) + " vilgar scumlet " + plain(4000))]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(400) if i % 3] + [(7, 1, 0), (7, 0, 0), (None, 1, 1), (8, None, None), (5000, 1, 1)]
+    d = tmp_path_factory.mktemp("toxic")
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return str(d), docs
+
+
+def test_toxicity_query_matches_a_slow_network(spark, toxic_tables):
+    d, docs = toxic_tables
+    out = toxicity.op5_toxicity(spark, d).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in docs) and out[0].asDict().keys() == {"doc_id", "held_out", "score", "predicted"}
+    net = toxicity.trained(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    text = {i: t for i, t in docs if i not in (4, None)}
+    for r in out:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
+        if r.doc_id in text and (r.doc_id % 40 == 0 or 900 <= r.doc_id < 903):
+            assert abs(r.score - slow_score(net, text[r.doc_id])) < 1e-3
+    held = [(r.predicted, r.doc_id % 4 == 0) for r in out if r.held_out and r.doc_id < 400]
+    assert sum(p for p, y in held if y) >= 0.9 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 1
+    assert next(r.predicted for r in out if r.doc_id == 903) == 1
+
+
+def test_toxicity_sample_is_bounded_and_never_held_out(spark, toxic_tables):
+    d, docs = toxic_tables
+    tables = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    texts, classes = toxicity.labelled_sample(*tables)
+    learnt = {t for i, t in docs if i is not None and t is not None and zlib.crc32(str(i).encode()) % 5}
+    assert set(texts) <= learnt and 50 < sum(classes) < len(classes) - 50
+    few = toxicity.labelled_sample(*tables, per_class=7)
+    assert sum(few[1]) == 7 and len(few[1]) == 14
+    small = toxicity.labelled_sample(*tables, most_bytes=4000)
+    for c in (0, 1):
+        assert 0 < sum(len(t.encode()) for t, y in zip(*small, strict=True) if y == c) <= 4000
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    net = toxicity.trained(tables[0], none)
+    assert toxicity.toxicity(tables[0], net).filter("score >= 0.5").count() == 0
 
 
 # -- token counts --------------------------------------------------------------------------------------------------------
@@ -289,13 +392,43 @@ def test_histogram_answers_every_limit(spark, docs, empty):
     for r in token_counts.at_limits(h, (10, 50)).collect():
         assert (r.n_longer, r.tokens_kept) == (sum(x > r.limit for x in n), sum(min(x, r.limit) for x in n))
     assert token_counts.quantile(h, 0.5) == sorted(n)[math.ceil(len(n) / 2) - 1]
+    named = {float(q): r.length for r in h.collect() for q in r.quantiles.split(",") if q}
+    assert named == {q: sorted(n)[max(0, math.ceil(q * len(n)) - 1)] for q in token_counts.QUANTILES}
     assert token_counts.length_histogram(empty.selectExpr("doc_id AS n"), token_counts.F.col("n")).count() == 0
 
 
-# -- URLs -------------------------------------------------------------------------------------------------------------------
+def slow_tokens(text, ranks):
+    """Byte pairs merged one at a time, the least rank first."""
+    regex = pytest.importorskip("regex")
+    n = 0
+    for piece in regex.findall(token_counts.PATTERN, text or ""):
+        parts = [bytes([b]) for b in piece.encode()]
+        while len(parts) > 1:
+            rank, at = min((ranks.get(parts[i] + parts[i + 1], math.inf), i) for i in range(len(parts) - 1))
+            if rank == math.inf:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        n += len(parts)
+    return n
+
+
+def test_token_query_matches_a_slow_encoder(spark, tmp_path):
+    texts = [t for _, t, _ in corpus(30)] + ["It's  a \n\n tab\there, don't 123,456!! \u00e9t\u00e9 \u4f60\u597d \U0001f600", "a" + " " * 1500 + "b", "x\u3000" + "\n" * 1200, " " * 1100, "\t" * 1001 + " word", "a" * 300]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    n = [slow_tokens(t, token_counts.read_vocabulary(token_counts.VOCABULARY)) for t in texts]
+    out = token_counts.op6_token_counts(spark, str(tmp_path)).collect()
+    assert {r.length: r.n_docs for r in out} == {x: n.count(x) for x in (*n, *token_counts.LIMITS)}
+    for r in out:
+        assert (r.n_at_least, r.tokens_at_least, r.truncated_total, r.n_total, r.tokens_total) == (sum(x >= r.length for x in n), sum(x for x in n if x >= r.length), sum(min(x, r.length) for x in n), len(n), sum(n))
 
 
-PAGES = "page_id long, url string, html string"
+def test_very_long_runs_are_counted(spark):
+    rows = [(i, c * 1_000_000 + "x") for i, c in enumerate((" ", "\n", "a", "-", "1"))] + [(9, "b" + " " * 1_000_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.n > 1 for r in d.select(token_counts.token_count(spark)("text").alias("n")).collect())
+
+
+# -- URLs -------------------------------------------------------------------------------------------------------------------
 
 
 def made_pages(n, seed=8):
@@ -550,13 +683,25 @@ def test_shards_are_even_gapless_and_keep_copies(spark, empty):
     assert sharding.shard(empty).count() == 0
 
 
+@pytest.mark.parametrize("bytes_a_task", [sharding.BYTES_A_TASK, 40])
+def test_groups_stay_whole_up_to_a_shard(spark, bytes_a_task):
+    r = random.Random(3)
+    rest = [(i, " ".join(r.choice(VOCAB) for _ in range(40)), "s") for i in range(2400)]
+    mean = sum(len(t.encode()) + 8 for _, t, _ in rest)
+    copy, big = "whole " * 20, "split " * 20
+    n = round(mean / 4 * 0.6 / (len(copy) + 8))
+    rows = rest + [(5000 + i, copy, "s") for i in range(n)] + [(9000 + i, big, "s") for i in range(3 * n)]
+    out = sharding.shard(spark.createDataFrame(rows, SCHEMA), 6, bytes_a_task=bytes_a_task).collect()
+    assert len(out) == len(rows) and len({x.shard for x in out if x.text == copy}) == 1 and len({x.shard for x in out if x.text == big}) > 1
+    size = Counter()
+    for x in out:
+        size[x.shard] += len(x.text) + 8
+    assert len(size) == 6 and max(size.values()) < 1.1 * sum(size.values()) / 6
+    for s in range(6):
+        assert sorted(x.slot for x in out if x.shard == s) == list(range(sum(x.shard == s for x in out)))
+
+
 def test_size_and_crc(spark):
     d = spark.createDataFrame([(1, "é"), (2, None)], "doc_id long, text string")
     assert [r[0] for r in d.select(sharding.byte_size(sharding.F.col("text"))).collect()] == [10, 8]
     assert d.selectExpr("crc32(encode(text, 'UTF-8'))").first()[0] == zlib.crc32("é".encode())
-
-
-def test_clashing_columns(spark):
-    d = spark.createDataFrame([(i, f"text number {i}", "s", 1, "x", 2, 3.0) for i in range(5)], "doc_id long, text string, source string, shard int, fp string, mix_size int, score double")
-    assert sharding.shard(d).count() == 5 and simhash.near_duplicates(d).count() == 5 and mixing.mix(d).count() == 5
-    assert toxicity.toxicity(d, toxicity.Net()).count() == 5 and quality.judge(d, [0.0] * 4).count() == 5
