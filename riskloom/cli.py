@@ -13,21 +13,32 @@ from riskloom.engine import ITEM, Engine, utc_now
 from riskloom.operators import sinks
 from riskloom.plans.presets import load_settings
 from riskloom.session import get_spark
+from riskloom.sources import collectors as C
+from riskloom.sources import readers
+
+
+def within(least: int, most: int):
+    def number(text: str) -> int:
+        if not least <= (n := int(text)) <= most:
+            raise argparse.ArgumentTypeError(f"must be between {least} and {most}")
+        return n
+
+    return number
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="riskloom")
     p.add_argument("--root", required=True, help="folder of the tables")
     p.add_argument("--config", help="TOML file of settings")
-    p.add_argument("--items", action="append", default=[], metavar="NAME=PATH", help="a collector: JSON lines of items (title, url, source, summary, published_at)")
+    p.add_argument("--items", action="append", default=[], metavar="NAME=PATH", help="a collector: JSON lines of items (title, url, source, summary, published_at); without any, feeds and filings are read over HTTP")
     p.add_argument("--reports", default="reports")
     s = p.add_subparsers(dest="command", required=True)
     for name in ("run", "watch", "report", "db-stats", "freshness", "build-site", "seed-lineage", "rebuild-observations"):
         s.add_parser(name)
     b = s.add_parser("backfill")
-    b.add_argument("--years", type=int, default=3, choices=range(1, 11))
-    b.add_argument("--news-limit", type=int, default=500)
-    b.add_argument("--sec-per-company", type=int, default=24)
+    b.add_argument("--years", type=within(1, 10), default=3)
+    b.add_argument("--news-limit", type=within(1, 1000), default=500)
+    b.add_argument("--sec-per-company", type=within(1, 100), default=24)
     e = s.add_parser("events")
     e.add_argument("--limit", type=int, default=25)
     r = s.add_parser("review")
@@ -38,21 +49,31 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def collectors(spark, specs: list[str]) -> dict:
-    read = lambda path: lambda: spark.read.schema(", ".join(f"{c} string" for c in ITEM)).json(path)
-    return {name: read(path) for name, _, path in (s.partition("=") for s in specs)}
+def collectors(engine: Engine, a: argparse.Namespace, now, feed=None, filing=None) -> dict:
+    """Recorded items if there are any, else what the command reads: the hourly sources, or a baseline."""
+    if a.items:
+        read = lambda path: lambda: engine.spark.read.schema(", ".join(f"{c} string" for c in ITEM)).json(path)
+        return {name: read(path) for name, _, path in (s.partition("=") for s in a.items)}
+    s = engine.settings
+    feed, filing = feed or readers.feed_reader(s.agent), filing or readers.filings_reader(s.agent)
+    if a.command == "backfill":
+        return C.baseline(engine.spark, s, feed, filing, now.date(), a.years, a.news_limit, a.sec_per_company)
+    return C.hourly(engine.spark, s, feed, filing, now.date())
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, feed=None, filing=None, fetch=None) -> int:
+    """The command line. ``feed``, ``filing`` and ``fetch`` stand in for the readers over HTTP."""
     a = parser().parse_args(argv)
     spark = get_spark()
-    engine = Engine(spark, a.root, load_settings(a.config))
+    settings = load_settings(a.config)
+    # recorded items come without documents, unless a reader is given
+    engine = Engine(spark, a.root, settings, fetch or (None if a.items else readers.document_reader(settings.agent)))
     if a.command in ("run", "watch", "backfill"):
         while True:
             now = utc_now()
-            out = engine.run(collectors(spark, a.items), now)
+            out = engine.run(collectors(engine, a, now, feed, filing), now, 0 if a.items else settings.request_delay_seconds)
             engine.report(a.reports, now)
-            print(json.dumps(out))
+            print(json.dumps(out | {"facts": engine.counts()["facts"]}))
             for kind in ("degraded", "failed"):
                 if out[kind]:
                     print(f"{kind}: {', '.join(out[kind])}", file=sys.stderr)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Mapping
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,54 +22,60 @@ from riskloom.plans import presets
 from riskloom.plans.presets import Settings
 from riskloom.session import cut
 from riskloom.sources import lineage
-from riskloom.sources.tables import Store
+from riskloom.sources.tables import SCHEMAS, Store
 
 ITEM = ("title", "url", "source", "summary", "published_at")
 
 
 class Engine:
-    """``fetch`` maps new items (id, url) to (item_id, content_type, body); a null or missing body is a failed fetch."""
+    """``fetch`` maps new items (id, url) to (item_id, content_type, body); a null or missing body is a failed fetch. ``clock``
+    tells when a run ends."""
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None):
-        self.spark, self.store, self.settings, self.fetch = spark, Store(spark, root), settings or Settings(), fetch
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None, clock: Callable[[], datetime] | None = None):
+        self.spark, self.store, self.settings, self.fetch, self.clock = spark, Store(spark, root), settings or Settings(), fetch, clock or utc_now
         self.variables, self.mapping = I.registry(spark), E.variable_map(spark)
 
     # -- ingest ------------------------------------------------------------------------------------------------------
 
-    def run(self, collectors: Mapping[str, Callable[[], DataFrame]], now: datetime) -> dict:
+    def run(self, collectors: Mapping[str, Callable[[], DataFrame]], now: datetime, delay: float = 0.0) -> dict:
         """Each collector gives items (title, url, source, summary, published_at, seq). A collector's tables are published together or,
-        if anything fails, not at all; its run stays in the ledger either way. Then a snapshot is taken."""
+        if anything fails, not at all; its run stays in the ledger either way, with what it had counted. Then a snapshot
+        is taken. ``delay``: seconds between collectors."""
+        first = None
         for name, collect in collectors.items():
             run_id = self._begin(name, now)
-            seen = new = 0
+            first, seen = run_id if first is None else first, {"seen": 0, "new": 0}
             try:
-                seen, new, failed = self._ingest(collect(), now)
-                status, error = ("degraded", f"{failed} of {new} document fetches failed") if failed else ("ok", None)
+                failed = self._ingest(collect(), now, seen)
+                status, error = ("degraded", f"{failed} of {seen['new']} document fetches failed") if failed else ("ok", None)
             except Exception as x:  # the ledger records it and the other collectors go on
                 status, error = "error", f"{type(x).__name__}: {x}"[:500]
-            self._finish(run_id, name, now, status, seen, new, error)
+            self._log(run_id, name, now, self.clock().isoformat(), status, seen["seen"], seen["new"], error)
+            time.sleep(delay)
         self.snapshot(now)
-        mine = self.store.read("collector_runs").filter(F.col("started_at") == now.isoformat())
-        return state.run_summary(mine).first().asDict()
+        return state.run_summary(self.runs().filter(F.col("id") >= F.lit(first if first is not None else 1 << 62))).first().asDict()
+
+    def runs(self) -> DataFrame:
+        return state.current_runs(self.store.read("collector_runs"))
 
     def _begin(self, name: str, now: datetime) -> int:
-        runs = self.store.read("collector_runs")
-        run_id = (runs.agg(F.max("id")).first()[0] or 0) + 1
-        row = self.spark.createDataFrame([(run_id, name, now.isoformat(), None, "running", 0, 0, None)], runs.schema)
-        self.store.publish(collector_runs=runs.unionByName(row))
+        run_id = (self.store.read("collector_runs").agg(F.max("id")).first()[0] or 0) + 1
+        self._log(run_id, name, now, None, "running", 0, 0, None)
         return run_id
 
-    def _finish(self, run_id: int, name: str, now: datetime, status: str, seen: int, new: int, error: str | None) -> None:
-        runs = self.store.read("collector_runs")
-        row = self.spark.createDataFrame([(run_id, name, now.isoformat(), now.isoformat(), status, seen, new, error)], runs.schema)
-        self.store.publish(collector_runs=state.finish_runs(runs, row))
+    def _log(self, run_id: int, name: str, now: datetime, end: str | None, status: str, seen: int, new: int, error: str | None) -> None:
+        row = self.spark.createDataFrame([(run_id, name, now.isoformat(), end, status, seen, new, error)], SCHEMAS["collector_runs"])
+        self.store.publish(append={"collector_runs": row})
 
-    def _ingest(self, items: DataFrame, now: datetime) -> tuple[int, int, int]:
+    def _ingest(self, items: DataFrame, now: datetime, counts: dict[str, int]) -> int:
+        """The number of failed fetches; ``counts`` is kept up to date on the way."""
         at = F.lit(now).cast("timestamp")
         items = cut(items if "seq" in items.columns else items.withColumn("seq", F.monotonically_increasing_id()))
+        counts["seen"] = items.count()
         scored = E.score_items(items.withColumn("summary", F.coalesce("summary", F.lit(""))), self.settings.companies).withColumn("discovered_at", at)
         old = self.store.read("items")
         new = cut(state.insert_ignore(old, scored, "id"))
+        counts["new"] = new.count()
         bodies = self.fetch(new.select("id", "url")) if self.fetch else self.spark.createDataFrame([], "item_id string, content_type string, body string")
         docs = new.select(F.col("id").alias("item_id")).join(bodies, "item_id", "left").withColumn("d", T.document_text(F.col("body"), F.col("content_type"), self.settings.max_chars))
         docs = cut(docs.select("item_id", at.alias("fetched_at"), F.coalesce("content_type", F.lit("")).alias("content_type"), F.col("d.status").alias("fetch_status"), F.col("d.text").alias("text")))
@@ -78,14 +85,12 @@ class Engine:
         facts, events, obs = self.store.read("economic_events"), self.store.read("financial_events"), self.store.read("observations")
         fresh = state.first_per_key(found, "fingerprint").join(facts.select("fingerprint"), "fingerprint", "left_anti")
         measured = E.to_observations(fresh, self.mapping, self.variables)
+        # items are new, and so are their documents: only the facts are written anew
         self.store.publish(
-            items=old.unionByName(new.select(*old.columns)),
-            documents=state.upsert(self.store.read("documents"), docs.withColumn("seq", F.lit(0)), "item_id"),
+            append={"items": new, "documents": docs, "financial_events": state.insert_ignore(events, found, "event_id"), "observations": state.insert_ignore(obs, measured.withColumn("seq", F.col("event_id")), "observation_id")},
             economic_events=state.register_mentions(facts, found),
-            financial_events=events.unionByName(state.insert_ignore(events, found, "event_id").select(*events.columns)),
-            observations=obs.unionByName(state.insert_ignore(obs, measured.withColumn("seq", F.col("event_id")), "observation_id").select(*obs.columns)),
         )
-        return items.count(), new.count(), docs.filter("fetch_status <> 'ok'").count()
+        return docs.filter("fetch_status <> 'ok'").count()
 
     def snapshot(self, now: datetime, limit: int = 5000) -> None:
         scores = cut(I.dimension_scores(self._confirmed(limit), self.variables, now))
@@ -112,12 +117,9 @@ class Engine:
         docs = new.select(F.col("id").alias("item_id"), at.alias("fetched_at"), F.lit("text/plain").alias("content_type"), F.lit("verified").alias("fetch_status"), F.col("evidence_text").alias("text"), F.lit(0).alias("seq"))
         known = state.first_per_key(E.to_observations(e, self.mapping, self.variables).withColumn("seq", F.col("event_id")), "observation_id")
         self.store.publish(
-            items=items.unionByName(new.select(*items.columns)),
+            append={"items": new, "financial_events": e, "observations": state.insert_ignore(obs, known, "observation_id"), "evidence_reviews": V.append_ledger(reviews, said, lineage.EXTRACTOR, now.isoformat(), self._next_review())},
             documents=state.upsert(self.store.read("documents"), docs, "item_id"),
-            financial_events=events.unionByName(e.select(*events.columns)),
-            observations=obs.unionByName(state.insert_ignore(obs, known, "observation_id").select(*obs.columns)),
             economic_events=V.apply_decisions(state.register_mentions(facts, e), said, lineage.EXTRACTOR, now.isoformat()),
-            evidence_reviews=reviews.unionByName(V.append_ledger(reviews, said, lineage.EXTRACTOR, now.isoformat(), self._next_review())),
         )
         return n
 
@@ -138,7 +140,7 @@ class Engine:
             raise ValueError("a merge names an unknown fact, or one that is merged already")
         n = decisions.count()
         if n:
-            self.store.publish(evidence_reviews=reviews.unionByName(V.append_ledger(reviews, decisions, model, now.isoformat(), self._next_review())), economic_events=V.apply_decisions(facts, decisions, model, now.isoformat()), observations=V.drop_merged_observations(obs, facts, decisions))
+            self.store.publish(append={"evidence_reviews": V.append_ledger(reviews, decisions, model, now.isoformat(), self._next_review())}, economic_events=V.apply_decisions(facts, decisions, model, now.isoformat()), observations=V.drop_merged_observations(obs, facts, decisions))
         return n
 
     def queue(self, status: str, limit: int) -> DataFrame:
@@ -146,25 +148,26 @@ class Engine:
         return R.provisional_events(*t[:4], limit) if status == "provisional" else R.flagged_events(*t, limit)
 
     def review(self, judge: Callable[[DataFrame], DataFrame], now: datetime, limit: int = 100, batch_size: int = 10, retry_flagged_limit: int = 0, model: str = "judge") -> int:
-        """Preflight, then batches of the queue, then flagged facts once more. ``judge`` maps payload rows to decisions; the
-        commands here don't call any model. A batch of which nothing can be applied is an error."""
-        flagged = V.preflight(self.queue("provisional", limit)).withColumn("seq", F.col("fingerprint"))
-        done = self._apply(flagged, V.PREFLIGHT_MODEL, now)
-        for status, most in (("provisional", limit), ("flagged", done + retry_flagged_limit)):
-            asked: list[str] = []
+        """Preflight, then batches of the queue up to ``limit`` facts in all, then up to ``retry_flagged_limit`` flagged facts once
+        more. ``judge`` maps payload rows to decisions; the commands here don't call any model. A batch of which nothing can be
+        applied is an error. The number of facts that were decided."""
+        if batch_size < 1 or max(limit, retry_flagged_limit) < 1:
+            return 0
+        total = 0
+        for status, most in (("provisional", limit), ("flagged", retry_flagged_limit)):
+            done = 0
+            if status == "provisional" and limit > 0:
+                done = self._apply(V.preflight(self.queue(status, limit)).withColumn("seq", F.col("fingerprint")), V.PREFLIGHT_MODEL, now)
             while done < most:
-                # a flagged fact is tried once in a run; the list holds at most retry_flagged_limit ids
-                rows = self.queue(status, min(batch_size, most - done) + len(asked))
-                rows = cut(rows.filter(~F.col("fingerprint").isin(asked)).limit(min(batch_size, most - done)) if asked else rows)
+                rows = cut(self.queue(status, min(batch_size, most - done)))
                 if not rows.count():
                     break
                 applied = self._apply(V.valid_decisions(judge(V.payload(rows)), rows), model, now)
                 if not applied:
                     raise RuntimeError("no decision of a batch could be applied")
                 done += applied
-                if status == "flagged":
-                    asked += [r[0] for r in rows.select("fingerprint").collect()]
-        return done
+            total += done
+        return total
 
     # -- reads ------------------------------------------------------------------------------------------------------
 
@@ -176,7 +179,7 @@ class Engine:
         return {"items": self.store.read("items").count(), "facts": R.canonical_count(self.store.read("economic_events")), "mentions": self.store.read("financial_events").count()}
 
     def freshness(self) -> DataFrame:
-        return state.latest_runs(self.store.read("collector_runs"))
+        return state.latest_runs(self.runs())
 
     def events(self, limit: int = 100) -> DataFrame:
         return R.recent_events(self.store.read("financial_events"), self.store.read("items"), limit)
@@ -217,10 +220,5 @@ class Engine:
         return data
 
 
-def backfill_window(now: datetime, years: int = 3) -> tuple[str, str]:
-    """First and last day of a baseline, both as text."""
-    return (now.date() - timedelta(days=365 * years)).isoformat(), (now.date() + timedelta(days=1)).isoformat()
-
-
 def utc_now() -> datetime:
     return datetime.now(UTC).replace(tzinfo=None)

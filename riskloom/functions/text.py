@@ -115,11 +115,19 @@ def strip_tags(html: Column) -> Column:
     return collapse(unescape(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")))
 
 
+def without(html: Column, tag: str) -> Column:
+    """Markup without the elements of a tag, those in each other included: from the last opening tag back, each goes
+    with all up to the closing tag that follows it; one without a closing tag stays."""
+    pieces = F.split(html, rf"(?i)(?=<{tag}\b)")
+    whole = rf"(?is)^<{tag}\b[^>]*>.*?</{tag}\s*>"
+    return F.aggregate(F.reverse(pieces), F.lit(""), lambda rest, piece: F.regexp_replace(F.concat(piece, rest), whole, " "))
+
+
 def html_to_text(html: Column, hidden: Sequence[str] = HIDDEN, max_chars: int = 400_000) -> Column:
     """Visible text of a page: hidden elements go whole. Well-formed markup; broken markup is read by its tags alone."""
     out = F.coalesce(html, F.lit(""))
     for tag in hidden:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+        out = without(out, tag)
     return F.substring(strip_tags(out), 1, max_chars)
 
 

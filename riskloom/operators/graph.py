@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import canonicalize, canonicalize_many, filled
@@ -72,8 +72,12 @@ def evidence_rows(observations: DataFrame, events: DataFrame, variables: DataFra
     return o.drop("effective_date").join(e, "event_id", "left").select("dimension", "variable", canonicalize(F.col("entity"), aliases).alias("entity"), "value", F.coalesce("unit", F.lit("")).alias("unit"), F.when(F.col("unit") == "signal", "directional signal").otherwise("measured value").alias("role"), F.when(F.col("polarity") == "risk", "raises the warning").otherwise("lowers the warning").alias("effect"), "confidence", "date", "event_type", F.coalesce(filled(F.col("_title")), F.col("evidence_text")).alias("title"), "source", "url", F.col("evidence_text").alias("evidence"))
 
 
-def evidence_lists(rows: DataFrame) -> DataFrame:
-    """(dimension, evidence): a list for each dimension, newest date first. A list holds the latest observation of each variable and entity of a dimension."""
+def evidence_lists(rows: DataFrame, limit: int = 500) -> DataFrame:
+    """(dimension, evidence): for each dimension its ``limit`` newest rows, newest first.
+
+    The rows are ranked before they are gathered, so that a list is bounded however many entities a dimension has.
+    """
     rest = [c for c in rows.columns if c != "dimension"]
     keyed = F.struct(F.coalesce("date", F.lit("")).alias("_date"), *rest)
-    return rows.groupBy("dimension").agg(F.transform(F.sort_array(F.collect_list(keyed), asc=False), lambda x: F.struct(*[x[c].alias(c) for c in rest])).alias("evidence"))
+    newest = rows.select("dimension", keyed.alias("x")).withColumn("_n", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("x")))).filter(F.col("_n") <= limit)
+    return newest.groupBy("dimension").agg(F.transform(F.sort_array(F.collect_list("x"), asc=False), lambda x: F.struct(*[x[c].alias(c) for c in rest])).alias("evidence"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.text import context_window, preflight_reason
 from riskloom.operators.state import last_per_key
 
-PREFLIGHT_MODEL = "deterministic-preflight"
+PREFLIGHT_MODEL = "deterministic-preflight-v1"  # fixed value
 
 
 def preflight(queue: DataFrame, max_usd: float = 5e12) -> DataFrame:
@@ -22,11 +22,6 @@ def payload(queue: DataFrame, around: int = 1_250) -> DataFrame:
     return queue.withColumn("source_context", context_window(F.col("source_text"), F.col("evidence_text"), around)).drop("source_text")
 
 
-def in_batches(queue: DataFrame, size: int, *order) -> DataFrame:
-    """``queue`` with batch_no. A queue is a limited table, so its numbering in one task is bounded."""
-    return queue.withColumn("batch_no", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
-
-
 def valid_decisions(decisions: DataFrame, asked: DataFrame) -> DataFrame:
     """Decisions (fingerprint, decision, canonical_fingerprint, ..., seq) that may be applied.
 

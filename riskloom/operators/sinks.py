@@ -1,4 +1,4 @@
-"""Reports and exports. Results that fit a page are rendered on the driver; everything else is written by executors."""
+"""Reports and exports of limited tables, rendered on the driver."""
 
 from __future__ import annotations
 
@@ -25,14 +25,6 @@ def write_csv(rows: DataFrame, folder: str, now: datetime) -> Path:
     return path
 
 
-def write_csv_parts(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
-
-
-def write_json_lines(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
 def json_lines(df: DataFrame, limit: int = 25) -> list[str]:
     return [r[0] for r in df.limit(limit).select(F.to_json(F.struct("*"))).collect()]
 

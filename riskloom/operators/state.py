@@ -5,9 +5,7 @@ Batches carry ``seq``, the order of arrival. Publishing a state is sources.table
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,11 +30,6 @@ def upsert(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return state.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def add_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
-    """Additive migration: columns that ``df`` lacks, with their defaults."""
-    return df.withColumns({k: v for k, v in defaults.items() if k not in df.columns})
-
-
 def summarize_mentions(batch: DataFrame) -> DataFrame:
     """One row for each fingerprint of a batch of mentions (fingerprint, event_id, seen_at, seq); every mention counts, repeats too.
 
@@ -74,16 +67,13 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("collector").agg(F.max_by(F.struct("id", *rest), "id").alias("r")).select("collector", "r.*").orderBy("collector")
 
 
-def finish_runs(runs: DataFrame, finished: DataFrame) -> DataFrame:
-    """The run ledger with the final status, time, counts and error of the runs in ``finished`` (same columns)."""
-    return runs.join(finished.select("id"), "id", "left_anti").unionByName(finished.select(*runs.columns))
+def current_runs(log: DataFrame) -> DataFrame:
+    """The run ledger from its log, where a run is begun by one row and ended by another: the row with the end wins."""
+    rest = [c for c in log.columns if c != "id"]
+    return log.groupBy("id").agg(F.max_by(F.struct(*rest), F.col("status") != "running").alias("r")).select("id", "r.*")
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
     """(new_items, degraded, failed): new rows of runs that didn't fail, and the names of those that did."""
     names = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("collector"))))
     return runs.agg(F.coalesce(F.sum(F.when(F.col("status") != "error", F.col("items_new"))), F.lit(0)).alias("new_items"), names("degraded").alias("degraded"), names("error").alias("failed"))
-
-
-def count_by(df: DataFrame, column: str, values: Sequence[str]) -> list[Column]:
-    return [F.count_if(F.col(column) == v).alias(v) for v in values]

@@ -5,6 +5,7 @@ All tables of this module are fixed values: results depend on them word for word
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 #: Term, weight.
@@ -170,24 +171,39 @@ class Settings:
     report_limit: int = 500
     poll_interval_minutes: int = 60
     max_chars: int = 400_000
+    agent: str = "riskloom/1.0 contact@example.com"
     indicators: Indicators = field(default_factory=Indicators)
 
 
-def load_settings(path: str | None = None) -> Settings:
-    """Settings from a TOML file with the tables monitor, news, entities and sec; what it lacks keeps its default."""
-    if path is None:
-        return Settings()
+ENVIRONMENT = "RISKLOOM_"
+
+
+def load_settings(path: str | None = None, environment: Mapping[str, str] | None = None) -> Settings:
+    """Settings from a TOML file with the tables monitor, news, entities and sec, and from the environment; what both lack keeps
+    its default.
+
+    RISKLOOM_CONFIG_PATH names the file if ``path`` doesn't. RISKLOOM_<FIELD> sets a number or text of Settings and
+    goes before the file.
+    """
+    import os
     import tomllib
 
-    with open(path, "rb") as f:
-        c = tomllib.load(f)
-    given = {k: v for k, v in c.get("monitor", {}).items() if k in Settings.__dataclass_fields__}
-    if "queries" in c.get("news", {}):
-        given["queries"] = tuple(c["news"]["queries"])
-    if "companies" in c.get("entities", {}):
-        given["companies"] = tuple(c["entities"]["companies"])
-    if "companies" in c.get("sec", {}):
-        given["filers"] = tuple((x["name"], int(x["cik"])) for x in c["sec"]["companies"])
+    env = os.environ if environment is None else environment
+    path, given, fields = path or env.get(f"{ENVIRONMENT}CONFIG_PATH"), {}, Settings.__dataclass_fields__
+    if path:
+        with open(path, "rb") as f:
+            c = tomllib.load(f)
+        given = {k: v for k, v in c.get("monitor", {}).items() if k in fields}
+        if "queries" in c.get("news", {}):
+            given["queries"] = tuple(c["news"]["queries"])
+        if "companies" in c.get("entities", {}):
+            given["companies"] = tuple(c["entities"]["companies"])
+        if "companies" in c.get("sec", {}):
+            given["filers"] = tuple((x["name"], int(x["cik"])) for x in c["sec"]["companies"])
+    for name, f in fields.items():
+        text = env.get(f"{ENVIRONMENT}{name.upper()}")
+        if text is not None and isinstance(f.default, (int, float, str)):
+            given[name] = type(f.default)(text)
     return Settings(**given)
 
 

@@ -72,7 +72,7 @@ def dimensions(spark: SparkSession, d: str, polarity: str = BY_TYPE) -> DataFram
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").selectExpr("CAST(doc_id AS STRING) AS id", "doc_id", "text", "source", "CONCAT('http://doc/', doc_id) AS url", "SUBSTRING(text, 1, 60) AS title", "text AS summary", "CONCAT('2024-01-', LPAD(CAST(doc_id % 28 + 1 AS STRING), 2, '0')) AS published_at", "TIMESTAMP'2024-02-01' + MAKE_DT_INTERVAL(0, 0, 0, doc_id % 1000) AS discovered_at")
+    docs = load(spark, d, "documents").selectExpr("CAST(doc_id AS STRING) AS id", "doc_id", "text", "source", "CONCAT('http://doc/', doc_id) AS url", "text AS title", "text AS summary", "CONCAT('2024-01-', LPAD(CAST(doc_id % 28 + 1 AS STRING), 2, '0')) AS published_at", "TIMESTAMP'2024-02-01' + MAKE_DT_INTERVAL(0, 0, 0, doc_id % 1000) AS discovered_at")
     lower = F.lower(F.col("text"))
     return docs.withColumns({"companies": T.matched_companies(lower, NAMES, ALIASES)}).withColumns({"score": T.term_score(lower, WEIGHTS, STRESS) + F.size("companies"), "category": T.classify(lower, CATEGORIES, "other")})
 
@@ -84,7 +84,7 @@ def _has(terms, text="lower(text)"):
 _COMPANIES = "list_distinct(list_transform(list_filter(['Das','From','Les','Los','That','This','With'], lambda n: contains(lower(text), lower(n))), lambda n: CASE n WHEN 'That' THEN 'This' WHEN 'Los' THEN 'Les' ELSE n END))"
 _SCORE = " + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN {w} ELSE 0 END" for t, w in WEIGHTS.items()) + f" + CASE WHEN {_has(STRESS)} THEN 4 ELSE 0 END"
 _CATEGORY = "CASE " + " ".join(f"WHEN {_has(ts)} THEN '{n}'" for n, ts in CATEGORIES) + " ELSE 'other' END"
-ITEM_SQL = f"""i AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, text, source, 'http://doc/' || doc_id AS url, substring(text, 1, 60) AS title, '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS published_at, doc_id % 1000 AS disc,
+ITEM_SQL = f"""i AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, text, source, 'http://doc/' || doc_id AS url, text AS title, '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS published_at, doc_id % 1000 AS disc,
   {_COMPANIES} AS companies, {_SCORE} + len({_COMPANIES}) AS score, {_CATEGORY} AS category FROM documents)"""
 
 
@@ -111,14 +111,14 @@ f AS (SELECT *, {STATUS} AS review_status FROM f0)"""
 
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
-    return fin_events(spark, d).filter("seq % 3 = 0").selectExpr("seq AS review_id", "fingerprint", "CONCAT('reason ', seq) AS reasoning")
+    return fin_events(spark, d).selectExpr("seq AS review_id", "CASE WHEN seq % 3 = 0 THEN fingerprint ELSE CONCAT('of another ', seq) END AS fingerprint", "CONCAT('reason ', seq) AS reasoning")
 
 
-LEDGER_SQL = "v AS (SELECT fingerprint, count(*) AS n, arg_max('reason ' || seq, seq) AS reasoning FROM e WHERE seq % 3 = 0 GROUP BY fingerprint)"
+LEDGER_SQL = "v AS (SELECT fingerprint, count(*) AS n, arg_max('reason ' || seq, seq) AS reasoning FROM (SELECT CASE WHEN seq % 3 = 0 THEN fingerprint ELSE 'of another ' || seq END AS fingerprint, seq FROM e) x GROUP BY fingerprint)"
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").filter("doc_id % 4 <> 0").selectExpr("CAST(doc_id AS STRING) AS item_id", "text")
+    return load(spark, d, "documents").selectExpr("CAST(CASE WHEN doc_id % 4 = 0 THEN -1 - doc_id ELSE doc_id END AS STRING) AS item_id", "text")
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -127,10 +127,10 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def customer_facts(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "customer").filter("c_custkey % 5 <> 0").selectExpr("CAST(c_custkey AS STRING) AS fingerprint", "CONCAT('e', c_custkey) AS canonical_event_id", "'2024' AS first_seen", "'2024' AS last_seen", "CAST(c_custkey % 9 + 1 AS BIGINT) AS mention_count", "'provisional' AS review_status", "CAST(NULL AS STRING) AS reviewed_at", "CAST(NULL AS STRING) AS reviewer_model", "CAST(NULL AS STRING) AS merged_into")
+    return load(spark, d, "customer").selectExpr("CAST(CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS STRING) AS fingerprint", "CONCAT('e', c_custkey) AS canonical_event_id", "'2024' AS first_seen", "'2024' AS last_seen", "CAST(c_custkey % 9 + 1 AS BIGINT) AS mention_count", "'provisional' AS review_status", "CAST(NULL AS STRING) AS reviewed_at", "CAST(NULL AS STRING) AS reviewer_model", "CAST(NULL AS STRING) AS merged_into")
 
 
-DECIDE_SQL = """cf AS (SELECT CAST(c_custkey AS VARCHAR) AS fingerprint, c_custkey % 9 + 1 AS mention_count, c_custkey FROM customer WHERE c_custkey % 5 <> 0),
+DECIDE_SQL = """cf AS (SELECT CAST(CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS VARCHAR) AS fingerprint, c_custkey % 9 + 1 AS mention_count, c_custkey FROM customer),
 dl AS (SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS fingerprint, CASE o_orderstatus WHEN 'F' THEN 'confirm' WHEN 'O' THEN 'merge' ELSE 'flag' END AS decision, CAST(o_custkey + 1 AS VARCHAR) AS target, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rk, o_orderkey FROM orders) x WHERE rk = 1 AND fingerprint IN (SELECT fingerprint FROM cf)),
 dv AS (SELECT * FROM dl WHERE decision <> 'merge' OR target IN (SELECT fingerprint FROM dl WHERE decision = 'confirm'))"""
 
@@ -153,13 +153,25 @@ def fact_events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
 
 EV_ITEM = "f JOIN e ON f.canonical_event_id = e.event_id JOIN i ON e.document_id = i.id"
 TAGS = ("script", "style", "nav", "footer", "noscript")
+
+
+def space_sql(text: str) -> str:
+    """SQL of collapse."""
+    return rf"trim(regexp_replace({text}, '[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{2028}}\x{{2029}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"
+
+
+def strip_sql(text: str) -> str:
+    """SQL of strip_tags."""
+    text = rf"regexp_replace(regexp_replace({text}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+    for name, c in T.ENTITIES.items():
+        text = "replace({}, '&{};', '{}')".format(text, name, c.replace("'", "''"))
+    return space_sql(text)
+
+
 _HTML = "html"
 for _t in TAGS:
     _HTML = rf"regexp_replace({_HTML}, '(?is)<{_t}\b[^>]*>.*?</{_t}\s*>', ' ', 'g')"
-_HTML = rf"regexp_replace(regexp_replace({_HTML}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
-for _n, _c in T.ENTITIES.items():
-    _HTML = "replace({}, '&{};', '{}')".format(_HTML, _n, _c.replace("'", "''"))
-_HTML = rf"trim(regexp_replace({_HTML}, '[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{2028}}\x{{2029}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"
+_HTML = strip_sql(_HTML)
 SENT_SQL = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\s\x{0B}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[\s\x{0B}]+|[\s\x{0B}]+$', '', 'g')), lambda x: x <> '')"
 
 
@@ -171,7 +183,7 @@ def mentions_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fed(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").selectExpr("source AS query", "CAST(SUBSTRING(source, 4) AS INT) AS query_pos", "CAST(doc_id AS INT) AS entry_pos", "CONCAT('<b>', SUBSTRING(text, 1, 20), '</b>') AS title", "CONCAT('http://x/', doc_id % 150) AS link", "text AS summary", "'2024' AS published", "CASE WHEN doc_id % 2 = 0 THEN lang END AS source_title")
+    return load(spark, d, "documents").selectExpr("source AS query", "CAST(SUBSTRING(source, 4) AS INT) AS query_pos", "CAST(doc_id AS INT) AS entry_pos", "CONCAT('<b>', text, '</b>') AS title", "CONCAT('http://x/', doc_id % 150) AS link", "text AS summary", "'2024' AS published", "CASE WHEN doc_id % 2 = 0 THEN lang END AS source_title")
 
 
 def filed(spark: SparkSession, d: str) -> DataFrame:
@@ -200,14 +212,68 @@ def _q_apply(s, d):
     return V.apply_decisions(f, v, "m", "now").select("fingerprint", "mention_count", "review_status", "merged_into", "reviewer_model")
 
 
-def _q_evidence(s, d):
+def ordered(df: DataFrame) -> DataFrame:
+    """A sorted or limited table with the place of each row: its partitions are read one after the other."""
+    return df.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
+def evidence(s: SparkSession, d: str) -> DataFrame:
     ev = fin_events(s, d).withColumns({"title": F.lit(None).cast("string"), "published_at": F.lit(None).cast("string"), "source": F.lit("s"), "url": F.lit("u")})
     o = observations(s, d).withColumns({"event_id": F.col("event_id").cast("string"), "effective_date": F.lit(None).cast("string"), "evidence_text": F.concat(F.lit("ev"), "event_id")})
-    rows = G.evidence_rows(o, ev, I.registry(s, REGISTRY), AS_OF, DAYS)
-    x = G.evidence_lists(rows)
+    return G.evidence_rows(o, ev, I.registry(s, REGISTRY), AS_OF, DAYS)
+
+
+def _q_evidence(s, d):
+    x = G.evidence_lists(evidence(s, d), 1_000_000)
     return x.select("dimension", F.size("evidence").cast("long").alias("n"), F.element_at("evidence", 1)["date"].alias("newest"), F.size(F.filter("evidence", lambda r: r["role"] == "directional signal")).cast("long").alias("signals"))
 
 
+def _q_evidence_lists(s, d):
+    x = G.evidence_lists(evidence(s, d).withColumn("value", F.round("value", 6)), 300)
+    x = x.select("dimension", F.posexplode("evidence").alias("place", "r"))
+    return x.select("dimension", "place", *[F.col(f"r.{c}").alias(c) for c in ("variable", "entity", "value", "unit", "role", "effect", "confidence", "date", "event_type", "title", "source", "url", "evidence")])
+
+
+def _q_filing_records(s, d):
+    o = load(s, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")))).alias("o"))
+    four = F.struct(F.transform("o", lambda x: x["o_orderpriority"]).alias("form"), F.transform("o", lambda x: F.concat(F.lit("a-"), x["o_orderkey"])).alias("accessionNumber"), F.transform("o", lambda x: x["day"]).alias("filingDate"), F.transform("o", lambda x: F.lit("d.htm")).alias("primaryDocument"))
+    # every second company has its arrays on top; of every third the last document is missing
+    short = F.struct("four.form", "four.accessionNumber", "four.filingDate", F.slice("four.primaryDocument", 1, F.size("o") - F.when(F.col("o_custkey") % 3 == 0, 1).otherwise(0)).alias("primaryDocument"))
+    o = o.withColumn("four", four).withColumn("four", short)
+    text = F.when(F.col("o_custkey") % 2 == 0, F.to_json(F.struct(F.struct(F.col("four").alias("recent")).alias("filings")))).otherwise(F.to_json("four"))
+    raw = o.select(F.lit("c").alias("name"), F.col("o_custkey").cast("long").alias("cik"), text.alias("json"))
+    return filings.records(raw).select("cik", F.col("pos").cast("long").alias("pos"), "form", "accession", "filing_date", "document")
+
+
+def _q_document_text(s, d):
+    kind = F.expr("CASE page_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN NULL WHEN 2 THEN 'text/plain' WHEN 3 THEN 'Application/JSON' ELSE 'image/png' END")
+    x = load(s, d, "pages").select("page_id", T.document_text(F.expr("CASE WHEN page_id % 7 <> 0 THEN html END"), kind).alias("x"))
+    return x.select("page_id", "x.status", F.md5("x.text").alias("text_md5"))
+
+
+def _q_network(s, d):
+    nodes, _ = G.network(net_events(s, d), items(s, d).filter("text IS NOT NULL"), {"FRANCE": "GERMANY", **ALIASES}, ("CHINA", "This"), 12)
+    return nodes.select("id", "kind", F.col("weight").cast("long").alias("weight"), F.md5("label").alias("label"), F.col("date"))
+
+
+def _q_runs(s, d):
+    log = load(s, d, "events").selectExpr("event_id AS id", "event_type AS collector", "CAST(NULL AS STRING) AS completed_at", "'running' AS status", "0L AS items_seen", "0L AS items_new")
+    end = load(s, d, "events").selectExpr("event_id AS id", "event_type AS collector", "'t' AS completed_at", "CASE WHEN event_type = 'error' THEN 'error' WHEN event_type IN ('view', 'click') AND event_id % 2 = 0 THEN 'degraded' ELSE 'ok' END AS status", "9L AS items_seen", "event_id % 5 AS items_new")
+    out = S.run_summary(S.current_runs(log.unionByName(end)))
+    return out.select("new_items", F.size("degraded").cast("long").alias("degraded"), F.size("failed").cast("long").alias("failed"))
+
+
+def _q_review(s, d):
+    f = customer_facts(s, d)
+    v = V.valid_decisions(decisions(s, d), f)
+    after = V.apply_decisions(f, v, "m", "now")
+    noted = V.append_ledger(s.createDataFrame([], "review_id long"), v, "m", "now", 1)
+    o = f.select(F.col("canonical_event_id").alias("event_id"))
+    left = V.drop_merged_observations(o, f, v)
+    counts = R.review_counts(after, noted)
+    return counts.join(after.agg(F.count_if(F.col("review_status") == "merged").alias("merged"), F.sum("mention_count").alias("mentions"))).join(noted.agg(F.count(F.lit(1)).alias("reviews"), F.max("review_id").alias("last_review"))).join(left.agg(F.count(F.lit(1)).alias("observations")))
+
+
 QUERIES = {
     "latest_observations": lambda s, d: I.latest_observations(observations(s, d), AS_OF, DAYS).select("event_id", "variable_key", "entity", F.round("value", 6).alias("value"), "unit"),
     "dimension_scores": lambda s, d: dimensions(s, d).select("dimension", F.round("score", 6).alias("score")),
@@ -228,14 +294,14 @@ QUERIES = {
     "facts": lambda s, d: facts(s, d).select("fingerprint", "canonical_event_id", "first_seen", "last_seen", "mention_count", "review_status"),
     "register_mentions": mentions_state,
     "insert_ignore": lambda s, d: S.insert_ignore(load(s, d, "labels").select("doc_id"), load(s, d, "documents").withColumn("seq", -F.col("doc_id")).withColumn("doc_id", F.col("doc_id") % 700), "doc_id").select("doc_id", "source", "seq"),
-    "upsert_last_wins": lambda s, d: S.upsert(load(s, d, "customer").select("c_custkey", F.lit("none").alias("v")), load(s, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("v"), F.col("o_orderkey").alias("seq")), "c_custkey"),
+    "upsert_last_wins": lambda s, d: S.upsert(load(s, d, "customer").select("c_custkey", F.lit("none").alias("v")), load(s, d, "orders").select(F.expr("CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE 10000000 + o_custkey END").alias("c_custkey"), F.col("o_orderpriority").alias("v"), F.col("o_orderkey").alias("seq")), "c_custkey"),
     "event_to_observation": _q_observations,
     "top_items": lambda s, d: R.top_items(items(s, d), 50).select("id", F.col("score").cast("long").alias("score")),
     "recent_events": lambda s, d: R.recent_events(*fact_events(s, d)[1:], 60).select("event_id", "document_id", "title"),
     "canonical_events": lambda s, d: R.canonical_events(*fact_events(s, d), 80).select("fingerprint", "event_id", "first_seen", "mention_count", "url"),
     "canonical_count": lambda s, d: facts(s, d).filter("review_status <> 'merged'").agg(F.count(F.lit(1)).alias("n")),
-    "provisional_queue": lambda s, d: R.provisional_events(*fact_events(s, d), documents(s, d), 40).select("fingerprint", "event_id", F.coalesce(F.length("source_text"), F.lit(-1)).cast("long").alias("source_chars")),
-    "flagged_queue": lambda s, d: R.flagged_events(*fact_events(s, d), documents(s, d), ledger(s, d), 40, 2).select("fingerprint", "event_id", "review_count", "prior_reasoning"),
+    "provisional_queue": lambda s, d: R.provisional_events(*fact_events(s, d), documents(s, d), 40).select("fingerprint", "event_id", F.coalesce(F.length("source_text"), F.lit(-1)).cast("long").alias("source_chars")).transform(ordered),
+    "flagged_queue": lambda s, d: R.flagged_events(*fact_events(s, d), documents(s, d), ledger(s, d), 40, 2).select("fingerprint", "event_id", "review_count", "prior_reasoning").transform(ordered),
     "review_counts": lambda s, d: R.review_counts(facts(s, d), ledger(s, d)),
     "confirmed_observations": lambda s, d: R.confirmed_observations(observations(s, d).withColumns({"event_id": F.col("event_id").cast("string"), "observation_id": F.col("event_id")}), facts(s, d), 100).select("event_id", "variable_key"),
     "latest_runs": lambda s, d: S.latest_runs(load(s, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id") % 20).alias("collector"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("status"))).select("collector", "id", "status"),
@@ -247,7 +313,16 @@ QUERIES = {
     "network_edges": lambda s, d: G.edge_weights(net_events(s, d), {"FRANCE": "GERMANY"}).withColumn("weight", F.col("weight").cast("long")),
     "network_nodes": lambda s, d: G.node_weights(net_events(s, d), None, {"FRANCE": "GERMANY"}, ("CHINA",), 10).select("id", "kind", F.col("weight").cast("long").alias("weight")),
     "evidence_edges": lambda s, d: G.network(fin_events(s, d).withColumn("mention_count", F.lit(1)).withColumn("source_entity", F.expr("CASE WHEN seq % 9 = 0 THEN 'This' ELSE source_entity END")), items(s, d), ALIASES, (), 12)[1].filter("type = 'EVIDENCE'").select("source", "target"),
-    "timeline": lambda s, d: G.timeline(fin_events(s, d).withColumns({"published_at": F.lit("2023-12-31"), "review_status": F.lit(""), "mention_count": F.lit(0), "effective_date": F.expr("CASE WHEN seq % 6 = 0 THEN '' WHEN seq % 6 = 1 THEN NULL ELSE effective_date END")}), {}).select("date", "event_type", "source_entity", "mentions", "review_status", "evidence_text"),
+    "timeline": lambda s, d: G.timeline(fin_events(s, d).withColumns({"published_at": F.lit("2023-12-31"), "review_status": F.lit(""), "mention_count": F.lit(0), "effective_date": F.expr("CASE WHEN seq % 6 = 0 THEN '' WHEN seq % 6 = 1 THEN NULL ELSE effective_date END")}), {}).select("date", "event_type", "source_entity", "mentions", "review_status", "evidence_text").transform(ordered),
+    "evidence_lists": _q_evidence_lists,
+    "filing_records": _q_filing_records,
+    "document_text": _q_document_text,
+    "network": _q_network,
+    "recent_snapshots": lambda s, d: R.recent_snapshots(load(s, d, "events").selectExpr("CONCAT(DATE_FORMAT(ts, 'yyyy-MM-dd HH:mm'), ' ', event_id) AS captured_at", "ROUND(value, 6) AS score", "event_type AS label")).transform(ordered),
+    "rebuild_observations": lambda s, d: S.rebuild_observations(fin_events(s, d), E.variable_map(s, MAPPING), I.registry(s, REGISTRY)).select("event_id", "variable_key", "entity", F.round("value", 6).alias("value"), "unit", "polarity"),
+    "all_events": lambda s, d: R.all_events(fin_events(s, d)).select("event_id", "event_type").transform(ordered),
+    "run_summary": _q_runs,
+    "review": _q_review,
     "dimension_evidence": _q_evidence,
     "feed_history": lambda s, d: feeds.historical(fed(s, d), 20, 140).select("title", "url", "source"),
     "feed_current": lambda s, d: feeds.current(fed(s, d), 12).select("title", "url", "source"),
@@ -273,22 +348,24 @@ ORACLE = {
     "sentence_split": f"SELECT doc_id, CAST(len(x) AS BIGINT) AS n, md5(array_to_string(x, '|')) AS parts FROM (SELECT doc_id, {SENT_SQL} AS x FROM documents) y",
     "entity_search": "WITH b AS (SELECT doc_id, replace(lower(text), 'is the', '') AS t FROM documents), n AS (SELECT unnest(['Das','From','Les','Los','That','This','With']) AS n), m AS (SELECT doc_id, n, strpos(t, lower(n)) AS p FROM b, n) SELECT b.doc_id, coalesce((SELECT string_agg(n, ',' ORDER BY p, n) FROM m WHERE m.doc_id = b.doc_id AND p > 0), '') AS names FROM b",
     "amount_extract": f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 >= 2 AND o_orderkey % 3 = 2 THEN NULL ELSE round(CAST(CAST(o_totalprice AS DECIMAL(18,1)) AS DOUBLE) * {_AMOUNT}, -3) END AS value, CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' END AS currency FROM orders",
-    "event_extract": f"""WITH x AS (SELECT CAST(doc_id AS VARCHAR) AS id, unnest({SENT_SQL}) AS s FROM documents), k(ty, ph, confidence, instrument) AS (VALUES ('SAYS_THAT', ['that'], 0.8::DOUBLE, 'that'), ('SAYS_FROM', ['from ', 'von '], 0.7, NULL), ('SAYS_WITH', ['with', 'los '], 0.6, 'with')),
-      n AS (SELECT unnest(['Das','From','Les','Los','That','This','With']) AS n), z AS (SELECT id, s, ty, confidence, instrument, row_number() OVER () AS rid FROM x JOIN k ON len(list_filter(ph, lambda p: contains(lower(s), p))) > 0),
-      w AS (SELECT rid, list(CASE n WHEN 'That' THEN 'This' WHEN 'Los' THEN 'Les' ELSE n END ORDER BY strpos(replace(lower(s), 'google news', ''), lower(n)), n) AS ns FROM z, n WHERE strpos(replace(lower(s), 'google news', ''), lower(n)) > 0 GROUP BY rid)
-      SELECT sha256(concat_ws('|', id, ty, coalesce(ns[1], ''), coalesce(ns[2], ''), s)) AS event_id, id AS document_id, ty AS event_type, ns[1] AS source_entity, ns[2] AS target_entity, md5(s) AS evidence, instrument, confidence FROM z LEFT JOIN w USING (rid)""",
+    "event_extract": f"""WITH x AS (SELECT CAST(doc_id AS VARCHAR) AS id, unnest({SENT_SQL}) AS s FROM documents),
+      k AS (SELECT id, s, replace(lower(s), 'google news', '') AS l, unnest(list_filter([CASE WHEN contains(lower(s), 'that') THEN {{'ty': 'SAYS_THAT', 'confidence': 0.8::DOUBLE, 'instrument': 'that'}} END,
+        CASE WHEN contains(lower(s), 'from ') OR contains(lower(s), 'von ') THEN {{'ty': 'SAYS_FROM', 'confidence': 0.7::DOUBLE, 'instrument': NULL}} END,
+        CASE WHEN contains(lower(s), 'with') OR contains(lower(s), 'los ') THEN {{'ty': 'SAYS_WITH', 'confidence': 0.6::DOUBLE, 'instrument': 'with'}} END], lambda r: r IS NOT NULL)) AS r FROM x),
+      z AS (SELECT id, s, r, list_transform(list_sort(list_filter(list_transform(['Das','From','Les','Los','That','This','With'], lambda n: {{'p': strpos(l, lower(n)), 'n': n}}), lambda y: y.p > 0)), lambda y: CASE y.n WHEN 'That' THEN 'This' WHEN 'Los' THEN 'Les' ELSE y.n END) AS ns FROM k)
+      SELECT sha256(concat_ws('|', id, r.ty, coalesce(ns[1], ''), coalesce(ns[2], ''), s)) AS event_id, id AS document_id, r.ty AS event_type, ns[1] AS source_entity, ns[2] AS target_entity, md5(s) AS evidence, r.instrument AS instrument, r.confidence AS confidence FROM z""",
     "fingerprints": f"WITH {FIN_SQL} SELECT event_id, fingerprint FROM e",
     "facts": f"WITH {FACT_SQL} SELECT fingerprint, canonical_event_id, first_seen, last_seen, mention_count, review_status FROM f",
     "register_mentions": f"WITH {FIN_SQL} SELECT fingerprint, arg_min(event_id, (seq % 2) * 1000000000 + seq) AS canonical_event_id, strftime(arg_min(processed_at, (seq % 2) * 1000000000 + seq), '%Y-%m-%d') AS first_seen, strftime(arg_max(processed_at, (seq % 2) * 1000000000 + seq), '%Y-%m-%d') AS last_seen, count(*) AS mention_count, 'provisional' AS review_status FROM e GROUP BY fingerprint",
     "insert_ignore": "SELECT k AS doc_id, arg_max(source, doc_id) AS source, -max(doc_id) AS seq FROM (SELECT *, doc_id % 700 AS k FROM documents) x WHERE k NOT IN (SELECT doc_id FROM labels) GROUP BY k",
-    "upsert_last_wins": "WITH n AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey) SELECT coalesce(o_custkey, c_custkey) AS c_custkey, coalesce(v, 'none') AS v FROM customer FULL JOIN n ON c_custkey = o_custkey",
+    "upsert_last_wins": "WITH n AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE 10000000 + o_custkey END AS o_custkey, arg_max(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY 1) SELECT coalesce(o_custkey, c_custkey) AS c_custkey, coalesce(v, 'none') AS v FROM customer FULL JOIN n ON c_custkey = o_custkey",
     "event_to_observation": f"WITH {FIN_SQL} SELECT event_id, event_type AS variable_key, source_entity AS entity, round(CASE WHEN event_type IN ('purchase', 'signup') AND currency = 'USD' THEN amount WHEN event_type = 'error' THEN 2.0 ELSE 1.0 END, 6) AS value, CASE WHEN event_type IN ('purchase', 'signup') AND currency = 'USD' THEN 'USD' WHEN event_type = 'error' THEN 'score' ELSE 'signal' END AS unit, CASE WHEN event_type = 'signup' THEN 'safety' ELSE 'risk' END AS polarity FROM e WHERE event_type IN ('purchase', 'signup', 'error', 'view')",
     "top_items": f"WITH {ITEM_SQL} SELECT id, CAST(score AS BIGINT) AS score FROM i ORDER BY score DESC, disc DESC, id LIMIT 50",
     "recent_events": f"WITH {FIN_SQL}, {ITEM_SQL} SELECT event_id, document_id, title FROM e JOIN i ON document_id = id ORDER BY processed_at DESC, event_id LIMIT 60",
     "canonical_events": f"WITH {FACT_SQL}, {ITEM_SQL} SELECT f.fingerprint, event_id, first_seen, mention_count, url FROM {EV_ITEM} WHERE review_status <> 'merged' ORDER BY first_seen DESC, f.fingerprint LIMIT 80",
     "canonical_count": f"WITH {FACT_SQL} SELECT count(*) AS n FROM f WHERE review_status <> 'merged'",
-    "provisional_queue": f"WITH {FACT_SQL}, {ITEM_SQL} SELECT f.fingerprint, event_id, CAST(coalesce(length(dd.text), -1) AS BIGINT) AS source_chars FROM {EV_ITEM} LEFT JOIN (SELECT * FROM documents WHERE doc_id % 4 <> 0) dd ON CAST(dd.doc_id AS VARCHAR) = document_id WHERE review_status = 'provisional' ORDER BY first_seen, f.fingerprint LIMIT 40",
-    "flagged_queue": f"WITH {FACT_SQL}, {ITEM_SQL}, {LEDGER_SQL} SELECT f.fingerprint, event_id, coalesce(n, 0) AS review_count, v.reasoning AS prior_reasoning FROM {EV_ITEM} LEFT JOIN v ON v.fingerprint = f.fingerprint WHERE review_status = 'flagged' AND coalesce(n, 0) < 2 ORDER BY first_seen, f.fingerprint LIMIT 40",
+    "provisional_queue": f"WITH {FACT_SQL}, {ITEM_SQL} SELECT f.fingerprint, event_id, CAST(coalesce(length(dd.text), -1) AS BIGINT) AS source_chars, row_number() OVER (ORDER BY first_seen, f.fingerprint) - 1 AS place FROM {EV_ITEM} LEFT JOIN (SELECT CASE WHEN doc_id % 4 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, text FROM documents) dd ON CAST(dd.doc_id AS VARCHAR) = document_id WHERE review_status = 'provisional' ORDER BY first_seen, f.fingerprint LIMIT 40",
+    "flagged_queue": f"WITH {FACT_SQL}, {ITEM_SQL}, {LEDGER_SQL} SELECT f.fingerprint, event_id, coalesce(n, 0) AS review_count, v.reasoning AS prior_reasoning, row_number() OVER (ORDER BY first_seen, f.fingerprint) - 1 AS place FROM {EV_ITEM} LEFT JOIN v ON v.fingerprint = f.fingerprint WHERE review_status = 'flagged' AND coalesce(n, 0) < 2 ORDER BY first_seen, f.fingerprint LIMIT 40",
     "review_counts": f"WITH {FACT_SQL}, {LEDGER_SQL} SELECT count(*) FILTER (review_status = 'provisional') AS provisional, count(*) FILTER (review_status = 'confirmed') AS confirmed, count(*) FILTER (review_status = 'flagged') AS flagged, count(*) FILTER (review_status = 'flagged' AND coalesce(n, 0) < 2) AS retry_pending FROM f LEFT JOIN v USING (fingerprint)",
     "confirmed_observations": f"WITH {FACT_SQL} SELECT event_id, event_type AS variable_key FROM e WHERE event_id IN (SELECT canonical_event_id FROM f WHERE review_status = 'confirmed') ORDER BY processed_at DESC, seq LIMIT 100",
     "latest_runs": "SELECT 'c' || (conv_id % 20) AS collector, max(conv_id * 100 + turn) AS id, arg_max(role, conv_id * 100 + turn) AS status FROM conversations GROUP BY 1",
@@ -300,10 +377,22 @@ ORACLE = {
     "network_edges": f"WITH {NET_SQL}, m AS (SELECT CASE s WHEN 'FRANCE' THEN 'GERMANY' ELSE s END AS s, CASE t WHEN 'FRANCE' THEN 'GERMANY' ELSE t END AS t, ty, m FROM ne) SELECT s AS source, t AS target, ty AS type, count(*) AS weight, CAST(sum(m) AS BIGINT) AS mentions FROM m WHERE s <> t GROUP BY ALL",
     "network_nodes": f"WITH {NET_SQL}, m AS (SELECT unnest([s, t]) AS n FROM ne) SELECT id, CASE id WHEN 'CHINA' THEN 'index' ELSE 'company' END AS kind, count(*) AS weight FROM (SELECT CASE n WHEN 'FRANCE' THEN 'GERMANY' ELSE n END AS id FROM m) x GROUP BY id ORDER BY weight DESC, id LIMIT 10",
     "evidence_edges": f"WITH {FIN_SQL}, {ITEM_SQL}, n AS (SELECT id, sum(w) AS w FROM (SELECT CASE WHEN seq % 9 = 0 THEN 'This' ELSE source_entity END AS id, 1 AS w FROM e UNION ALL SELECT target_entity, 1 FROM e UNION ALL SELECT unnest(companies), 0 FROM i) x WHERE id IS NOT NULL GROUP BY id ORDER BY w DESC, id LIMIT 12) SELECT c AS source, 'evidence:' || id AS target FROM (SELECT id, unnest(companies) AS c FROM i) y WHERE c IN (SELECT id FROM n)",
-    "timeline": f"WITH {FIN_SQL} SELECT CASE WHEN seq % 6 < 2 THEN '2023-12-31' ELSE effective_date END AS date, event_type, source_entity, 1 AS mentions, 'provisional' AS review_status, evidence_text FROM e",
+    "timeline": f"WITH {FIN_SQL}, x AS (SELECT CASE WHEN seq % 6 < 2 THEN '2023-12-31' ELSE effective_date END AS date, * EXCLUDE (effective_date) FROM e) SELECT date, event_type, source_entity, 1 AS mentions, 'provisional' AS review_status, evidence_text, row_number() OVER (ORDER BY date, seq) - 1 AS place FROM x",
+    "evidence_lists": indicator_sql("""SELECT * FROM (SELECT dimension, CASE variable_key WHEN 'purchase' THEN 'Purchases' WHEN 'signup' THEN 'Signups' WHEN 'error' THEN 'Errors' WHEN 'view' THEN 'Views' WHEN 'click' THEN 'Clicks' ELSE 'Refunds' END AS variable, entity, round(value, 6) AS value, unit,
+      CASE WHEN unit = 'signal' THEN 'directional signal' ELSE 'measured value' END AS role, CASE WHEN polarity = 'risk' THEN 'raises the warning' ELSE 'lowers the warning' END AS effect, confidence, strftime(observed_at, '%Y-%m-%d') AS date, variable_key AS event_type, 'ev' || event_id AS title, 's' AS source, 'u' AS url, 'ev' || event_id AS evidence,
+      row_number() OVER (PARTITION BY dimension ORDER BY strftime(observed_at, '%Y-%m-%d') DESC, variable_key DESC, entity DESC) - 1 AS place FROM q) x WHERE place < 300"""),
+    "filing_records": "SELECT cik, pos, form, accession, filing_date, document FROM (SELECT o_custkey AS cik, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderpriority AS form, 'a-' || o_orderkey AS accession, strftime(o_orderdate, '%Y-%m-%d') AS filing_date, 'd.htm' AS document FROM orders) x WHERE pos < n - CASE WHEN cik % 3 = 0 THEN 1 ELSE 0 END",
+    "document_text": f"SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'error' WHEN page_id % 5 = 4 THEN 'unsupported' ELSE 'ok' END AS status, md5(CASE WHEN page_id % 7 = 0 OR page_id % 5 = 4 THEN '' WHEN page_id % 5 < 2 THEN substring({_HTML}, 1, 400000) ELSE substring({space_sql('html')}, 1, 400000) END) AS text_md5 FROM pages",
+    "network": f"WITH {NET_SQL}, {ITEM_SQL}, m AS (SELECT unnest([s, t]) AS n, 1 AS w FROM ne UNION ALL SELECT unnest(companies), 0 FROM i), g AS (SELECT id, sum(w) AS weight FROM (SELECT CASE n WHEN 'FRANCE' THEN 'GERMANY' ELSE n END AS id, w FROM m) x GROUP BY id ORDER BY weight DESC, id LIMIT 12) SELECT id, CASE WHEN id IN ('CHINA', 'This') THEN 'index' ELSE 'company' END AS kind, CAST(weight AS BIGINT) AS weight, md5(id) AS label, NULL AS date FROM g UNION ALL SELECT 'evidence:' || id, 'evidence', 1, md5(title), published_at FROM i WHERE text IS NOT NULL",
+    "recent_snapshots": "SELECT strftime(ts, '%Y-%m-%d %H:%M') || ' ' || event_id AS captured_at, round(value, 6) AS score, event_type AS label, row_number() OVER (ORDER BY strftime(ts, '%Y-%m-%d %H:%M') || ' ' || event_id DESC) - 1 AS place FROM events ORDER BY captured_at DESC LIMIT 365",
+    "all_events": "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, row_number() OVER (ORDER BY ts, CAST(event_id AS VARCHAR)) - 1 AS place FROM events",
+    "run_summary": "SELECT CAST(sum(event_id % 5) FILTER (event_type <> 'error') AS BIGINT) AS new_items, count(*) FILTER (event_type IN ('view', 'click') AND event_id % 2 = 0) AS degraded, count(*) FILTER (event_type = 'error') AS failed FROM events",
     "dimension_evidence": indicator_sql("SELECT dimension, count(*) AS n, max(strftime(observed_at, '%Y-%m-%d')) AS newest, count(*) FILTER (unit = 'signal') AS signals FROM q GROUP BY dimension"),
-    "feed_history": "WITH e AS (SELECT CAST(substring(source, 4) AS INT) AS q, doc_id, text, lang FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY doc_id) AS n FROM e), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 150 ORDER BY q, doc_id) AS u FROM f WHERE n <= 7) SELECT trim(regexp_replace(substring(text, 1, 20), '[\\s]+', ' ', 'g')) AS title, 'http://x/' || (doc_id % 150) AS url, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'Google News' END AS source FROM g WHERE u = 1 ORDER BY q, doc_id LIMIT 140",
-    "feed_current": "SELECT trim(regexp_replace(substring(text, 1, 20), '[\\s]+', ' ', 'g')) AS title, 'http://x/' || (doc_id % 150) AS url, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'Google News' END AS source FROM documents ORDER BY CAST(substring(source, 4) AS INT), doc_id LIMIT 12",
+    "feed_history": f"WITH e AS (SELECT CAST(substring(source, 4) AS INT) AS q, doc_id, text, lang FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY doc_id) AS n FROM e), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 150 ORDER BY q, doc_id) AS u FROM f WHERE n <= 7) SELECT {strip_sql('text')} AS title, 'http://x/' || (doc_id % 150) AS url, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'Google News' END AS source FROM g WHERE u = 1 ORDER BY q, doc_id LIMIT 140",
+    "feed_current": f"SELECT {strip_sql('text')} AS title, 'http://x/' || (doc_id % 150) AS url, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'Google News' END AS source FROM documents ORDER BY CAST(substring(source, 4) AS INT), doc_id LIMIT 12",
     "filings_recent": "SELECT cik, form, accession FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY o_orderkey) AS n FROM (SELECT o_custkey AS cik, o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' WHEN '2-HIGH' THEN '8-K' WHEN '3-MEDIUM' THEN '10-Q' ELSE 'X' END AS form, 'a-' || (o_orderkey % 5000) AS accession, o_orderdate FROM orders) x WHERE form <> 'X' AND o_orderdate >= TIMESTAMP '1994-01-01') y WHERE n <= 3",
     "filings_history": "WITH x AS (SELECT o_custkey AS cik, o_orderkey AS k, CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' WHEN '2-HIGH' THEN '8-K' WHEN '3-MEDIUM' THEN '10-Q' ELSE 'X' END AS form, o_orderkey % 5000 AS acc, strftime(o_orderdate, '%Y-%m-%d') AS fd FROM orders), y AS (SELECT cik, acc, arg_max(form, k) AS form, arg_max(fd, k) AS fd, min(k) AS k FROM x WHERE form <> 'X' AND fd >= '1994-01-01' GROUP BY cik, acc), z AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY CASE WHEN form = '8-K' THEN 1 ELSE 0 END, fd DESC, k) AS n FROM y) SELECT 'c' || cik || ' SEC filing: ' || form || ' (' || fd || ')' AS title, 'https://www.sec.gov/Archives/edgar/data/' || cik || '/a' || acc || '/d.htm' AS url FROM z WHERE n <= 4",
 }
+ORACLE["rebuild_observations"] = ORACLE["event_to_observation"]
+ORACLE["review"] = f"""SELECT count(*) FILTER (review_status = 'provisional') AS provisional, count(*) FILTER (review_status = 'confirmed') AS confirmed, count(*) FILTER (review_status = 'flagged') AS flagged, count(*) FILTER (review_status = 'flagged') AS retry_pending,
+  count(*) FILTER (review_status = 'merged') AS merged, CAST(sum(mention_count) AS BIGINT) AS mentions, count(reviewer_model) AS reviews, count(reviewer_model) AS last_review, count(*) FILTER (review_status <> 'merged') AS observations FROM ({ORACLE['apply_review']}) x"""

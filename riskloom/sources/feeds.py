@@ -58,7 +58,7 @@ def register(spark: SparkSession, fetch: Callable[[str], list[dict]]) -> None:
 
 def entry_items(entries: DataFrame, brand: str = "Google News") -> DataFrame:
     """Items of feed entries: markup goes from title and summary, a missing source is the feed's."""
-    return entries.select("query_pos", "entry_pos", strip_tags(F.col("title")).alias("title"), F.col("link").alias("url"), strip_tags(F.col("summary")).alias("summary"), F.col("published").alias("published_at"), F.coalesce(filled(F.col("source_title")), F.lit(brand)).alias("source"))
+    return entries.select("query_pos", "entry_pos", strip_tags(F.col("title")).alias("title"), F.col("link").alias("url"), strip_tags(F.col("summary")).alias("summary"), F.col("published").alias("published_at"), F.coalesce(filled(F.col("source_title")), F.lit(brand)).alias("source"), F.struct("query_pos", "entry_pos").alias("seq"))
 
 
 def current(entries: DataFrame, max_items: int = 12) -> DataFrame:

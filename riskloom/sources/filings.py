@@ -53,7 +53,8 @@ def historical_filings(rows: DataFrame, since: str = "", limit: int = 24, forms:
     return d.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 
-def filing_items(filings: DataFrame) -> DataFrame:
+def filing_items(filings: DataFrame, seq: Column | None = None) -> DataFrame:
+    """Items of filings, with ``seq``, their order, if it is given."""
     text = lambda *parts: F.concat(*[F.col(p[1:]) if p.startswith("$") else F.lit(p) for p in parts])
     d = filings.withColumns({"_cik": F.col("cik").cast("string"), "_folder": F.replace("accession", F.lit("-"), F.lit(""))})
     return d.select(
@@ -63,4 +64,5 @@ def filing_items(filings: DataFrame) -> DataFrame:
         text("SEC filing ", "$form", " for ", "$name", ". Review for debt, guarantees, capital expenditure, customer concentration, refinancing, AI infrastructure commitments, or IPO information.").alias("summary"),
         F.col("filing_date").alias("published_at"),
         F.lit("SEC EDGAR").alias("source"),
+        *([] if seq is None else [seq.alias("seq")]),
     )

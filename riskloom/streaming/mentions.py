@@ -15,17 +15,17 @@ def stream_mentions(mentions: DataFrame, store: Store, checkpoint: str, interval
     """Keep the facts table up to date from a stream of mentions (fingerprint, event_id, seen_at, seq).
 
     With an interval the query goes on; without one it takes what is there and ends. A micro-batch that is replayed after a
-    failure isn't counted twice: the number of the last batch is published with the table.
+    failure isn't counted twice: the number of the stream's last batch is published with the table.
     """
     spark = mentions.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        marks = store.read("system_snapshots").filter("captured_at = 'stream:mentions'").select("score").collect()
-        if marks and marks[0][0] >= number:
+        marks = store.read("stream_marks")
+        last = marks.filter(F.col("stream") == checkpoint).first()
+        if last and last.batch >= number:
             return
-        facts = store.read("economic_events")
-        mark = spark.createDataFrame([("stream:mentions", float(number), "batch", {}, 0)], "captured_at string, score double, label string, dimensions map<string,double>, seq int")
-        store.publish(economic_events=cut(state.register_mentions(facts, batch)), system_snapshots=state.upsert(store.read("system_snapshots"), mark, "captured_at"))
+        mark = spark.createDataFrame([(checkpoint, number, 0)], "stream string, batch long, seq int")
+        store.publish(economic_events=cut(state.register_mentions(store.read("economic_events"), batch)), stream_marks=state.upsert(marks, mark, "stream"))
 
     out = mentions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)).start()

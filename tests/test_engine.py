@@ -1,20 +1,27 @@
 import json
+import sys
+import zlib
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from riskloom import queries
-from riskloom.engine import Engine, backfill_window
+from riskloom import cli, queries
+from riskloom.engine import Engine
 from riskloom.operators import graph as G
 from riskloom.operators import reads as R
 from riskloom.operators import review as V
 from riskloom.operators import state
 from riskloom.sources import feeds, filings
-from riskloom.sources.tables import SCHEMAS
-from riskloom.streaming.mentions import stream_mentions
+from riskloom.plans.presets import Settings, company_queries, load_settings, pressure_queries
+from riskloom.sources import collectors as C
+from riskloom.sources import readers
+from riskloom.sources.tables import MOST_PARTS, SCHEMAS, Store
+from riskloom.streaming.mentions import discovery_lag, distinct_items, stream_mentions
 
 NOW = datetime(2026, 9, 5)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # readers of this file run on executors
 SENTENCE = "Nvidia guarantees $30 billion financing for OpenAI."
 
 
@@ -28,7 +35,7 @@ def fetched(df):
 
 @pytest.fixture
 def engine(spark, tmp_path):
-    return Engine(spark, str(tmp_path / "store"), fetch=fetched)
+    return Engine(spark, str(tmp_path / "store"), fetch=fetched, clock=lambda: NOW + timedelta(minutes=5))
 
 
 def judge(decide):
@@ -57,6 +64,14 @@ def test_a_failed_source_leaves_only_its_run(spark, engine):
     assert out["failed"] == ["bad"] and out["new_items"] == 2 and engine.counts() == {"items": 2, "facts": 1, "mentions": 1}
     runs = {r.collector: r for r in engine.freshness().collect()}
     assert runs["bad"].status == "error" and "lost" in runs["bad"].error and runs["good"].status == "ok" and runs["good"].items_new == 2
+    assert {r.completed_at for r in runs.values()} == {"2026-09-05T00:05:00"} and runs["good"].started_at == "2026-09-05T00:00:00"
+
+
+def test_a_failed_run_tells_what_it_had_counted(spark, engine):
+    engine.fetch = lambda df: fetched(df).withColumn("body", F.raise_error(F.lit("no route")))
+    assert engine.run({"bad": lambda: items(spark, [(SENTENCE, "http://1", None), ("Other", "http://2", None), ("Other", "http://2", None)])}, NOW)["failed"] == ["bad"]
+    r = engine.freshness().first()
+    assert (r.items_seen, r.items_new, engine.counts()["items"]) == (3, 2, 0) and "no route" in r.error
 
 
 def test_failed_fetches_degrade(spark, tmp_path):
@@ -85,12 +100,24 @@ def test_batches_and_one_retry(spark, engine):
         return judge(lambda r: ("flag", None))(rows)
 
     assert engine.review(flag, NOW, batch_size=2) == 3 and calls == [2, 1]
+    assert engine.review(flag, NOW, batch_size=0) == engine.review(flag, NOW, limit=0) == 0
     assert engine.review(flag, NOW, retry_flagged_limit=3) == 3
     assert engine.review(flag, NOW, retry_flagged_limit=3) == 0
     counts = R.review_counts(engine.store.read("economic_events"), engine.store.read("evidence_reviews")).first()
     assert (counts.provisional, counts.confirmed, counts.flagged, counts.retry_pending) == (0, 0, 3, 0)
 
 
+def test_retries_have_a_budget_of_their_own(spark, engine):
+    old = [(f"This guarantee for OpenAI could adversely affect Nvidia {i}.", f"http://old{i}", f"2026-0{i}-01") for i in (1, 2)]
+    engine.run({"n": lambda: items(spark, old)}, NOW)
+    assert engine.review(judge(lambda r: ("confirm", None)), NOW) == 2
+    engine.run({"n": lambda: items(spark, [(SENTENCE, f"http://{i}", f"2026-0{i}-01") for i in range(3, 6)])}, NOW + timedelta(hours=1))
+    # three provisional facts and two flagged ones, of which one may be tried again, in one call
+    assert engine.review(judge(lambda r: ("confirm", None)), NOW, batch_size=2, retry_flagged_limit=1) == 4
+    counts = R.review_counts(engine.store.read("economic_events"), engine.store.read("evidence_reviews")).first()
+    assert (counts.provisional, counts.confirmed, counts.flagged, counts.retry_pending) == (0, 4, 1, 1)
+
+
 def test_preflight_comes_before_the_judge(spark, engine):
     engine.run({"n": lambda: items(spark, [("This guarantee for OpenAI could adversely affect Nvidia.", "http://1", None)])}, NOW)
     assert engine.review(judge(lambda r: ("confirm", None)), NOW) == 1
@@ -121,6 +148,19 @@ def test_stream_equals_batch(spark, tmp_path, engine):
         spark.createDataFrame(rows[k::2], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream_mentions(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")), engine.store, str(tmp_path / "cp")).awaitTermination(120)
     assert {(r.fingerprint, r.mention_count) for r in engine.store.read("economic_events").collect()} == {("fp", 6), ("other", 1)}
+    mark = engine.store.read("stream_marks").collect()
+    assert len(mark) == 1 and mark[0].stream == str(tmp_path / "cp") and mark[0].batch == 1 and engine.store.read("system_snapshots").count() == 0
+
+
+def test_streams_of_items(spark, tmp_path):
+    rows = [("a", "2026-01-02 00:00:00", "2026-01-01"), ("a", "2026-01-03 00:00:00", "2026-01-01"), ("b", "2026-01-02 00:00:00", "no date")]
+    schema = "id string, discovered_at timestamp, published_at string"
+    typed = spark.createDataFrame(rows, "id string, d string, published_at string").selectExpr("id", "CAST(d AS TIMESTAMP) AS discovered_at", "published_at")
+    typed.coalesce(1).write.json(str(tmp_path / "in"))
+    out = distinct_items(spark.readStream.schema(schema).json(str(tmp_path / "in")))
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+    assert sorted((r.id, r.lag_seconds) for r in discovery_lag(typed).collect() if r.id == "a") == [("a", 86400), ("a", 172800)] and discovery_lag(typed).filter("id = 'b'").first().lag_seconds is None
 
 
 def test_lineage_is_seeded_once(spark, engine):
@@ -140,6 +180,28 @@ def test_site_of_an_empty_store(spark, engine, tmp_path):
     assert csv.name == "risk_report_2026-09-05_0000.csv" and csv.read_text().strip() == "" and "No high-signal" in html.read_text()
 
 
+def test_site_and_report_of_a_filled_store(spark, engine, tmp_path):
+    engine.run({"news": lambda: items(spark, [(SENTENCE, f"http://x/{i}", "2026-08-31") for i in range(3)] + [("Default and distress: refinancing at Oracle", "http://<y>&", None)])}, NOW)
+    engine.seed_lineage(NOW)
+    engine.review(judge(lambda r: ("confirm", None)), NOW)
+    engine.snapshot(NOW + timedelta(hours=1))
+    data = engine.site(str(tmp_path / "site"), NOW)
+    assert json.loads((tmp_path / "site/data.json").read_text()) == data
+    assert data["event_count"] == 11 and data["mention_count"] == 13 and len(data["items"]) == 13 and [h["captured_at"] for h in data["history"]] == ["2026-09-05T01:00:00", "2026-09-05T00:00:00"]
+    assert data["review_counts"] == {"provisional": 0, "confirmed": 11, "flagged": 0, "retry_pending": 0} and data["overall_direction"] == "higher_pressure"
+    edges = {(e["source"], e["target"], e["type"]): e["mentions"] for e in data["network"]["edges"]}
+    assert edges["Nvidia", "OpenAI", "GUARANTEES"] == 3 and any(t == "EVIDENCE" for *_, t in edges)
+    assert {n["kind"] for n in data["network"]["nodes"]} == {"company", "index", "evidence"}
+    assert [t["date"] for t in data["timeline"]] == sorted(t["date"] for t in data["timeline"]) and len(data["timeline"]) == 10
+    rows = [r for rs in data["dimension_evidence"].values() for r in rs]
+    assert rows and all([r["date"] or "" for r in rs] == sorted([r["date"] or "" for r in rs], reverse=True) for rs in data["dimension_evidence"].values())
+    csv, html = engine.report(str(tmp_path / "r"), NOW)
+    lines = csv.read_text().splitlines()
+    assert lines[0].startswith("id,") and len(lines) == 14
+    page = html.read_text()
+    assert "http://&lt;y&gt;&amp;" in page and page.count("<article>") == len([i for i in data["items"] if i["score"] >= engine.settings.high_signal_threshold])
+
+
 def test_network_evidence(spark):
     events = spark.createDataFrame([("Nvidia", "OpenAI", "GUARANTEES", 7), ("NVIDIA", "OpenAI", "SUPPLIES", None), ("Meta", "Meta", "X", 1)], "source_entity string, target_entity string, event_type string, mention_count long")
     docs = spark.createDataFrame([("i1", "t", '["AWS", "Nvidia"]', None), ("i2", "t2", "bad json", None), (None, "t3", "[]", None)], "id string, title string, companies string, published_at string")
@@ -168,8 +230,134 @@ def test_feed_source(spark):
     assert [(r.title, r.source, r.summary) for r in feeds.current(entries, 6).collect()][-1] == ("two 0", "Google News", "a&b")
     assert [r.title for r in feeds.historical(entries, 2, 4).collect()] == ["one 0", "one 1"]
     assert feeds.historical(entries, 0).count() == 0 and feeds.dated(["q"], "a", "b") == ["q after:a before:b"]
-    assert backfill_window(NOW, 1) == ("2025-09-05", "2026-09-06")
 
 
 def test_every_query_has_an_oracle():
     assert queries.QUERIES.keys() == queries.ORACLE.keys()
+
+
+# -- the store ------------------------------------------------------------------------------------------------------------
+
+
+def test_publications_are_whole_and_appends_write_their_own_rows(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    mark = lambda *rows: spark.createDataFrame(rows, "stream string, batch long")
+    store.publish(stream_marks=mark(("a", 1)))
+    store.publish(append={"stream_marks": mark(("b", 2))})
+    number, parts = store.manifest()
+    assert number == 2 and len(parts["stream_marks"]) == 2 and store.read("stream_marks").count() == 2
+    broken = mark(("c", 3)).withColumn("stream", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        store.publish(append={"stream_marks": mark(("d", 4))}, system_snapshots=spark.createDataFrame([], SCHEMAS["system_snapshots"]).unionByName(broken.selectExpr("stream AS captured_at", "1D AS score", "'' AS label", "CAST(NULL AS MAP<STRING, DOUBLE>) AS dimensions")))
+    assert store.manifest() == (number, parts)
+    # another writer came in between
+    other = Store(spark, str(tmp_path))
+    stale = store.manifest
+    store.manifest = lambda: (1, {})
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.publish(stream_marks=mark(("x", 9)))
+    store.manifest = stale
+    assert sorted(r.stream for r in other.read("stream_marks").collect()) == ["a", "b"]
+
+
+def test_many_appends_are_written_as_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("riskloom.sources.tables.MOST_PARTS", 3)
+    store = Store(spark, str(tmp_path))
+    for i in range(6):
+        store.publish(append={"stream_marks": spark.createDataFrame([(f"s{i}", i)], "stream string, batch long")})
+    assert len(store.manifest()[1]["stream_marks"]) <= 3 < MOST_PARTS and store.read("stream_marks").count() == 6
+
+
+def test_columns_that_old_parts_lack_hold_their_default(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    facts = spark.createDataFrame([("fp", "e", "t", "t")], "fingerprint string, canonical_event_id string, first_seen string, last_seen string")
+    store._columns = lambda name: facts.columns
+    store.publish(economic_events=facts)
+    r = Store(spark, str(tmp_path)).read("economic_events").first()
+    assert (r.mention_count, r.review_status, r.merged_into) == (1, "provisional", None)
+
+
+# -- collectors and commands ------------------------------------------------------------------------------------------------
+
+
+def feed(query):
+    return [{"title": f"{query} <i>{i}</i>", "link": f"http://n/{zlib.crc32(query.encode())}/{i}", "summary": SENTENCE if i == 0 else "x", "published": "2026-08-31", "source_title": "S" if i else ""} for i in range(30)]
+
+
+def filing(name):
+    arrays = lambda n, year: {"form": ["8-K", "4", "10-K"][:n], "accessionNumber": [f"{year}-{i}" for i in range(n)], "filingDate": [f"{year}-0{i + 1}-01" for i in range(n)], "primaryDocument": [f"d{i}.htm" for i in range(n)]}
+    if name.startswith("CIK"):
+        return json.dumps({"filings": {"recent": arrays(3, 2026), "files": [{"name": f"old-{name}", "filingTo": "2024-12-31"}, {"name": "never", "filingTo": "2001-01-01"}]}})
+    assert name != "never"
+    return json.dumps(arrays(2, 2024))
+
+
+SETTINGS = Settings(queries=("q one", "q two"), companies=("Nvidia", "OpenAI", "Nvidia"), filers=(("Nvidia", 1045810), ("Oracle", 1341439)))
+
+
+def test_hourly_collectors(spark, engine):
+    found = {k: c().orderBy("seq").collect() for k, c in C.hourly(spark, SETTINGS, feed, filing, NOW.date()).items()}
+    assert {k: len(v) for k, v in found.items()} == {"google-news-rss": 4, "company-economic-news": 36, "external-competitive-pressure": 40, "sec-edgar": 4}
+    assert [r.title for r in found["google-news-rss"]] == [f"q one {i}" for i in range(4)] and [r.source for r in found["google-news-rss"]][:2] == ["Google News", "S"]
+    assert found["company-economic-news"][0].title.startswith('"Nvidia" (') and "after:2026-09-03 before:2026-09-06" in found["company-economic-news"][-1].title and '"OpenAI"' in found["company-economic-news"][-1].title
+    assert [r.title for r in found["sec-edgar"]] == [f"{c} SEC filing: {f} (2026-0{m}-01)" for c in ("Nvidia", "Oracle") for f, m in (("8-K", 1), ("10-K", 3))]
+    out = engine.run(C.hourly(spark, SETTINGS, feed, filing, NOW.date()), NOW)
+    assert out["failed"] == [] and engine.counts()["items"] == 4 + 36 + 40 + 4 and engine.freshness().count() == 4 and engine.counts()["facts"] > 0
+    assert len(company_queries(SETTINGS.companies)) == 2 and len(pressure_queries()) == len(set(pressure_queries())) > 10
+
+
+def test_baseline_reads_the_archives_that_matter(spark):
+    found = {k: c().orderBy("seq").collect() for k, c in C.baseline(spark, SETTINGS, feed, filing, NOW.date(), 3, 20, 3).items()}
+    assert {k: len(v) for k, v in found.items()} == {"google-news-history": 20, "sec-edgar-history": 6}
+    assert "after:2023-09-06 before:2026-09-06" in found["google-news-history"][0].title and len({r.title.split(" after")[0] for r in found["google-news-history"]}) == 4
+    assert [r.title for r in found["sec-edgar-history"]][:3] == ["Nvidia SEC filing: 10-K (2026-03-01)", "Nvidia SEC filing: 8-K (2026-01-01)", "Nvidia SEC filing: 8-K (2024-01-01)"]
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "get_spark", lambda: spark)
+    monkeypatch.setenv("RISKLOOM_REQUEST_DELAY_SECONDS", "0")
+    (tmp_path / "c.toml").write_text('[news]\nqueries = ["q one"]\n[entities]\ncompanies = ["Nvidia", "OpenAI"]\n[sec]\ncompanies = [{name = "Nvidia", cik = 1045810}]\n')
+    base = ["--root", str(tmp_path / "store"), "--config", str(tmp_path / "c.toml"), "--reports", str(tmp_path / "r")]
+    said = lambda *a, **k: (cli.main([*base, *a], **k), capsys.readouterr())
+    readers_given = {"feed": feed, "filing": filing, "fetch": fetched}
+    code, out = said("run", **readers_given)
+    assert code == 0 and json.loads(out.out)["new_items"] == 2 + 36 + 40 + 2 and json.loads(out.out)["facts"] > 0
+    code, out = said("backfill", "--years", "1", "--news-limit", "6", "--sec-per-company", "2", **readers_given)
+    assert code == 0 and json.loads(out.out)["new_items"] == 6 and not out.err
+    with pytest.raises(SystemExit):
+        said("backfill", "--years", "11")
+    (tmp_path / "i.json").write_text(json.dumps({"title": "t", "url": "http://t"}) + "\n")
+    code, out = cli.main([*base, "--items", f"file={tmp_path}/i.json", "run"]), capsys.readouterr()
+    assert code == 0 and json.loads(out.out)["degraded"] == ["file"] and "degraded: file" in out.err
+    assert json.loads(said("db-stats")[1].out)["items"] == 87
+    assert {json.loads(x)["collector"] for x in said("freshness")[1].out.splitlines()} == {"google-news-rss", "company-economic-news", "external-competitive-pressure", "sec-edgar", "google-news-history", "sec-edgar-history", "file"}
+    assert len(said("events", "--limit", "2")[1].out.splitlines()) == 2
+    assert said("seed-lineage")[1].out.strip() == "9" and int(said("rebuild-observations")[1].out) > 9
+    assert said("build-site")[0] == 0 and (tmp_path / "r/data.json").exists() and len(said("report")[1].out.splitlines()) == 2
+    (tmp_path / "d.json").write_text("")
+    code, out = said("review", "--decisions", str(tmp_path / "d.json"))
+    assert code == 1 and json.loads((tmp_path / "r/review-status.json").read_text())["status"] == "error"
+
+
+def test_settings(tmp_path):
+    (tmp_path / "c.toml").write_text('[monitor]\nreport_limit = 7\npoll_interval_minutes = 5\nunknown = 1\n[entities]\ncompanies = ["A"]\n')
+    s = load_settings(None, {"RISKLOOM_CONFIG_PATH": str(tmp_path / "c.toml"), "RISKLOOM_POLL_INTERVAL_MINUTES": "30", "RISKLOOM_AGENT": "me"})
+    assert (s.report_limit, s.poll_interval_minutes, s.agent, s.companies, s.queries) == (7, 30, "me", ("A",), Settings().queries)
+    assert load_settings(None, {}) == Settings()
+
+
+def test_readers(spark, monkeypatch):
+    xml = b"<rss><channel><item><title>T &amp; U</title><link>http://l</link><description>&lt;b&gt;d&lt;/b&gt;</description><pubDate>Mon, 31 Aug 2026</pubDate><source url='s'>Src</source></item><item><title>two</title></item></channel></rss>"
+    asked = []
+    monkeypatch.setattr(readers, "get", lambda url, agent, timeout: asked.append(url) or ("text/xml", xml))
+    one, two = readers.feed_reader("me")("a b&c")
+    assert one == {"title": "T & U", "link": "http://l", "summary": "<b>d</b>", "published": "Mon, 31 Aug 2026", "source_title": "Src"} and two["link"] is None and "q=a+b%26c&" in asked[0]
+    assert readers.filings_reader("me", delay=0)("CIK1.json").startswith("<rss") and asked[1].endswith("/CIK1.json")
+
+    def read(url, agent, timeout):
+        if "bad" in url:
+            raise OSError("no route")
+        return "text/html", b"<p>hi</p>"
+
+    out = readers.document_reader("me", read=read)(spark.createDataFrame([("1", "http://ok"), ("2", "http://bad")], "id string, url string")).orderBy("item_id").collect()
+    assert [(r.content_type, r.body) for r in out] == [("text/html", "<p>hi</p>"), ("", None)]

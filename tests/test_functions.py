@@ -57,6 +57,8 @@ def test_markup(spark):
     page = "<html><head><style>p{}</style><SCRIPT type='x'>var a='<p>';</script></head><body><nav>menu</nav><p>One &amp; <b>two</b></p><!-- no --><footer>end</footer></body></html>"
     assert one(spark, T.html_to_text(F.col("h")), h=page) == "One & two"
     assert one(spark, T.html_to_text(F.col("h"), max_chars=3), h=page) == "One"
+    nested = "x<nav>a<nav>b<footer>f</footer></nav>c<NAV id=1>d</nav></nav>y<nav>open<script>" + "<b>s</b>" * 20_000 + "</script>z"
+    assert one(spark, T.html_to_text(F.col("h")), h=nested) == "x y open z"
     kinds = [("<p>x</p>", "text/html"), ("<p>x</p>", None), ("a  b", "text/plain"), ("{}", "application/json"), ("%PDF", "application/pdf"), (None, "text/html")]
     got = [one(spark, T.document_text(F.col("b"), F.col("k")), b=b, k=k) for b, k in kinds]
     assert [(g.text, g.status) for g in got] == [("x", "ok"), ("x", "ok"), ("a b", "ok"), ("{}", "ok"), ("", "unsupported"), ("", "error")]
