@@ -24,9 +24,9 @@ from riskloom.session import cut, settled
 ALPHA = 0.4
 CODES = (1 << 16) - 2  # most frequent words, known to every task by a two-byte code
 START, UNCODED = CODES, CODES + 1  # in place of a code: before the first word; a word that has none
-PAIRS_A_BUCKET = 800_000  # mean
+PAIRS_A_BUCKET = 600_000  # mean
 HOT_PAIRS = 1 << 20  # bound of the pairs whose counts every task knows
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 3_000_000
 LONGEST_LANES = 8  # words of more bytes than eight times this are hashed one by one
 FLUSH_ROWS = 1_000_000
 
@@ -234,7 +234,7 @@ def pair_rows(known, buckets: int):
             a, ca, own_a = (np.r_[x[:1], x[:-1]] for x in (h, code, own))
             a[begins], ca[begins], own_a[begins] = 0, START, 0
             pair = mixed(mixed(a + ONE) ^ h)
-            order = np.lexsort((h, a, pair, doc))
+            order = np.lexsort((pair, doc))
             edges = group_edges(doc[order], pair[order], a[order], h[order])
             top = order[edges[:-1]]
             e = Entries(ca[top], code[top], a[top], h[top], np.diff(edges), own_a[top], own[top], doc[top])
