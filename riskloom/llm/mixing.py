@@ -11,7 +11,7 @@ from riskloom.session import cut
 WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)  # the mix takes 3/2 of all words
 MOST = 2  # copies of one document, and words of a source against its size
-ROWS_A_BUCKET = 50_000
+ROWS_A_BUCKET = 10_000
 SEED = 20240501
 
 
