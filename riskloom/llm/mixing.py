@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import shielded, table, word_count
+from riskloom.llm.common import shielded, sized, table, word_count
 from riskloom.session import cut
 
 WEIGHTS = (5, 2, 1)
@@ -67,15 +67,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
 def placed(d: DataFrame, rows: int, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """``mix`` of ``rows`` rows that have doc_id, source, mix_size and mix_key, a hash of the text."""
     k = max(1, -(-rows // ROWS_A_BUCKET))
-    d = d.withColumn("mix_class", F.floor(F.log2(F.col("mix_size") + 1)).cast("int")).withColumn("mix_bucket", F.pmod(F.xxhash64("doc_id", "mix_key", F.lit(seed)), F.lit(k)).cast("int"))
-    buckets = cut(d.groupBy("source", "mix_class", "mix_bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("words")))
-    wanted = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    # a name of the source that is never null: window and join then ask for the same distribution, and rows move once
+    name = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col("source")))
+    bucket = F.pmod(F.xxhash64("doc_id", "mix_key", F.lit(seed)), F.lit(k)).cast("int")
+    d = d.withColumns({"mix_name": name, "mix_class": F.floor(F.log2(F.col("mix_size") + 1)).cast("int"), "mix_bucket": bucket})
+    at = ["mix_name", "mix_class", "mix_bucket"]
+    buckets = cut(d.groupBy("source", *at).agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("words")))
+    wanted = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most).withColumnsRenamed({"source": "b_source", "source_size": "mix_source_size", "target": "mix_target"})
     inside = Window.partitionBy("source").orderBy(F.col("mix_class").desc(), "mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = buckets.withColumn("ahead", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    ahead = ahead.join(wanted, ahead["source"].eqNullSafe(wanted["source"])).select(ahead["source"].alias("b_source"), F.col("mix_class").alias("b_class"), F.col("mix_bucket").alias("b_bucket"), F.col("ahead").alias("b_ahead"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    rank = F.row_number().over(Window.partitionBy("source", "mix_class", "mix_bucket").orderBy(F.col("mix_size").desc(), F.col("doc_id").asc_nulls_last(), "mix_key"))
-    d = d.withColumn("mix_rank", rank)
-    d = d.join(ahead, d["source"].eqNullSafe(F.col("b_source")) & (d["mix_class"] == F.col("b_class")) & (d["mix_bucket"] == F.col("b_bucket")))
+    ahead = buckets.withColumn("b_ahead", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(wanted, F.col("source").eqNullSafe(F.col("b_source")))
+    ahead = cut(ahead.select(*at, "b_ahead", "mix_source_size", "mix_target"))
+    rank = F.row_number().over(Window.partitionBy(*at).orderBy(F.col("mix_size").desc(), F.col("doc_id").asc_nulls_last(), "mix_key"))
+    d = d.withColumn("mix_rank", rank).join(sized(ahead), at)
     expected = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     place = F.col("b_ahead") + F.col("mix_rank")
