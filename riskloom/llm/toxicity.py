@@ -16,7 +16,8 @@ WORD_ROWS, CHAR_ROWS, DIM, HIDDEN, ATTENTION = 1 << 13, 1 << 14, 16, 16, 16
 GRAMS = (3, 4, 5)
 #: Bounds of the labelled sample, for each class: ids drawn, rows kept, and UTF-8 bytes of all their texts together.
 DRAWN, PER_CLASS, BYTES = 12_000, 1_000, 2_000_000
-EPOCHS, LEAST_STEPS, BATCH, STEP, SEED = 6, 500, 40, 4e-3, 5
+EPOCHS, LEAST_STEPS, BATCH, STEP, SEED = 6, 300, 40, 4e-3, 5
+MOST_WINDOWS = 1_500  # windows of a step, whose states are kept in memory; a longer document makes a step by itself
 LEAST_SHARE = 3  # the rarer class is repeated until it is one in so many
 KNOWN_WORDS = 100_000  # words whose inputs a worker remembers
 CHUNK = 2048  # windows that run side by side
@@ -68,6 +69,17 @@ def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(owner)) if rows else (np.zeros((0, WINDOW), np.int32), np.zeros(0, int))
 
 
+def batches(order: np.ndarray, sizes: list[int]) -> Iterator[np.ndarray]:
+    """Parts of ``order`` of at most BATCH documents and, as far as single ones allow, MOST_WINDOWS windows."""
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if i > at and (i - at == BATCH or held + n > MOST_WINDOWS):
+            yield order[at:i]
+            at, held = i, 0
+        held += n
+    yield order[at:]
+
+
 class Net:
     """The network's parameters by name, and its passes over windows."""
 
@@ -167,8 +179,7 @@ class Net:
             rate = STEP * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
             often = np.concatenate([r.permutation(classes[0]) for _ in range(-(-rare // len(classes[0])))])[:rare]
             order = r.permutation(np.concatenate([often, classes[1]]))
-            for at in range(0, len(order), BATCH):
-                chosen = order[at : at + BATCH]
+            for chosen in batches(order, [len(windows(len(docs[i]))) for i in order]):
                 ids, owner = laid_out([docs[i] for i in chosen])
                 inputs = self.inputs(ids, word, char, starts, ends)
                 if epoch >= 2:
