@@ -40,10 +40,10 @@ def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     for n in range(1, max(GRAMS) + 1):
         h = (h ^ joined[n - 1 : n - 1 + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
+        if n == 1:  # a word's hash: its bytes' hashes by their places; longer grams run on into the next word
+            whole = np.add.reduceat(h * (np.arange(len(h)) - np.repeat(starts, sizes) + 1).astype(np.uint64), starts) * np.uint64(0x9E3779B97F4A7C15)
         if n in GRAMS:
             rows.append(np.where(left >= n, (h * np.uint64(n * 2 + 1) >> np.uint64(20)) % np.uint64(CHAR_ROWS), np.uint64(CHAR_ROWS)).astype(np.int32))
-    # a word's hash: the sum of its bytes' running hashes
-    whole = np.add.reduceat(h * (np.arange(len(h)) - np.repeat(starts, sizes) + 1).astype(np.uint64), starts)
     return ((whole >> np.uint64(17)) % np.uint64(WORD_ROWS)).astype(np.int32), np.stack(rows, 1), starts
 
 
