@@ -348,21 +348,31 @@ def toxic_tables(spark, tmp_path_factory):
     return str(d), docs
 
 
-def test_toxicity_query_matches_a_slow_network(spark, toxic_tables):
+def test_toxicity_query_matches_a_slow_network(spark, toxic_tables, monkeypatch):
     d, docs = toxic_tables
+    net = toxicity.trained(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    monkeypatch.setattr(toxicity, "trained", lambda docs, labels: net)
     out = toxicity.op5_toxicity(spark, d).collect()
     assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in docs) and out[0].asDict().keys() == {"doc_id", "held_out", "score", "predicted"}
-    net = toxicity.trained(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
     text = {i: t for i, t in docs if i not in (4, None)}
     for r in out:
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
         if r.doc_id in text and (r.doc_id % 40 == 0 or 900 <= r.doc_id < 903):
-            assert abs(r.score - slow_score(net, text[r.doc_id])) < 1e-3
+            assert abs(r.score - slow_score(net, text[r.doc_id])) < 1e-4
     held = [(r.predicted, r.doc_id % 4 == 0) for r in out if r.held_out and r.doc_id < 400]
     assert sum(p for p, y in held if y) >= 0.9 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 1
     assert next(r.predicted for r in out if r.doc_id == 903) == 1
 
 
+def test_inputs_of_a_word_don_t_depend_on_its_neighbours():
+    ws = [b"a", b"scum", b"vilgar", b"scumlet", b"x" * 40, b"scum"]
+    word, char, starts = toxicity.word_inputs(ws)
+    for i, w in enumerate(ws):
+        alone, grams, _ = toxicity.word_inputs([w])
+        assert word[i] == alone[0] and (char[starts[i] : starts[i] + len(w) + 2] == grams).all()
+    assert word[1] == word[5] and len(set(word.tolist())) == 5
+
+
 def test_toxicity_sample_is_bounded_and_never_held_out(spark, toxic_tables):
     d, docs = toxic_tables
     tables = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
