@@ -1,6 +1,6 @@
 """Queries of this folder, by name, and their DuckDB counterparts."""
 
-from riskloom.llm import decontamination, line_dedup, lm_scoring, mixing, quality, sharding, simhash, token_counts, toxicity, urls
+from riskloom.llm import conversation_trie, decontamination, jaccard, line_dedup, lm_scoring, mixing, oracles, quality, sharding, simhash, spelling, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -13,9 +13,15 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
+    "op11_conversation_trie": conversation_trie.op11_conversation_trie,
+    "op12_jaccard": jaccard.op12_jaccard,
+    "op13_spelling": spelling.op13_spelling,
 }
 ORACLE: dict[str, str] = {
     "op1_decontamination": decontamination.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_lm_scoring": lm_scoring.OP4_SQL,
+    "op11_conversation_trie": oracles.OP11_SQL,
+    "op12_jaccard": oracles.OP12_SQL,
+    "op13_spelling": oracles.OP13_SQL,
 }
