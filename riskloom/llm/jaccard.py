@@ -7,7 +7,8 @@ each other set occurs; of the m matches those in long lists may be missing, so a
 one of its sets that has fewer. What reaches the count is verified on whole sets.
 
 Sets of which almost all matches may lie in long lists are left: they are indexed anew among themselves, with all their shingles. Those that are
-left again have most of their shingles in common with many others; ``crowd`` links them without listing their pairs.
+left again have most of their shingles in common with many others. Two of them either share a shingle of a short list too, which finds
+them, or only some of long lists; those ``crowd`` links without listing their pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import by_value, each, shielded, sized, table
@@ -31,7 +32,7 @@ SEED = 42
 #: Least share of the union, in hundredths.
 SHARE = 85
 SHORT = 64
-#: Most members of a crowd, and most sets that look for partners there, in one task.
+#: Most nodes of a component, and most nodes that look for partners there, in one task.
 BLOCK = 1_000
 
 
@@ -118,7 +119,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(nodes: DataFrame, rows: DataFrame, share: int, short: int, full: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates, left, long rows) of sets (uid, s) and their index (g, uid, s).
 
-    Candidates (a, b, n) hold all pairs within the threshold but those of two sets that are both ``left`` (column uid). Lists are counted
+    Candidates (a, b, n) hold all pairs within the threshold but those of two sets that are both ``left`` (column uid); with a ``full``
+    index (all shingles), those of them too that share one of a short list. Lists are counted
     first, with sums on the map side: a list longer than ``short`` is never gathered, its rows only count how many such lists a set has.
     """
     counts = cut(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -140,7 +142,9 @@ def search(nodes: DataFrame, rows: DataFrame, share: int, short: int, full: bool
     of = cut(of)
     both = found.join(sized(of.toDF("a", "ma", "ka")), "a").join(sized(of.toDF("b", "mb", "kb")), "b")
     need = F.least("ma", "mb") - F.least("ka", "kb")
-    return cut(both.filter((need >= 1) & (F.col("n") >= need)).select("a", "b", "n")), left, long_rows
+    # of whole sets two that are left are candidates too if any short list holds both
+    enough = F.col("n") >= F.greatest(need, F.lit(1)) if full else (need >= 1) & (F.col("n") >= need)
+    return cut(both.filter(enough).select("a", "b", "n")), left, long_rows
 
 
 def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -188,54 +192,75 @@ def _searched(share: int):
     def pairs(members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(members) and len(asking):
-            sets = [np.asarray(x, np.int64) for x in members["member_set"]]
+            sets, sizes = [np.asarray(x, np.int64) for x in members["in_hot"]], members["in_s"].tolist()
             index, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
             order = np.lexsort((owner, index))
             index, owner = index[order], owner[order]
-            for uid, s in zip(asking["uid"], asking["set"], strict=True):
-                for i in divide_skip(index, owner, np.asarray(s, np.int64), overlap(len(s), share)):
-                    met = len(np.intersect1d(sets[i], s, assume_unique=True))
-                    if 100 * met >= share * (len(s) + len(sets[i]) - met):
-                        out.append((uid, members["member"].iloc[i]))
+            for node, hot, s in zip(asking["node"], asking["hot"], asking["s"], strict=True):
+                for i in divide_skip(index, owner, np.asarray(hot, np.int64), overlap(s, share)):
+                    met = len(np.intersect1d(sets[i], hot, assume_unique=True))
+                    if 100 * met >= share * (s + sizes[i] - met):
+                        out.append((node, members["member"].iloc[i]))
                         break  # one link to this part of the component joins it
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return pairs
 
 
-def crowd(rows: DataFrame, sets: DataFrame, share: int, block: int) -> DataFrame:
-    """Links (a, b) that join what all links among the sets of ``rows`` (g, uid: their long lists) join; pairs within a list are never listed.
+def crowd(rows: DataFrame, share: int, block: int) -> DataFrame:
+    """Links (a, b) that join what all links join among sets of size s that share no shingle but those of ``rows`` (g, uid, s: their long lists).
 
-    The least set of each list is its hub. Each set is held against the hub that it meets in most lists; that joins most of a crowd. Then a set and a
-    component that meet in a list and are not joined yet are taken together: the set (of the smaller component) is searched for in the component's
-    index, in blocks of members and of sets.
+    Such links depend on sizes and on shingles of long lists alone, so sets alike in both are one node: thousands of texts around one
+    passage are some nodes. A node of which two sets would be linked, or that is linked to another, joins all its sets.
     """
-    hubs = cut(rows.groupBy("g").agg(F.min("uid").alias("hub")))
-    met = rows.join(sized(hubs), "g").filter("uid <> hub").groupBy("uid", "hub").agg(F.count(F.lit(1)).alias("n"))
-    picked = met.groupBy("uid").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct()
-    first = cut(verified(picked, sets, share))
+    own = rows.groupBy("uid", "s").agg(F.array_sort(F.collect_list("g")).alias("hot"))
+    own = cut(own)
+    nodes = cut(own.groupBy("hot", "s").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("sets")))
+    found = cut(node_links(nodes.select("node", "s", "hot"), share, block))
+    alike = nodes.filter((F.col("sets") > 1) & (100 * F.size("hot") >= share * (2 * F.col("s") - F.size("hot")))).select("node")
+    joined = cut(found.select(F.explode(F.array("a", "b")).alias("node")).unionByName(alike).distinct())
+    members = own.join(nodes.filter("sets > 1"), ["hot", "s"]).filter("uid <> node").select("uid", "node")
+    return found.unionByName(members.join(sized(joined), "node", "left_semi").select(F.col("node").alias("a"), F.col("uid").alias("b")))
+
+
+def node_links(nodes: DataFrame, share: int, block: int) -> DataFrame:
+    """Links (a, b) that join what all links of nodes (node, s, hot) join; pairs within a list are never listed.
+
+    The least node of each list is its hub. Each node is held against the hub that it meets in most lists; that joins most of a crowd. Then a
+    node and a component that meet in a list and are not joined yet are taken together: the node (of the smaller component) is searched for in
+    the component's index, in blocks of members and of nodes. For that a node stands only in its shortest lists, all but T - 1 of them.
+    """
+    rows = each(nodes, F.col("hot"), "g", "node", "s", F.size("hot").alias("lists"))
+    hubs = cut(rows.groupBy("g").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("held")))
+    met = rows.join(sized(hubs), "g").filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    picked = met.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+    both = picked.join(nodes.toDF("node", "s", "x"), "node").join(nodes.toDF("hub", "t", "y"), "hub")
+    shared = F.size(F.array_intersect("x", "y"))
+    first = cut(both.filter(100 * shared >= share * (F.col("s") + F.col("t") - shared)).select(F.col("node").alias("a"), F.col("hub").alias("b")))
     known = cut(components(first))
-    of = cut(rows.select("uid").distinct().join(sized(known.toDF("uid", "root")), "uid", "left").select("uid", F.coalesce("root", "uid").alias("c")))
+    of = cut(nodes.select("node").join(sized(known.toDF("node", "root")), "node", "left").select("node", F.coalesce("root", "node").alias("c")))
     sizes = of.groupBy("c").agg(F.count(F.lit(1)).alias("members"))
-    of = cut(of.join(sizes, "c").select("uid", "c", "members"))
-    placed = rows.select("g", "uid").join(sized(of), "uid")
+    of = cut(of.join(sizes, "c").select("node", "c", "members"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("held", "g"))
+    least = rows.join(sized(hubs.select("g", "held")), "g").withColumn("place", place).filter(F.col("place") <= F.col("lists") - _overlap(F.col("s"), share) + 1)
+    placed = cut(least.select("g", "node").join(sized(of), "node"))
     parts = cut(placed.groupBy("g", "c", "members").agg(F.count(F.lit(1)).alias("n")))
     mixed = cut(parts.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g"))
     if not mixed.limit(1).count():
         return first
     others = parts.join(sized(mixed), "g", "left_semi").select("g", F.col("c").alias("into"), F.col("members").alias("of_into"))
-    asks = placed.join(sized(mixed), "g", "left_semi").join(others, "g").filter("of_into > members OR (of_into = members AND into < c)").select("uid", "into").distinct()
-    asks = cut(asks)
+    meeting = placed.join(sized(mixed), "g", "left_semi").join(others, "g").filter("of_into > members OR (of_into = members AND into < c)")
+    asks = cut(meeting.select("node", "into").distinct())
     loads = asks.groupBy(F.col("into").alias("c")).agg(F.count(F.lit(1)).alias("asking"))
     # both sides of a cogroup need the same type
     blocks = lambda n: F.ceil(F.col(n) / block).cast("long")
     spread = lambda n: F.sequence(F.lit(0).cast("long"), blocks(n) - 1)
     plan = cut(of.select("c", "members").distinct().join(loads, "c"))
-    inside = each(of.select("uid", "c").join(sized(plan), "c"), spread("asking"), "part", "c", "uid", F.pmod(F.xxhash64("uid"), blocks("members")).alias("block"))
-    outside = each(asks.select("uid", F.col("into").alias("c")).join(sized(plan), "c"), spread("members"), "block", "c", "uid", F.pmod(F.xxhash64("uid"), blocks("asking")).alias("part"))
+    inside = each(of.select("node", "c").join(sized(plan), "c"), spread("asking"), "part", "c", "node", F.pmod(F.xxhash64("node"), blocks("members")).alias("block"))
+    outside = each(asks.select("node", F.col("into").alias("c")).join(sized(plan), "c"), spread("members"), "block", "c", "node", F.pmod(F.xxhash64("node"), blocks("asking")).alias("part"))
     key = ["c", "block", "part"]
-    members = inside.join(sets, "uid").select(*key, "uid", "set").toDF("in_c", "in_block", "in_part", "member", "member_set")
-    asking = outside.join(sets, "uid").select(*key, "uid", "set").toDF(*key, "uid", "set")
+    members = inside.join(nodes, "node").select(*key, "node", "hot", "s").toDF("in_c", "in_block", "in_part", "member", "in_hot", "in_s")
+    asking = outside.join(nodes, "node").select(*key, "node", "hot", "s").toDF(*key, "node", "hot", "s")
     more = members.groupBy("in_c", "in_block", "in_part").cogroup(asking.groupBy(*key)).applyInPandas(_searched(share), "a long, b long")
     return first.unionByName(more)
 
@@ -254,8 +279,7 @@ def links(docs: DataFrame, reps: DataFrame, share: int, short: int, block: int)
     out = out.unionByName(linked(again, sets, share))
     if not crowded.limit(1).count():
         return out
-    inner = cut(long_rows.join(sized(crowded), "uid", "left_semi"))
-    return out.unionByName(crowd(inner, cut(sets.join(sized(crowded), "uid", "left_semi")), share, block))
+    return out.unionByName(crowd(cut(long_rows.join(sized(crowded), "uid", "left_semi")), share, block))
 
 
 MADE = ["n_shingles", "component_id"]
