@@ -14,12 +14,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import LOWER as LOWER_LETTERS
-from riskloom.llm.common import UPPER, by_value, table
-from riskloom.session import cut, settled
+from riskloom.llm.common import UPPER, by_value, sized, table
+from riskloom.session import cut
 
 ALPHA = 0.4
 CODES = (1 << 16) - 2  # most frequent words, known to every task by a two-byte code
@@ -183,6 +184,13 @@ class Known:
         order = np.argsort(key)
         self.pair, self.pair_n = key[order], n[order]
 
+    @classmethod
+    def of(cls, parts: tuple) -> Known:
+        """From what ``vars`` gives: a broadcast holds plain arrays, so that executors need not have this class."""
+        out = cls.__new__(cls)
+        out.__dict__.update(parts)
+        return out
+
     def rest(self, code: np.ndarray, own: np.ndarray) -> np.ndarray:
         """log10 of what is left of known words' counts, ``alpha`` at least."""
         return np.log10(np.maximum(self.n[code] - own, self.alpha))
@@ -222,7 +230,7 @@ def pair_rows(known, buckets: int):
     none = [np.zeros(0, k) for k in KINDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = known.value
+        k = Known.of(known.value)
         for ids, texts in chunks(batches):
             ids = ids.to_numpy()
             h, doc = hashed_words(texts)
@@ -268,7 +276,7 @@ def score_buckets(known):
     unknown word is still to add."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        k = known.value
+        k = Known.of(known.value)
         parts = [unpacked(x, *KINDS) for x in group["data"]]
         ca, cb = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (0, 1))
         word = np.zeros(CODES + 2, np.uint64)
@@ -295,6 +303,34 @@ def score_buckets(known):
     return run
 
 
+def plain(df: DataFrame) -> bool:
+    """Whether ``df`` only reads Parquet files and maps or filters their rows, alike in each run."""
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        children = plan.children()
+        read = plan.nodeName() == "LogicalRelation" and df.inputFiles()
+        if not (plan.deterministic() and plan.nodeName() in ("Project", "Filter")) and not read:
+            return False
+        plans += [children.apply(i) for i in range(children.size())]
+    return True
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc): doc is a row's place, the number of its file and of the row there.
+
+    Files are split anew in each run, by the cores that are there then, so a number by partition would name another row the next
+    time. What isn't a plain table is written first.
+    """
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        where = (docs if plain(docs) else cut(docs)).select("doc_id", "text", path.alias("path"), row.alias("row"))
+    except AnalysisException:  # files without row numbers
+        where = cut(docs).select("doc_id", "text", path.alias("path"), row.alias("row"))
+    files = cut(where.select("path").distinct().select("path", F.row_number().over(Window.orderBy("path")).cast("long").alias("file")))
+    return where.join(sized(files), "path").select("doc_id", "text", (F.col("file") * (1 << 40) + F.col("row")).alias("doc"))
+
+
 def lm_scores(docs: DataFrame, alpha: float = ALPHA, pairs_a_bucket: int = PAIRS_A_BUCKET) -> DataFrame:
     """(doc_id, n_words, n_backoff, log10_sum, lm_score) for each row of ``docs``, by a model of all the other rows.
 
@@ -314,8 +350,8 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, pairs_a_bucket: int = PAIRS
     told from each other: each is in the other's model. A text is held whole by one task. No rows: no rows. Rows are
     known by their place; what isn't a plain table is written first. Other columns are left out.
     """
-    docs = settled(docs.select("doc_id", "text"))
-    spark, texts = docs.sparkSession, docs.select("text")
+    numbered = placed(docs.select("doc_id", "text"))
+    spark, texts = docs.sparkSession, numbered.select("text")
     words = cut(texts.mapInArrow(count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n")).first()[0] or 0
     known = Known([tuple(r) for r in words.orderBy(F.desc("n"), "h").limit(CODES).collect()], total, alpha)
@@ -324,8 +360,7 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, pairs_a_bucket: int = PAIRS
     if len(heavy):
         pairs = texts.mapInArrow(count_pairs(heavy), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
         known.add_pairs(heavy, [tuple(r) for r in pairs.filter(F.col("n") >= hot).collect()])
-    shared = spark.sparkContext.broadcast(known)
-    numbered = docs.withColumn("doc", F.monotonically_increasing_id())
+    shared = spark.sparkContext.broadcast(tuple(vars(known).items()))
     buckets = max(1, -(-total // pairs_a_bucket))
     dealt = numbered.select("doc", "text").mapInArrow(pair_rows(shared, buckets), "bucket int, data binary")
     judged = cut(dealt.groupBy("bucket").applyInPandas(score_buckets(shared), SCORED))

@@ -242,6 +242,27 @@ def test_lm_scores_match_brute_force(spark, docs, empty, codes, bucket, monkeypa
     assert lm_scoring.lm_scores(empty).count() == 0
 
 
+def test_lm_scores_stand_when_files_are_split_otherwise(spark, tmp_path):
+    rows = [r for r in corpus(400) if r[0] is not None]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/d")
+    key, want = (lambda r: (r.doc_id, str(r))), lm_scoring.lm_scores(spark.createDataFrame(rows, SCHEMA)).collect()
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        out = lm_scoring.lm_scores(spark.read.parquet(f"{tmp_path}/d"))
+        spark.conf.set("spark.sql.files.minPartitionNum", "7")
+        assert sorted(out.collect(), key=key) == sorted(want, key=key)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_what_is_broadcast_needs_no_class_of_the_library(spark):
+    import pickle
+
+    known = lm_scoring.Known([(3, 4), (1, 2)], 6, 0.4)
+    sent = pickle.dumps(tuple(vars(known).items()))
+    assert b"riskloom" not in sent and vars(lm_scoring.Known.of(pickle.loads(sent))).keys() == vars(known).keys()
+
+
 def test_lm_scores_of_string_ids_and_clashing_columns(spark):
     d = spark.createDataFrame([("a", "x y z", 1, "q"), ("a", "x y z", 2, "q"), (None, None, 3, "q")], "doc_id string, text string, doc int, h string")
     out = sorted(lm_scoring.lm_scores(d).collect(), key=lambda r: r.doc_id or "")
