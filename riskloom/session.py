@@ -42,16 +42,3 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/riskloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` itself if it only reads files and maps or filters their rows, so that each run finds the same rows in the same
-    places; else written and read again."""
-    plans = [df._jdf.queryExecution().optimizedPlan()]
-    while plans:
-        plan = plans.pop()
-        children = plan.children()
-        if plan.nodeName() not in ("Project", "Filter") and not (plan.nodeName() == "LogicalRelation" and df.inputFiles()):
-            return cut(df)
-        plans += [children.apply(i) for i in range(children.size())]
-    return df
