@@ -22,7 +22,7 @@ from riskloom.plans import presets
 from riskloom.plans.presets import Settings
 from riskloom.session import cut
 from riskloom.sources import lineage
-from riskloom.sources.tables import SCHEMAS, Store
+from riskloom.sources.tables import SCHEMAS, Changes, Snapshot, Store
 
 ITEM = ("title", "url", "source", "summary", "published_at")
 
@@ -59,13 +59,20 @@ class Engine:
         return state.current_runs(self.store.read("collector_runs"))
 
     def _begin(self, name: str, now: datetime) -> int:
-        run_id = (self.store.read("collector_runs").agg(F.max("id")).first()[0] or 0) + 1
-        self._log(run_id, name, now, None, "running", 0, 0, None)
-        return run_id
+        given = []
+
+        def begun(snap: Snapshot) -> Changes:
+            given.append((snap.read("collector_runs").agg(F.max("id")).first()[0] or 0) + 1)
+            return Changes(append={"collector_runs": self._run_row(given[-1], name, now, None, "running", 0, 0, None)})
+
+        self.store.transact(begun)
+        return given[-1]
+
+    def _run_row(self, run_id: int, name: str, now: datetime, end: str | None, status: str, seen: int, new: int, error: str | None) -> DataFrame:
+        return self.spark.createDataFrame([(run_id, name, now.isoformat(), end, status, seen, new, error)], SCHEMAS["collector_runs"])
 
     def _log(self, run_id: int, name: str, now: datetime, end: str | None, status: str, seen: int, new: int, error: str | None) -> None:
-        row = self.spark.createDataFrame([(run_id, name, now.isoformat(), end, status, seen, new, error)], SCHEMAS["collector_runs"])
-        self.store.publish(append={"collector_runs": row})
+        self.store.publish(append={"collector_runs": self._run_row(run_id, name, now, end, status, seen, new, error)})
 
     def _ingest(self, items: DataFrame, now: datetime, counts: dict[str, int]) -> int:
         """The number of failed fetches; ``counts`` is kept up to date on the way."""
@@ -73,30 +80,39 @@ class Engine:
         items = cut(items if "seq" in items.columns else items.withColumn("seq", F.monotonically_increasing_id()))
         counts["seen"] = items.count()
         scored = E.score_items(items.withColumn("summary", F.coalesce("summary", F.lit(""))), self.settings.companies).withColumn("discovered_at", at)
-        old = self.store.read("items")
-        new = cut(state.insert_ignore(old, scored, "id"))
-        counts["new"] = new.count()
-        bodies = self.fetch(new.select("id", "url")) if self.fetch else self.spark.createDataFrame([], "item_id string, content_type string, body string")
-        docs = new.select(F.col("id").alias("item_id")).join(bodies, "item_id", "left").withColumn("d", T.document_text(F.col("body"), F.col("content_type"), self.settings.max_chars))
-        docs = cut(docs.select("item_id", at.alias("fetched_at"), F.coalesce("content_type", F.lit("")).alias("content_type"), F.col("d.status").alias("fetch_status"), F.col("d.text").alias("text")))
-        found = E.extract_events(new.join(docs.select(F.col("item_id").alias("id"), F.col("text").alias("full_text")), "id"), self.settings.companies)
-        place = new.select(F.col("id").alias("document_id"), F.col("seq").alias("_item"))
-        found = cut(found.join(place, "document_id").withColumns({"processed_at": at, "fingerprint": E.event_fingerprint(), "seen_at": F.lit(now.isoformat()), "seq": F.struct("_item", "sentence_no", "rule_no")}))
-        facts, events, obs = self.store.read("economic_events"), self.store.read("financial_events"), self.store.read("observations")
-        fresh = state.first_per_key(found, "fingerprint").join(facts.select("fingerprint"), "fingerprint", "left_anti")
-        measured = E.to_observations(fresh, self.mapping, self.variables)
-        # items are new, and so are their documents: only the facts are written anew
-        self.store.publish(
-            append={"items": new, "documents": docs, "financial_events": state.insert_ignore(events, found, "event_id"), "observations": state.insert_ignore(obs, measured.withColumn("seq", F.col("event_id")), "observation_id")},
-            economic_events=state.register_mentions(facts, found),
-        )
-        return docs.filter("fetch_status <> 'ok'").count()
+        scored = cut(scored)
+        asked = cut(state.insert_ignore(self.store.read("items"), scored, "id"))
+        counts["new"] = asked.count()
+        bodies = cut(self.fetch(asked.select("id", "url"))) if self.fetch else self.spark.createDataFrame([], "item_id string, content_type string, body string")
+        failed = [0]
+
+        def ingested(snap: Snapshot) -> Changes:
+            """All but the reading of documents is made anew if another writer came in between."""
+            new = cut(state.insert_ignore(snap.read("items"), scored, "id"))
+            counts["new"] = new.count()
+            docs = new.select(F.col("id").alias("item_id")).join(bodies, "item_id", "left").withColumn("d", T.document_text(F.col("body"), F.col("content_type"), self.settings.max_chars))
+            docs = cut(docs.select("item_id", at.alias("fetched_at"), F.coalesce("content_type", F.lit("")).alias("content_type"), F.col("d.status").alias("fetch_status"), F.col("d.text").alias("text")))
+            failed[0] = docs.filter("fetch_status <> 'ok'").count()
+            found = E.extract_events(new.join(docs.select(F.col("item_id").alias("id"), F.col("text").alias("full_text")), "id"), self.settings.companies)
+            place = new.select(F.col("id").alias("document_id"), F.col("seq").alias("_item"))
+            found = cut(found.join(place, "document_id").withColumns({"processed_at": at, "fingerprint": E.event_fingerprint(), "seen_at": F.lit(now.isoformat()), "seq": F.struct("_item", "sentence_no", "rule_no")}))
+            facts, touched = snap.touched("economic_events", found)
+            fresh = state.first_per_key(found, "fingerprint").join(facts.select("fingerprint"), "fingerprint", "left_anti")
+            measured = E.to_observations(fresh, self.mapping, self.variables).withColumn("seq", F.col("event_id"))
+            # items are new, and so are their documents; of the facts only the buckets of this batch are written
+            return Changes(
+                append={"items": new, "documents": docs, "financial_events": state.insert_ignore(snap.read("financial_events"), found, "event_id"), "observations": state.insert_ignore(snap.read("observations"), measured, "observation_id")},
+                buckets={"economic_events": (state.register_mentions(facts, found), touched)},
+            )
+
+        self.store.transact(ingested)
+        return failed[0]
 
     def snapshot(self, now: datetime, limit: int = 5000) -> None:
         scores = cut(I.dimension_scores(self._confirmed(limit), self.variables, now))
         c, dims = I.convergence(scores).first(), {r.dimension: r.score for r in scores.collect()}  # one row for each dimension
         row = self.spark.createDataFrame([(now.isoformat(), c.score, c.label, dims, 0)], "captured_at string, score double, label string, dimensions map<string,double>, seq int")
-        self.store.publish(system_snapshots=state.upsert(self.store.read("system_snapshots"), row, "captured_at"))
+        self.store.transact(lambda snap: Changes(replace={"system_snapshots": state.upsert(snap.read("system_snapshots"), row, "captured_at")}))
 
     def _confirmed(self, limit: int) -> DataFrame:
         """The limit comes before the latest observation of each entity is taken."""
@@ -105,42 +121,62 @@ class Engine:
 
     def seed_lineage(self, now: datetime) -> int:
         """Curated facts that aren't there yet: item, document, event, observation and a confirming review."""
-        at, items = F.lit(now).cast("timestamp"), self.store.read("items")
-        new = cut(lineage.curated(self.spark).join(items.select("id"), "id", "left_anti").withColumns({"discovered_at": at, "summary": F.col("evidence_text"), "score": F.lit(lineage.SCORE).cast("long")}))
-        n = new.count()
-        if not n:
-            return 0
-        facts, events, obs, reviews = (self.store.read(t) for t in ("economic_events", "financial_events", "observations", "evidence_reviews"))
-        e = new.select("event_id", F.col("id").alias("document_id"), "event_type", "source_entity", "target_entity", "amount", "currency", F.lit(None).cast("string").alias("instrument"), F.col("published_at").alias("effective_date"), F.lit(lineage.CONFIDENCE).alias("confidence"), "evidence_text", F.lit(lineage.EXTRACTOR).alias("extractor"), at.alias("processed_at"))
-        e = cut(e.withColumns({"fingerprint": E.event_fingerprint(), "seen_at": F.lit(now.isoformat()), "seq": F.col("event_id")}))
-        said = e.select("fingerprint", F.lit("confirm").alias("decision"), F.lit(None).cast("string").alias("canonical_fingerprint"), F.lit(lineage.CONFIDENCE).alias("confidence"), F.lit(lineage.REASONING).alias("reasoning"), "seq")
-        docs = new.select(F.col("id").alias("item_id"), at.alias("fetched_at"), F.lit("text/plain").alias("content_type"), F.lit("verified").alias("fetch_status"), F.col("evidence_text").alias("text"), F.lit(0).alias("seq"))
-        known = state.first_per_key(E.to_observations(e, self.mapping, self.variables).withColumn("seq", F.col("event_id")), "observation_id")
-        self.store.publish(
-            append={"items": new, "financial_events": e, "observations": state.insert_ignore(obs, known, "observation_id"), "evidence_reviews": V.append_ledger(reviews, said, lineage.EXTRACTOR, now.isoformat(), self._next_review())},
-            documents=state.upsert(self.store.read("documents"), docs, "item_id"),
-            economic_events=V.apply_decisions(state.register_mentions(facts, e), said, lineage.EXTRACTOR, now.isoformat()),
-        )
-        return n
+        at, counts = F.lit(now).cast("timestamp"), [0]
+
+        def seeded(snap: Snapshot) -> Changes | None:
+            new = cut(lineage.curated(self.spark).join(snap.read("items").select("id"), "id", "left_anti").withColumns({"discovered_at": at, "summary": F.col("evidence_text"), "score": F.lit(lineage.SCORE).cast("long")}))
+            counts[0] = new.count()
+            if not counts[0]:
+                return None
+            e = new.select("event_id", F.col("id").alias("document_id"), "event_type", "source_entity", "target_entity", "amount", "currency", F.lit(None).cast("string").alias("instrument"), F.col("published_at").alias("effective_date"), F.lit(lineage.CONFIDENCE).alias("confidence"), "evidence_text", F.lit(lineage.EXTRACTOR).alias("extractor"), at.alias("processed_at"))
+            e = cut(e.withColumns({"fingerprint": E.event_fingerprint(), "seen_at": F.lit(now.isoformat()), "seq": F.col("event_id")}))
+            said = e.select("fingerprint", F.lit("confirm").alias("decision"), F.lit(None).cast("string").alias("canonical_fingerprint"), F.lit(lineage.CONFIDENCE).alias("confidence"), F.lit(lineage.REASONING).alias("reasoning"), "seq")
+            docs = new.select(F.col("id").alias("item_id"), at.alias("fetched_at"), F.lit("text/plain").alias("content_type"), F.lit("verified").alias("fetch_status"), F.col("evidence_text").alias("text"), F.lit(0).alias("seq"))
+            known = state.first_per_key(E.to_observations(e, self.mapping, self.variables).withColumn("seq", F.col("event_id")), "observation_id")
+            facts, touched = snap.touched("economic_events", e)
+            return Changes(
+                append={"items": new, "financial_events": e, "observations": state.insert_ignore(snap.read("observations"), known, "observation_id"), "evidence_reviews": V.append_ledger(snap.read("evidence_reviews"), said, lineage.EXTRACTOR, now.isoformat(), self._next_review(snap))},
+                replace={"documents": state.upsert(snap.read("documents"), docs, "item_id")},
+                buckets={"economic_events": (V.apply_decisions(state.register_mentions(facts, e), said, lineage.EXTRACTOR, now.isoformat()), touched)},
+            )
+
+        self.store.transact(seeded)
+        return counts[0]
 
     def rebuild_observations(self) -> int:
-        o = cut(state.rebuild_observations(self.store.read("financial_events"), self.mapping, self.variables))
-        self.store.publish(observations=o)
-        return o.count()
+        counts = [0]
+
+        def rebuilt(snap: Snapshot) -> Changes:
+            o = cut(state.rebuild_observations(snap.read("financial_events"), self.mapping, self.variables))
+            counts[0] = o.count()
+            return Changes(replace={"observations": o})
+
+        self.store.transact(rebuilt)
+        return counts[0]
 
     # -- review ------------------------------------------------------------------------------------------------------
 
-    def _next_review(self) -> int:
-        return (self.store.read("evidence_reviews").agg(F.max("review_id")).first()[0] or 0) + 1
+    def _next_review(self, snap: Snapshot) -> int:
+        return (snap.read("evidence_reviews").agg(F.max("review_id")).first()[0] or 0) + 1
 
     def _apply(self, decisions: DataFrame, model: str, now: datetime) -> int:
-        facts, reviews, obs = self.store.read("economic_events"), self.store.read("evidence_reviews"), self.store.read("observations")
         decisions = cut(decisions)
-        if V.bad_merges(facts, decisions).count():
-            raise ValueError("a merge names an unknown fact, or one that is merged already")
         n = decisions.count()
-        if n:
-            self.store.publish(append={"evidence_reviews": V.append_ledger(reviews, decisions, model, now.isoformat(), self._next_review())}, economic_events=V.apply_decisions(facts, decisions, model, now.isoformat()), observations=V.drop_merged_observations(obs, facts, decisions))
+
+        def applied(snap: Snapshot) -> Changes | None:
+            ends = decisions.select("fingerprint").unionByName(decisions.filter("canonical_fingerprint <> ''").select(F.col("canonical_fingerprint").alias("fingerprint")))
+            facts, touched = snap.touched("economic_events", ends)
+            if V.bad_merges(facts, decisions).count():
+                raise ValueError("a merge names an unknown fact, or one that is merged already")
+            if not n:
+                return None
+            return Changes(
+                append={"evidence_reviews": V.append_ledger(snap.read("evidence_reviews"), decisions, model, now.isoformat(), self._next_review(snap))},
+                replace={"observations": V.drop_merged_observations(snap.read("observations"), facts, decisions)},
+                buckets={"economic_events": (V.apply_decisions(facts, decisions, model, now.isoformat()), touched)},
+            )
+
+        self.store.transact(applied)
         return n
 
     def queue(self, status: str, limit: int) -> DataFrame:

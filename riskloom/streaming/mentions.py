@@ -8,24 +8,31 @@ from pyspark.sql.streaming import StreamingQuery
 
 from riskloom.operators import state
 from riskloom.session import cut
-from riskloom.sources.tables import Store
+from riskloom.sources.tables import Changes, Snapshot, Store
 
 
 def stream_mentions(mentions: DataFrame, store: Store, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Keep the facts table up to date from a stream of mentions (fingerprint, event_id, seen_at, seq).
 
     With an interval the query goes on; without one it takes what is there and ends. A micro-batch that is replayed after a
-    failure isn't counted twice: the number of the stream's last batch is published with the table.
+    failure isn't counted twice: the number of the stream's last batch is published with the table. A batch reads and writes the buckets of
+    its own facts, and is merged anew if another writer changed one of them.
     """
     spark = mentions.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        marks = store.read("stream_marks")
-        last = marks.filter(F.col("stream") == checkpoint).first()
-        if last and last.batch >= number:
-            return
-        mark = spark.createDataFrame([(checkpoint, number, 0)], "stream string, batch long, seq int")
-        store.publish(economic_events=cut(state.register_mentions(store.read("economic_events"), batch)), stream_marks=state.upsert(marks, mark, "stream"))
+        batch = cut(batch.select("fingerprint", "event_id", "seen_at", "seq"))
+
+        def merged(snap: Snapshot) -> Changes | None:
+            marks = snap.read("stream_marks")
+            last = marks.filter(F.col("stream") == checkpoint).first()
+            if last and last.batch >= number:
+                return None
+            mark = spark.createDataFrame([(checkpoint, number, 0)], "stream string, batch long, seq int")
+            facts, touched = snap.touched("economic_events", batch)
+            return Changes(replace={"stream_marks": state.upsert(marks, mark, "stream")}, buckets={"economic_events": (cut(state.register_mentions(facts, batch)), touched)})
+
+        store.transact(merged)
 
     out = mentions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)).start()

@@ -1,6 +1,7 @@
 import json
 import sys
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -17,7 +18,7 @@ from riskloom.sources import feeds, filings
 from riskloom.plans.presets import Settings, company_queries, load_settings, pressure_queries
 from riskloom.sources import collectors as C
 from riskloom.sources import readers
-from riskloom.sources.tables import MOST_PARTS, SCHEMAS, Store
+from riskloom.sources.tables import MOST_PARTS, SCHEMAS, Changes, Conflict, Store
 from riskloom.streaming.mentions import discovery_lag, distinct_items, stream_mentions
 
 NOW = datetime(2026, 9, 5)
@@ -244,20 +245,90 @@ def test_publications_are_whole_and_appends_write_their_own_rows(spark, tmp_path
     mark = lambda *rows: spark.createDataFrame(rows, "stream string, batch long")
     store.publish(stream_marks=mark(("a", 1)))
     store.publish(append={"stream_marks": mark(("b", 2))})
-    number, parts = store.manifest()
-    assert number == 2 and len(parts["stream_marks"]) == 2 and store.read("stream_marks").count() == 2
+    before = store.manifest()
+    assert before["number"] == 2 and len(before["parts"]["stream_marks"]) == 2 and store.read("stream_marks").count() == 2
     broken = mark(("c", 3)).withColumn("stream", F.raise_error(F.lit("lost")))
     with pytest.raises(Exception, match="lost"):
         store.publish(append={"stream_marks": mark(("d", 4))}, system_snapshots=spark.createDataFrame([], SCHEMAS["system_snapshots"]).unionByName(broken.selectExpr("stream AS captured_at", "1D AS score", "'' AS label", "CAST(NULL AS MAP<STRING, DOUBLE>) AS dimensions")))
-    assert store.manifest() == (number, parts)
-    # another writer came in between
-    other = Store(spark, str(tmp_path))
-    stale = store.manifest
-    store.manifest = lambda: (1, {})
-    with pytest.raises(RuntimeError, match="another writer"):
-        store.publish(stream_marks=mark(("x", 9)))
-    store.manifest = stale
-    assert sorted(r.stream for r in other.read("stream_marks").collect()) == ["a", "b"]
+    assert store.manifest() == before
+
+
+def mention(spark, fingerprint, i):
+    return spark.createDataFrame([(fingerprint, f"e{i}", f"t{i}", i)], "fingerprint string, event_id string, seen_at string, seq long")
+
+
+def registers(batch, between=None):
+    """A transaction that counts a batch's mentions; ``between`` runs once, after the facts were read."""
+    todo = [between] if between else []
+
+    def made(snap):
+        facts, touched = snap.touched("economic_events", batch)
+        if todo:
+            todo.pop()()
+        return Changes(buckets={"economic_events": (state.register_mentions(facts, batch), touched)})
+
+    return made
+
+
+def test_two_writers_that_read_the_same_version_lose_nothing(spark, tmp_path):
+    first, second = (Store(spark, str(tmp_path), 4) for _ in range(2))
+    first.transact(registers(mention(spark, "fp", 1)))
+    read = []
+
+    def between():
+        read.append(second.manifest()["number"])
+        second.transact(registers(mention(spark, "fp", 2)))
+
+    first.transact(registers(mention(spark, "fp", 3), between))
+    assert read == [1] and first.manifest()["number"] == 3
+    assert [(r.fingerprint, r.mention_count, r.canonical_event_id) for r in first.read("economic_events").collect()] == [("fp", 3, "e1")]
+    # without a replay it is a conflict, and nothing is published
+    snap = first.snapshot()
+    changes = registers(mention(spark, "fp", 4), lambda: second.transact(registers(mention(spark, "fp", 5))))(snap)
+    with pytest.raises(Conflict):
+        first.commit(snap, changes)
+    assert first.read("economic_events").first().mention_count == 4
+
+
+def test_writers_of_other_buckets_and_tables_are_no_conflict(spark, tmp_path):
+    store, calls = Store(spark, str(tmp_path), 64), []
+    one, other = next((f"a{i}", f"a{j}") for i in range(9) for j in range(i) if len({r[0] for r in spark.createDataFrame([(f"a{i}",), (f"a{j}",)], "fingerprint string").select(store.bucket("economic_events")).collect()}) == 2)
+    inner = registers(mention(spark, one, 1), lambda: (store.transact(registers(mention(spark, other, 2))), store.publish(append={"stream_marks": spark.createDataFrame([("s", 1)], "stream string, batch long")})))
+    store.transact(lambda snap: calls.append(1) or inner(snap))
+    assert len(calls) == 1 and store.read("economic_events").count() == 2 and store.read("stream_marks").count() == 1
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: Store(spark, str(tmp_path), 2).transact(registers(mention(spark, f"f{i % 2}", i)), 50), range(6)))
+    got = {r.fingerprint: r.mention_count for r in Store(spark, str(tmp_path)).read("economic_events").collect()}
+    assert got == {"f0": 3, "f1": 3}
+
+
+def test_a_batch_writes_the_buckets_of_its_facts_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path), 16)
+    many = spark.range(2_000).selectExpr("CONCAT('f', id) AS fingerprint", "CONCAT('e', id) AS event_id", "'t' AS seen_at", "id AS seq")
+    store.transact(registers(many))
+    old = {p["part"]: p for p in store.manifest()["parts"]["economic_events"]}
+    assert len(old) == 16 and sum(p["rows"] for p in old.values()) == 2_000
+    assert all(p["min"] <= p["max"] for p in old.values())
+    store.transact(registers(many.filter("seq < 3").withColumn("event_id", F.lit("new"))))
+    new = {p["part"] for p in store.manifest()["parts"]["economic_events"]}
+    assert len(new) == 16 and 1 <= len(new - old.keys()) <= 3
+    facts = store.read("economic_events")
+    assert facts.count() == 2_000 and facts.filter("mention_count = 2").count() == 3
+
+
+def test_a_store_without_buckets_is_read_and_taken_apart(spark, tmp_path):
+    store = Store(spark, str(tmp_path), 4)
+    facts = state.register_mentions(store.read("economic_events"), mention(spark, "fp", 1).unionByName(mention(spark, "fq", 2)))
+    part = store._write("economic_events", facts)
+    (tmp_path / "manifests").mkdir()
+    (tmp_path / "manifests" / "000000000001.json").write_text(json.dumps({"economic_events": [part]}))
+    assert store.read("economic_events").count() == 2
+    store.transact(registers(mention(spark, "fp", 3)))
+    assert {r.fingerprint: r.mention_count for r in store.read("economic_events").collect()} == {"fp": 2, "fq": 1}
+    assert all(p["bucket"] is not None for p in store.manifest()["parts"]["economic_events"])
 
 
 def test_many_appends_are_written_as_one(spark, tmp_path, monkeypatch):
@@ -265,7 +336,7 @@ def test_many_appends_are_written_as_one(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path))
     for i in range(6):
         store.publish(append={"stream_marks": spark.createDataFrame([(f"s{i}", i)], "stream string, batch long")})
-    assert len(store.manifest()[1]["stream_marks"]) <= 3 < MOST_PARTS and store.read("stream_marks").count() == 6
+    assert len(store.manifest()["parts"]["stream_marks"]) <= 3 < MOST_PARTS and store.read("stream_marks").count() == 6
 
 
 def test_columns_that_old_parts_lack_hold_their_default(spark, tmp_path):
