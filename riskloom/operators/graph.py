@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import canonicalize, canonicalize_many, filled
 from riskloom.operators.indicators import latest_observations
+from riskloom.operators.reads import placed
 from riskloom.plans import presets
+from riskloom.session import cut
 
 
 def companies_of(items: DataFrame, aliases: Mapping[str, str] = presets.ALIASES) -> DataFrame:
@@ -41,7 +43,7 @@ def node_weights(events: DataFrame, items: DataFrame | None = None, aliases: Map
 
 def network(events: DataFrame, items: DataFrame | None = None, aliases: Mapping[str, str] = presets.ALIASES, indexes: Sequence[str] = presets.INDEX_ENTITIES, limit: int = 40) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges). Edges stay between kept nodes; every item with an id is an evidence node, tied to its kept companies."""
-    nodes = node_weights(events, items, aliases, indexes, limit)
+    nodes = cut(node_weights(events, items, aliases, indexes, limit))  # made once, for its own rows and both joins below
     kept = F.broadcast(nodes.select("id"))  # at most ``limit`` rows
     edges = edge_weights(events, aliases).join(kept.withColumnRenamed("id", "source"), "source", "left_semi").join(kept.withColumnRenamed("id", "target"), "target", "left_semi")
     if items is None:
@@ -72,12 +74,20 @@ def evidence_rows(observations: DataFrame, events: DataFrame, variables: DataFra
     return o.drop("effective_date").join(e, "event_id", "left").select("dimension", "variable", canonicalize(F.col("entity"), aliases).alias("entity"), "value", F.coalesce("unit", F.lit("")).alias("unit"), F.when(F.col("unit") == "signal", "directional signal").otherwise("measured value").alias("role"), F.when(F.col("polarity") == "risk", "raises the warning").otherwise("lowers the warning").alias("effect"), "confidence", "date", "event_type", F.coalesce(filled(F.col("_title")), F.col("evidence_text")).alias("title"), "source", "url", F.col("evidence_text").alias("evidence"))
 
 
-def evidence_lists(rows: DataFrame, limit: int = 500) -> DataFrame:
-    """(dimension, evidence): for each dimension its ``limit`` newest rows, newest first.
+def ranked_evidence(rows: DataFrame) -> DataFrame:
+    """All evidence with its place in its dimension, newest first; equal dates by what comes next in the row, greatest first."""
+    rest = [c for c in rows.columns if c != "dimension"]
+    return placed(rows, F.coalesce("date", F.lit("")).desc(), *[F.col(c).desc() for c in rest], by=["dimension"])
+
+
+def evidence_lists(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """(dimension, evidence): the evidence of each dimension as one list, newest first, for writers of small results.
 
-    The rows are ranked before they are gathered, so that a list is bounded however many entities a dimension has.
+    With a limit the rows are ranked before they are gathered. Use ``ranked_evidence`` where a dimension may have many.
     """
     rest = [c for c in rows.columns if c != "dimension"]
+    if limit is not None:
+        rows = ranked_evidence(rows).filter(F.col("place") < limit)
     keyed = F.struct(F.coalesce("date", F.lit("")).alias("_date"), *rest)
-    newest = rows.select("dimension", keyed.alias("x")).withColumn("_n", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("x")))).filter(F.col("_n") <= limit)
-    return newest.groupBy("dimension").agg(F.transform(F.sort_array(F.collect_list("x"), asc=False), lambda x: F.struct(*[x[c].alias(c) for c in rest])).alias("evidence"))
+    lists = rows.select("dimension", keyed.alias("x")).groupBy("dimension").agg(F.sort_array(F.collect_list("x"), asc=False).alias("x"))
+    return lists.select("dimension", F.transform("x", lambda x: F.struct(*[x[c].alias(c) for c in rest])).alias("evidence"))

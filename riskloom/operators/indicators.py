@@ -78,7 +78,11 @@ def dimension_table(obs: DataFrame, variables: DataFrame, as_of, window_days: in
         F.sum(F.abs("signed")).alias("sum_abs"),
         F.max(F.when(F.col("point").isNotNull(), F.col("evidence_basis") == "confirmed_trigger")).alias("triggered"),
     )
-    out = variables.select("dimension").distinct().join(sums, "dimension", "left")
+    return judged(variables.select("dimension").distinct().join(sums, "dimension", "left"), p)
+
+
+def judged(out: DataFrame, p: Indicators = P) -> DataFrame:
+    """Sums of dimensions with score, basis and direction."""
     out = out.withColumns({"n_points": F.coalesce("n_points", F.lit(0)), "n_signed": F.coalesce("n_signed", F.lit(0)), "needed": F.coalesce("needed", F.lit(p.min_points))})
     enough, directed = (F.col("n_points") >= F.col("needed")) & (F.col("n_points") > 0), F.col("n_signed") >= p.min_directional
     balance = F.try_divide("sum_signed", "sum_abs")
@@ -93,6 +97,57 @@ def dimension_table(obs: DataFrame, variables: DataFrame, as_of, window_days: in
     )
 
 
+def validity(obs: DataFrame, start: datetime, days: int, window_days: int = P.window_days) -> DataFrame:
+    """Observations with ``first`` and ``end``: as_of the days first to end - 1 after ``start``, the row is the latest one of its
+    (variable, entity) within the window; rows that are so on none of the ``days`` go.
+
+    A row holds from its own time until the next newer one or the end of its window. Null and empty entities are one; of equal times
+    the row that comes first by ``seq`` holds.
+    """
+    seen = parsed_time(F.col("observed_at")) if dict(obs.dtypes)["observed_at"] == "string" else F.col("observed_at")
+    begin, day = F.lit(start).cast("timestamp"), 86_400_000_000
+    span = F.make_dt_interval(F.lit(window_days))
+    rows = obs.withColumn("_seen", seen).filter(F.col("_seen").between(begin - span, begin + F.make_dt_interval(F.lit(days - 1))))
+    own = Window.partitionBy("variable_key", F.coalesce("entity", F.lit("")))
+    # of equal times only the first has a time before the next row's: the others end where they begin
+    rows = rows.withColumn("_next", F.lead("_seen").over(own.orderBy(F.col("_seen").asc(), F.col("seq").desc())))
+    since = lambda t: F.unix_micros(t) - F.unix_micros(begin)
+    first = F.greatest(F.lit(0), F.ceil(since(F.col("_seen")) / F.lit(day)))
+    over = F.when(F.col("_next").isNotNull(), F.greatest(F.lit(0), F.ceil(since(F.col("_next")) / F.lit(day)))).otherwise(days)
+    end = F.least(F.floor(since(F.col("_seen") + span) / F.lit(day)) + 1, over, F.lit(days))
+    return rows.withColumns({"first": first.cast("int"), "end": end.cast("int")}).filter("first < end").drop("_seen", "_next")
+
+
+def dimension_history(obs: DataFrame, variables: DataFrame, start: datetime, days: int, window_days: int | None = None, p: Indicators = P) -> DataFrame:
+    """``dimension_table`` as of each of so many days from ``start`` on, with the column ``day`` (0 at the start), in one pass.
+
+    Each observation adds its point on the first day that it holds and takes it back on the day after its last; running sums of these
+    over the days give every day's table. What is shuffled are the observations, once, then a row for each variable and day, so the
+    work grows with rows plus days. Sums run in decimals: what is added and taken back leaves nothing behind.
+    """
+    rows = points(validity(obs, start, days, p.window_days if window_days is None else window_days), variables, p)
+    exact = lambda c: F.coalesce(c.cast("decimal(28,12)"), F.lit(0))
+    made = {"n_points": F.col("point").isNotNull().cast("long"), "points": exact(F.col("point")), "n_signed": F.col("signed").isNotNull().cast("long"), "sum_signed": exact(F.col("signed")), "sum_abs": exact(F.abs("signed"))}
+    both = rows.select("variable_key", "first", "end", *[c.alias(k) for k, c in made.items()])
+    deltas = both.select("variable_key", F.col("first").alias("day"), *made).unionByName(both.filter(F.col("end") < days).select("variable_key", F.col("end").alias("day"), *[(-F.col(k)).alias(k) for k in made]))
+    deltas = deltas.groupBy("variable_key", "day").agg(*[F.sum(k).alias(k) for k in made])
+    v = variables.select(F.col("key").alias("variable_key"), "dimension", "minimum_points", "evidence_basis")
+    grid = v.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).join(deltas, ["variable_key", "day"], "left")
+    so_far = Window.partitionBy("variable_key").orderBy("day")
+    sums = grid.withColumns({k: F.sum(F.coalesce(k, F.lit(0))).over(so_far) for k in made})
+    has = F.col("n_points") > 0
+    daily = sums.groupBy("day", "dimension").agg(
+        F.min(F.when(has, F.col("minimum_points"))).alias("needed"),
+        F.max(F.when(has, F.col("evidence_basis") == "confirmed_trigger")).alias("triggered"),
+        F.sum("n_points").alias("n_points"),
+        F.try_divide(F.sum("points").cast("double"), F.sum("n_points")).alias("mean_point"),
+        F.sum("n_signed").alias("n_signed"),
+        F.when(F.sum("n_signed") > 0, F.sum("sum_signed").cast("double")).alias("sum_signed"),
+        F.when(F.sum("n_signed") > 0, F.sum("sum_abs").cast("double")).alias("sum_abs"),
+    )
+    return judged(daily, p)
+
+
 def dimension_scores(obs: DataFrame, variables: DataFrame, as_of, window_days: int | None = None, p: Indicators = P) -> DataFrame:
     """(dimension, score) for every dimension; null where nothing is known."""
     return dimension_table(obs, variables, as_of, window_days, p).select("dimension", "score")
@@ -117,8 +172,8 @@ def overall_direction(readings: DataFrame) -> DataFrame:
     return readings.agg(balance.alias("b"), F.count(F.lit(1)).alias("n")).select(F.when(F.col("b") > 0, "higher_pressure").when(F.col("b") < 0, "lower_pressure").when(F.col("n") > 0, "mixed").otherwise("unknown").alias("overall"))
 
 
-def convergence(scores: DataFrame, p: Indicators = P, risks: Sequence[str] = presets.RISK_DIMENSIONS, propagation: Sequence[str] = presets.PROPAGATION, economics: Sequence[str] = presets.ECONOMICS, counter: str = presets.COUNTER) -> DataFrame:
-    """One row: score, label, direction, known_dimensions, gate_passed, gate_reason. ``scores`` has (dimension, score).
+def convergence(scores: DataFrame, p: Indicators = P, risks: Sequence[str] = presets.RISK_DIMENSIONS, propagation: Sequence[str] = presets.PROPAGATION, economics: Sequence[str] = presets.ECONOMICS, counter: str = presets.COUNTER, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each value of ``by`` (the day of a history): score, label, direction, known_dimensions, gate_passed, gate_reason. ``scores`` has (dimension, score).
 
     The highest label needs material evidence in one dimension of each group. A null score with too few dimensions known.
     """
@@ -128,7 +183,7 @@ def convergence(scores: DataFrame, p: Indicators = P, risks: Sequence[str] = pre
         order = F.array_position(F.array(*[F.lit(d) for d in group]), F.col("dimension"))
         return F.min(F.when(F.col("dimension").isin(*group) & (F.col("score") >= p.material), F.struct(order.alias("at"), F.col("dimension").alias("d"))))["d"]
 
-    s = scores.agg(F.count(F.when(risk, F.col("score"))).alias("known"), F.avg(F.when(risk, F.col("score"))).alias("mean"), F.max(F.when(F.col("dimension") == counter, F.col("score"))).alias("counter"), first_material(propagation).alias("prop"), first_material(economics).alias("econ"))
+    s = scores.groupBy(*by).agg(F.count(F.when(risk, F.col("score"))).alias("known"), F.avg(F.when(risk, F.col("score"))).alias("mean"), F.max(F.when(F.col("dimension") == counter, F.col("score"))).alias("counter"), first_material(propagation).alias("prop"), first_material(economics).alias("econ"))
     s = s.withColumn("base", F.when(F.col("counter").isNull(), F.col("mean")).otherwise(F.greatest(F.lit(0.0), F.col("mean") - F.greatest(F.lit(0.0), 50.0 - F.col("counter")) * p.counter_weight)))
     enough, gate = F.col("known") >= p.min_known, F.col("prop").isNotNull() & F.col("econ").isNotNull()
     label = F.when(~enough, "INSUFFICIENT EVIDENCE")
@@ -137,4 +192,4 @@ def convergence(scores: DataFrame, p: Indicators = P, risks: Sequence[str] = pre
     label = label.when((F.col("base") < p.bands[-1][0]) | ~gate, p.bands[-1][1]).otherwise(p.top)
     reason = F.when(~enough, F.format_string(f"%d of {p.min_known} required dimensions measured", "known"))
     reason = reason.when(gate, F.format_string("material evidence in %s and %s", "prop", "econ")).when(F.col("prop").isNull(), f"no material evidence in {'/'.join(propagation)}").otherwise(f"no material evidence in {'/'.join(economics)}")
-    return s.select(F.when(enough, F.bround("base", 1)).alias("score"), label.alias("label"), F.lit("unknown").alias("direction"), F.col("known").alias("known_dimensions"), (enough & gate).alias("gate_passed"), reason.alias("gate_reason"))
+    return s.select(*by, F.when(enough, F.bround("base", 1)).alias("score"), label.alias("label"), F.lit("unknown").alias("direction"), F.col("known").alias("known_dimensions"), (enough & gate).alias("gate_passed"), reason.alias("gate_reason"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import cut
+
 EVENT_COLUMNS = ("event_id", "event_type", "source_entity", "target_entity", "amount", "currency", "effective_date", "confidence", "evidence_text")
 
 
@@ -14,6 +18,26 @@ def head(df: DataFrame, limit: int | None, *order) -> DataFrame:
     return df if limit is None else df.limit(limit)
 
 
+def placed(df: DataFrame, *order: Column, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``place``, the row's number in an order (from 0), in each group of ``by`` or in all.
+
+    The rows are dealt by ranges of the order and written; each task numbers its own, and the counts of the tasks before it, a row for each
+    task and group, are added. No task holds a whole group.
+    """
+    keys = [F.asc(c) for c in by]
+    rows = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumns({"_task": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    counts = rows.groupBy("_task", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    shift = {f"_of_{c}": F.col(c) for c in by}
+    counts = counts.withColumns(shift).drop(*by)
+    on = F.col("t._task") == F.col("c._task")
+    for c in by:
+        on = on & F.col(f"t.{c}").eqNullSafe(F.col(f"c._of_{c}"))
+    joined = rows.alias("t").join(counts.alias("c"), on)
+    return joined.select(*[F.col(f"t.{c}") for c in df.columns], (F.col("t._row") - F.col("c._first") + F.col("c._before")).alias("place"))
+
+
 def top_items(items: DataFrame, limit: int | None = 500) -> DataFrame:
     return head(items, limit, F.desc("score"), F.desc("discovered_at"), F.asc("id"))
 

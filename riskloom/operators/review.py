@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.text import context_window, preflight_reason
 from riskloom.operators.state import last_per_key
+from riskloom.session import cut
 
 PREFLIGHT_MODEL = "deterministic-preflight-v1"  # fixed value
 
@@ -70,3 +71,38 @@ def drop_merged_observations(observations: DataFrame, facts: DataFrame, decision
     """Observations without those of the canonical events that this batch merges away."""
     gone = decisions.filter("decision = 'merge' AND canonical_fingerprint <> '' AND canonical_fingerprint <> fingerprint").join(facts, "fingerprint").select(F.col("canonical_event_id").alias("event_id"))
     return observations.join(gone, "event_id", "left_anti").select(*observations.columns)
+
+
+def replay(facts: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Facts as the whole ledger leaves them, with ``root``, the fact that a chain of merges ends in (itself without one).
+
+    ``facts`` are as the mentions alone make them; ``ledger`` has review_id, fingerprint, decision, canonical_fingerprint, model, reviewed_at. The last
+    entry of a fact counts; entries of unknown facts and merges into unknown ones have no effect. A merge takes all that was merged into
+    its source before along, so a fact's mentions are those of all facts below it. Chains are walked by doubling: each round sees twice as
+    far, so one of 1,000 merges takes ten rounds.
+    """
+    last = ledger.groupBy("fingerprint").agg(F.max_by(F.struct("decision", "canonical_fingerprint", "model", F.col("reviewed_at").alias("at")), "review_id").alias("r")).select("fingerprint", "r.*")
+    last = last.withColumn("_merge", F.coalesce((F.col("decision") == "merge") & (F.col("canonical_fingerprint") != "") & (F.col("canonical_fingerprint") != F.col("fingerprint")), F.lit(False)))
+    known = facts.select(F.col("fingerprint").alias("canonical_fingerprint"), F.lit(True).alias("_known"))
+    d = cut(facts.join(last, "fingerprint", "left").join(known, "canonical_fingerprint", "left"))
+    merged = F.col("_merge") & F.col("_known")
+    decided = F.col("decision").isNotNull() & (merged | ~F.col("_merge"))
+    at = cut(d.select("fingerprint", F.when(merged, F.col("canonical_fingerprint")).alias("up"), F.when(merged, F.col("canonical_fingerprint")).otherwise(F.col("fingerprint")).alias("root"), F.col("mention_count").alias("total")))
+    # a chain has no more merges than there are; only a ring of them goes on
+    for _ in range(at.filter("up IS NOT NULL").count().bit_length() + 1):
+        moving = at.filter("up IS NOT NULL")
+        if not moving.limit(1).count():
+            break
+        gained = moving.groupBy(F.col("up").alias("fingerprint")).agg(F.sum("total").alias("_gain"))
+        above = at.select(F.col("fingerprint").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"))
+        at = cut(at.join(above, "up", "left").join(gained, "fingerprint", "left").select("fingerprint", F.col("_up").alias("up"), F.coalesce("_root", "root").alias("root"), (F.col("total") + F.coalesce("_gain", F.lit(0))).alias("total")))
+    else:
+        raise ValueError("merges of the ledger form a ring")
+    made = {
+        "mention_count": F.col("total"),
+        "review_status": F.when(merged, "merged").when(decided & (F.col("decision") == "confirm"), "confirmed").when(decided, "flagged").otherwise(F.col("review_status")),
+        "reviewed_at": F.when(decided, F.col("at")).otherwise(F.col("reviewed_at")),
+        "reviewer_model": F.when(decided, F.col("model")).otherwise(F.col("reviewer_model")),
+        "merged_into": F.when(merged, F.col("canonical_fingerprint")).otherwise(F.col("merged_into")),
+    }
+    return d.join(at.select("fingerprint", "root", "total"), "fingerprint").withColumns(made).select(*facts.columns, "root")

@@ -7,17 +7,22 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions import dictionary as D
 from riskloom.functions import text as T
 from riskloom.operators import events as E
 from riskloom.operators import graph as G
 from riskloom.operators import indicators as I
 from riskloom.operators import reads as R
 from riskloom.operators import review as V
+from riskloom.operators import sessions as X
 from riskloom.operators import state as S
 from riskloom.plans.presets import Indicators
 from riskloom.sources import feeds, filings
+from riskloom.streaming import mentions as L
 
 AS_OF, DAYS = datetime(2024, 2, 1), 3
+HISTORY, HISTORY_DAYS = datetime(2024, 1, 1), 60
+EVIDENCE = ("variable", "entity", "value", "unit", "role", "effect", "confidence", "date", "event_type", "title", "source", "url", "evidence")
 P = Indicators(max_usd=450.0, usd_scale=100.0)
 REGISTRY = (
     ("purchase", "Purchases", "capital", "USD", "higher_is_riskier", 1.3, 5, "aggregate"),
@@ -212,9 +217,9 @@ def _q_apply(s, d):
     return V.apply_decisions(f, v, "m", "now").select("fingerprint", "mention_count", "review_status", "merged_into", "reviewer_model")
 
 
-def ordered(df: DataFrame) -> DataFrame:
-    """A sorted or limited table with the place of each row: its partitions are read one after the other."""
-    return df.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+def ordered(df: DataFrame, *order: str) -> DataFrame:
+    """A table with the place of each row in an order, by its own columns."""
+    return R.placed(df, *[F.expr(c.removesuffix(" DESC")).desc() if c.endswith(" DESC") else F.expr(c).asc() for c in order])
 
 
 def evidence(s: SparkSession, d: str) -> DataFrame:
@@ -224,14 +229,32 @@ def evidence(s: SparkSession, d: str) -> DataFrame:
 
 
 def _q_evidence(s, d):
-    x = G.evidence_lists(evidence(s, d), 1_000_000)
-    return x.select("dimension", F.size("evidence").cast("long").alias("n"), F.element_at("evidence", 1)["date"].alias("newest"), F.size(F.filter("evidence", lambda r: r["role"] == "directional signal")).cast("long").alias("signals"))
+    x = G.ranked_evidence(evidence(s, d))
+    return x.groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("place") == 0, F.col("date"))).alias("newest"), F.count_if(F.col("role") == "directional signal").alias("signals"))
 
 
 def _q_evidence_lists(s, d):
     x = G.evidence_lists(evidence(s, d).withColumn("value", F.round("value", 6)), 300)
     x = x.select("dimension", F.posexplode("evidence").alias("place", "r"))
-    return x.select("dimension", "place", *[F.col(f"r.{c}").alias(c) for c in ("variable", "entity", "value", "unit", "role", "effect", "confidence", "date", "event_type", "title", "source", "url", "evidence")])
+    return x.select("dimension", "place", *[F.col(f"r.{c}").alias(c) for c in EVIDENCE])
+
+
+def _q_ranked(s, d):
+    x = G.ranked_evidence(evidence(s, d).withColumn("value", F.round("value", 6)))
+    return x.select("dimension", "place", *EVIDENCE)
+
+
+def history(s, d):
+    return I.dimension_history(observations(s, d), I.registry(s, REGISTRY), HISTORY, HISTORY_DAYS, DAYS, P)
+
+
+def _q_replay(s, d):
+    """Customers as facts: of 32 in a row each is merged into the one before, the last first; some are confirmed or flagged before."""
+    c = load(s, d, "customer")
+    f = c.selectExpr("CAST(c_custkey AS STRING) AS fingerprint", "CAST(c_custkey % 9 + 1 AS BIGINT) AS mention_count", "'provisional' AS review_status", "CAST(NULL AS STRING) AS reviewed_at", "CAST(NULL AS STRING) AS reviewer_model", "CAST(NULL AS STRING) AS merged_into")
+    merges = c.filter("c_custkey % 32 <> 0").selectExpr("10000000000 - c_custkey AS review_id", "CAST(c_custkey AS STRING) AS fingerprint", "'merge' AS decision", "CAST(c_custkey - 1 AS STRING) AS canonical_fingerprint", "'m' AS model", "'t2' AS reviewed_at")
+    others = load(s, d, "orders").selectExpr("o_orderkey AS review_id", "CAST(o_custkey AS STRING) AS fingerprint", "CASE o_orderstatus WHEN 'F' THEN 'flag' ELSE 'confirm' END AS decision", "CAST(NULL AS STRING) AS canonical_fingerprint", "'m' AS model", "'t1' AS reviewed_at")
+    return V.replay(f, others.unionByName(merges)).select("fingerprint", "mention_count", "review_status", "merged_into", "reviewed_at", "root")
 
 
 def _q_filing_records(s, d):
@@ -274,7 +297,32 @@ def _q_review(s, d):
     return counts.join(after.agg(F.count_if(F.col("review_status") == "merged").alias("merged"), F.sum("mention_count").alias("mentions"))).join(noted.agg(F.count(F.lit(1)).alias("reviews"), F.max("review_id").alias("last_review"))).join(left.agg(F.count(F.lit(1)).alias("observations")))
 
 
+def lag_items(s, d):
+    """Events as items: published some hours before they were found."""
+    return load(s, d, "events").selectExpr("event_type AS source", "CAST(ts AS TIMESTAMP) AS discovered_at", "DATE_FORMAT(ts - MAKE_DT_INTERVAL(0, 0, 0, CAST(value * 100 AS BIGINT) - 500), 'yyyy-MM-dd HH:mm:ss') AS published_at")
+
+
+def _q_lags(s, d):
+    q = L.lag_quantiles(L.lag_sketch(lag_items(s, d)))
+    return q.select("source", F.date_format("day", "yyyy-MM-dd").alias("day"), "items", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")])
+
+
+def _q_names(s, d):
+    docs = load(s, d, "documents")
+    names = docs.filter("length(text) > 40").selectExpr("substring(text, 8, 14) AS name")
+    return D.contained(docs.selectExpr("doc_id AS id", "text"), names).select("id", F.md5("name").alias("name"), F.col("at").cast("long").alias("at"))
+
+
+def _q_sessions(s, d):
+    e = fin_events(s, d).withColumn("amount", F.lit(None).cast("double"))
+    m = X.merge_spans(X.spans(e), 2)
+    return m.select("event_type", "source_entity", "target_entity", F.date_format("first", "yyyy-MM-dd").alias("first"), F.date_format("last", "yyyy-MM-dd").alias("last"), "mentions")
+
+
 QUERIES = {
+    "lag_quantiles": _q_lags,
+    "name_index": _q_names,
+    "gap_facts": _q_sessions,
     "latest_observations": lambda s, d: I.latest_observations(observations(s, d), AS_OF, DAYS).select("event_id", "variable_key", "entity", F.round("value", 6).alias("value"), "unit"),
     "dimension_scores": lambda s, d: dimensions(s, d).select("dimension", F.round("score", 6).alias("score")),
     "evidence_counts": lambda s, d: I.evidence_counts(dimensions(s, d)),
@@ -300,8 +348,8 @@ QUERIES = {
     "recent_events": lambda s, d: R.recent_events(*fact_events(s, d)[1:], 60).select("event_id", "document_id", "title"),
     "canonical_events": lambda s, d: R.canonical_events(*fact_events(s, d), 80).select("fingerprint", "event_id", "first_seen", "mention_count", "url"),
     "canonical_count": lambda s, d: facts(s, d).filter("review_status <> 'merged'").agg(F.count(F.lit(1)).alias("n")),
-    "provisional_queue": lambda s, d: R.provisional_events(*fact_events(s, d), documents(s, d), 40).select("fingerprint", "event_id", F.coalesce(F.length("source_text"), F.lit(-1)).cast("long").alias("source_chars")).transform(ordered),
-    "flagged_queue": lambda s, d: R.flagged_events(*fact_events(s, d), documents(s, d), ledger(s, d), 40, 2).select("fingerprint", "event_id", "review_count", "prior_reasoning").transform(ordered),
+    "provisional_queue": lambda s, d: R.provisional_events(*fact_events(s, d), documents(s, d), 40).select("fingerprint", "event_id", "first_seen", F.coalesce(F.length("source_text"), F.lit(-1)).cast("long").alias("source_chars")).transform(ordered, "first_seen", "fingerprint").drop("first_seen"),
+    "flagged_queue": lambda s, d: R.flagged_events(*fact_events(s, d), documents(s, d), ledger(s, d), 40, 2).select("fingerprint", "event_id", "first_seen", "review_count", "prior_reasoning").transform(ordered, "first_seen", "fingerprint").drop("first_seen"),
     "review_counts": lambda s, d: R.review_counts(facts(s, d), ledger(s, d)),
     "confirmed_observations": lambda s, d: R.confirmed_observations(observations(s, d).withColumns({"event_id": F.col("event_id").cast("string"), "observation_id": F.col("event_id")}), facts(s, d), 100).select("event_id", "variable_key"),
     "latest_runs": lambda s, d: S.latest_runs(load(s, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id") % 20).alias("collector"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("status"))).select("collector", "id", "status"),
@@ -313,14 +361,18 @@ QUERIES = {
     "network_edges": lambda s, d: G.edge_weights(net_events(s, d), {"FRANCE": "GERMANY"}).withColumn("weight", F.col("weight").cast("long")),
     "network_nodes": lambda s, d: G.node_weights(net_events(s, d), None, {"FRANCE": "GERMANY"}, ("CHINA",), 10).select("id", "kind", F.col("weight").cast("long").alias("weight")),
     "evidence_edges": lambda s, d: G.network(fin_events(s, d).withColumn("mention_count", F.lit(1)).withColumn("source_entity", F.expr("CASE WHEN seq % 9 = 0 THEN 'This' ELSE source_entity END")), items(s, d), ALIASES, (), 12)[1].filter("type = 'EVIDENCE'").select("source", "target"),
-    "timeline": lambda s, d: G.timeline(fin_events(s, d).withColumns({"published_at": F.lit("2023-12-31"), "review_status": F.lit(""), "mention_count": F.lit(0), "effective_date": F.expr("CASE WHEN seq % 6 = 0 THEN '' WHEN seq % 6 = 1 THEN NULL ELSE effective_date END")}), {}).select("date", "event_type", "source_entity", "mentions", "review_status", "evidence_text").transform(ordered),
+    "timeline": lambda s, d: G.timeline(fin_events(s, d).withColumns({"published_at": F.lit("2023-12-31"), "review_status": F.lit(""), "mention_count": F.lit(0), "effective_date": F.expr("CASE WHEN seq % 6 = 0 THEN '' WHEN seq % 6 = 1 THEN NULL ELSE effective_date END")}), {}).select("date", "event_type", "source_entity", "mentions", "review_status", "evidence_text").transform(ordered, "date", "CAST(split(evidence_text, ' ')[1] AS BIGINT)"),
     "evidence_lists": _q_evidence_lists,
     "filing_records": _q_filing_records,
     "document_text": _q_document_text,
     "network": _q_network,
-    "recent_snapshots": lambda s, d: R.recent_snapshots(load(s, d, "events").selectExpr("CONCAT(DATE_FORMAT(ts, 'yyyy-MM-dd HH:mm'), ' ', event_id) AS captured_at", "ROUND(value, 6) AS score", "event_type AS label")).transform(ordered),
+    "recent_snapshots": lambda s, d: R.recent_snapshots(load(s, d, "events").selectExpr("CONCAT(DATE_FORMAT(ts, 'yyyy-MM-dd HH:mm'), ' ', event_id) AS captured_at", "ROUND(value, 6) AS score", "event_type AS label")).transform(ordered, "captured_at DESC"),
     "rebuild_observations": lambda s, d: S.rebuild_observations(fin_events(s, d), E.variable_map(s, MAPPING), I.registry(s, REGISTRY)).select("event_id", "variable_key", "entity", F.round("value", 6).alias("value"), "unit", "polarity"),
-    "all_events": lambda s, d: R.all_events(fin_events(s, d)).select("event_id", "event_type").transform(ordered),
+    "all_events": lambda s, d: R.all_events(fin_events(s, d)).select("event_id", "event_type", "processed_at").transform(ordered, "processed_at", "event_id").drop("processed_at"),
+    "ranked_evidence": _q_ranked,
+    "score_history": lambda s, d: history(s, d).select("day", "dimension", F.round("score", 6).alias("score"), "basis", "direction"),
+    "convergence_history": lambda s, d: I.convergence(history(s, d).select("day", "dimension", "score"), P, by=["day"]).select("day", "score", "label", "known_dimensions", "gate_passed"),
+    "ledger_replay": _q_replay,
     "run_summary": _q_runs,
     "review": _q_review,
     "dimension_evidence": _q_evidence,
@@ -393,6 +445,28 @@ ORACLE = {
     "filings_recent": "SELECT cik, form, accession FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY o_orderkey) AS n FROM (SELECT o_custkey AS cik, o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' WHEN '2-HIGH' THEN '8-K' WHEN '3-MEDIUM' THEN '10-Q' ELSE 'X' END AS form, 'a-' || (o_orderkey % 5000) AS accession, o_orderdate FROM orders) x WHERE form <> 'X' AND o_orderdate >= TIMESTAMP '1994-01-01') y WHERE n <= 3",
     "filings_history": "WITH x AS (SELECT o_custkey AS cik, o_orderkey AS k, CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' WHEN '2-HIGH' THEN '8-K' WHEN '3-MEDIUM' THEN '10-Q' ELSE 'X' END AS form, o_orderkey % 5000 AS acc, strftime(o_orderdate, '%Y-%m-%d') AS fd FROM orders), y AS (SELECT cik, acc, arg_max(form, k) AS form, arg_max(fd, k) AS fd, min(k) AS k FROM x WHERE form <> 'X' AND fd >= '1994-01-01' GROUP BY cik, acc), z AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY CASE WHEN form = '8-K' THEN 1 ELSE 0 END, fd DESC, k) AS n FROM y) SELECT 'c' || cik || ' SEC filing: ' || form || ' (' || fd || ')' AS title, 'https://www.sec.gov/Archives/edgar/data/' || cik || '/a' || acc || '/d.htm' AS url FROM z WHERE n <= 4",
 }
+ORACLE["ranked_evidence"] = ORACLE["evidence_lists"].replace(" WHERE place < 300", "")
+#: Every day by itself: the latest observations of its window.
+_DAILY = OBS_SQL.format(polarity=BY_TYPE).replace("l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variable_key", "l AS (SELECT * FROM (SELECT o.*, day, row_number() OVER (PARTITION BY day, variable_key").replace("FROM o WHERE observed_at BETWEEN TIMESTAMP '2024-01-29' AND TIMESTAMP '2024-02-01')", "FROM o JOIN range(0, 60) r(day) ON observed_at BETWEEN TIMESTAMP '2024-01-01' + to_days(CAST(day - 3 AS INT)) AND TIMESTAMP '2024-01-01' + to_days(CAST(day AS INT)))")
+_DAILY_POINTS = POINT_SQL.replace("SELECT dimension, count(point)", "SELECT day, dimension, count(point)").replace("FROM q GROUP BY dimension", "FROM q GROUP BY day, dimension").replace("SELECT d.dimension,", "SELECT d.day, d.dimension,").replace("(SELECT DISTINCT dimension FROM r) d LEFT JOIN a USING (dimension)", "(SELECT DISTINCT dimension, CAST(day AS INT) AS day FROM r, range(0, 60) x(day)) d LEFT JOIN a USING (dimension, day)")
+_BASIS = "CASE WHEN np > 0 AND np >= needed THEN 'aggregate' WHEN ns >= 1 THEN 'directional_estimate' WHEN np > 0 THEN 'aggregate' END"
+_DIRECTION = "CASE WHEN ns >= 1 THEN CASE WHEN ss / ns > 0.2 THEN 'higher_pressure' WHEN ss / ns < -0.2 THEN 'lower_pressure' ELSE 'mixed' END END"
+ORACLE["score_history"] = f"WITH {_DAILY}, {REG_SQL}, {_DAILY_POINTS} SELECT day, dimension, round(score, 6) AS score, {_BASIS} AS basis, {_DIRECTION} AS direction FROM s"
+ORACLE["convergence_history"] = f"""WITH {_DAILY}, {REG_SQL}, {_DAILY_POINTS} SELECT day, CASE WHEN k >= 3 THEN round_even(m, 1) END AS score, CASE WHEN k < 3 THEN 'INSUFFICIENT EVIDENCE' WHEN m < 25 THEN 'DISPERSED' WHEN m < 45 THEN 'FORMING' WHEN m < 65 THEN 'BUILDING PRESSURE' WHEN m < 80 OR pr IS NULL OR ec IS NULL THEN 'FRAGILE' ELSE 'HIGH CONVERGENCE' END AS label, k AS known_dimensions, k >= 3 AND pr IS NOT NULL AND ec IS NOT NULL AS gate_passed
+  FROM (SELECT day, count(score) AS k, avg(score) AS m, max(dimension) FILTER (dimension IN ('fragility','stress','transmission') AND score >= 55) AS pr, max(dimension) FILTER (dimension IN ('monetization','capital','circularity') AND score >= 55) AS ec FROM s GROUP BY day) x"""
+ORACLE["ledger_replay"] = """WITH l AS (SELECT o_custkey AS c, arg_max(CASE o_orderstatus WHEN 'F' THEN 'flagged' ELSE 'confirmed' END, o_orderkey) AS status FROM orders GROUP BY 1),
+  m AS (SELECT c_custkey AS c, c_custkey % 32 <> 0 AND c_custkey - 1 IN (SELECT c_custkey FROM customer) AS merged, c_custkey % 9 + 1 AS n FROM customer)
+  SELECT CAST(m.c AS VARCHAR) AS fingerprint, CAST(sum(n) OVER (PARTITION BY m.c // 32 ORDER BY m.c DESC) AS BIGINT) AS mention_count, CASE WHEN merged THEN 'merged' WHEN m.c % 32 <> 0 THEN 'provisional' ELSE coalesce(status, 'provisional') END AS review_status,
+    CASE WHEN merged THEN CAST(m.c - 1 AS VARCHAR) END AS merged_into, CASE WHEN merged THEN 't2' WHEN m.c % 32 = 0 AND status IS NOT NULL THEN 't1' END AS reviewed_at, CAST(min(m.c) OVER (PARTITION BY m.c // 32) AS VARCHAR) AS root FROM m LEFT JOIN l ON l.c = m.c"""
+_G = 1.01 / 0.99
+ORACLE["lag_quantiles"] = f"""WITH x AS (SELECT event_type AS source, strftime(ts, '%Y-%m-%d') AS day, epoch(date_trunc('second', ts)) - epoch(date_trunc('second', ts - to_microseconds(1000000 * (CAST(trunc(value * 100) AS BIGINT) - 500)))) AS lag FROM events),
+  b AS (SELECT source, day, CASE WHEN lag > 0 THEN ceil(ln(lag) / ln({_G!r}) - 1e-9) END AS b, count(*) AS n FROM x GROUP BY ALL),
+  c AS (SELECT *, sum(n) OVER (PARTITION BY source, day ORDER BY b NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY source, day) AS total, CASE WHEN b IS NULL THEN 0.0 ELSE 2 * pow({_G!r}, b) / (1 + {_G!r}) END AS v FROM b)
+  SELECT source, day, CAST(sum(n) AS BIGINT) AS items, round(min(v) FILTER (upto >= ceil(0.5::DOUBLE * total)), 4) AS p50, round(min(v) FILTER (upto >= ceil(0.95::DOUBLE * total)), 4) AS p95, round(min(v) FILTER (upto >= ceil(0.99::DOUBLE * total)), 4) AS p99 FROM c GROUP BY source, day"""
+ORACLE["name_index"] = "WITH n AS (SELECT DISTINCT substring(text, 8, 14) AS name FROM documents WHERE length(text) > 40) SELECT doc_id AS id, md5(name) AS name, strpos(lower(text), lower(name)) AS at FROM documents JOIN n ON contains(lower(text), lower(name)) WHERE name <> ''"
+ORACLE["gap_facts"] = f"""WITH {FIN_SQL}, d AS (SELECT event_type, source_entity, coalesce(target_entity, '') AS target_entity, CAST(effective_date AS DATE) AS day FROM e),
+  g AS (SELECT *, sum(CASE WHEN day - before <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY event_type, source_entity, target_entity ORDER BY day ROWS UNBOUNDED PRECEDING) AS span FROM (SELECT *, lag(day) OVER (PARTITION BY event_type, source_entity, target_entity ORDER BY day) AS before FROM d) x)
+  SELECT event_type, source_entity, target_entity, strftime(min(day), '%Y-%m-%d') AS first, strftime(max(day), '%Y-%m-%d') AS last, count(*) AS mentions FROM g GROUP BY event_type, source_entity, target_entity, span"""
 ORACLE["rebuild_observations"] = ORACLE["event_to_observation"]
 ORACLE["review"] = f"""SELECT count(*) FILTER (review_status = 'provisional') AS provisional, count(*) FILTER (review_status = 'confirmed') AS confirmed, count(*) FILTER (review_status = 'flagged') AS flagged, count(*) FILTER (review_status = 'flagged') AS retry_pending,
   count(*) FILTER (review_status = 'merged') AS merged, CAST(sum(mention_count) AS BIGINT) AS mentions, count(reviewer_model) AS reviews, count(reviewer_model) AS last_review, count(*) FILTER (review_status <> 'merged') AS observations FROM ({ORACLE['apply_review']}) x"""
