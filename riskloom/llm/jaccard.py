@@ -214,7 +214,8 @@ def crowd(rows: DataFrame, share: int, block: int) -> DataFrame:
     passage are some nodes. A node of which two sets would be linked, or that is linked to another, joins all its sets.
     """
     own = rows.groupBy("uid", "s").agg(F.array_sort(F.collect_list("g")).alias("hot"))
-    own = cut(own)
+    # what is shared has to be in long lists
+    own = cut(own.filter(F.size("hot") >= _overlap(F.col("s"), share)))
     nodes = cut(own.groupBy("hot", "s").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("sets")))
     found = cut(node_links(nodes.select("node", "s", "hot"), share, block))
     alike = nodes.filter((F.col("sets") > 1) & (100 * F.size("hot") >= share * (2 * F.col("s") - F.size("hot")))).select("node")
@@ -238,18 +239,21 @@ def node_links(nodes: DataFrame, share: int, block: int) -> DataFrame:
     shared = F.size(F.array_intersect("x", "y"))
     first = cut(both.filter(100 * shared >= share * (F.col("s") + F.col("t") - shared)).select(F.col("node").alias("a"), F.col("hub").alias("b")))
     known = cut(components(first))
-    of = cut(nodes.select("node").join(sized(known.toDF("node", "root")), "node", "left").select("node", F.coalesce("root", "node").alias("c")))
-    sizes = of.groupBy("c").agg(F.count(F.lit(1)).alias("members"))
-    of = cut(of.join(sizes, "c").select("node", "c", "members"))
+    of = nodes.select("node", F.col("s").alias("size"), F.size("hot").alias("reach")).join(sized(known.toDF("node", "root")), "node", "left")
+    of = cut(of.select("node", F.coalesce("root", "node").alias("c"), "size", "reach"))
+    sizes = of.groupBy("c").agg(F.count(F.lit(1)).alias("members"), F.min("size").alias("least"), F.max("reach").alias("most"))
+    of = cut(of.join(sizes, "c"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("held", "g"))
     least = rows.join(sized(hubs.select("g", "held")), "g").withColumn("place", place).filter(F.col("place") <= F.col("lists") - _overlap(F.col("s"), share) + 1)
     placed = cut(least.select("g", "node").join(sized(of), "node"))
-    parts = cut(placed.groupBy("g", "c", "members").agg(F.count(F.lit(1)).alias("n")))
+    parts = cut(placed.groupBy("g", "c", "members", "least", "most").agg(F.count(F.lit(1)).alias("n")))
     mixed = cut(parts.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g"))
     if not mixed.limit(1).count():
         return first
-    others = parts.join(sized(mixed), "g", "left_semi").select("g", F.col("c").alias("into"), F.col("members").alias("of_into"))
-    meeting = placed.join(sized(mixed), "g", "left_semi").join(others, "g").filter("of_into > members OR (of_into = members AND into < c)")
+    others = parts.join(sized(mixed), "g", "left_semi").select("g", F.col("c").alias("into"), F.col("members").alias("of_into"), F.col("least").alias("into_least"), F.col("most").alias("into_most"))
+    # links need share / (100 + share) of both sizes in common, which has to be in long lists of both
+    can = f"{100 + share} * least(reach, into_most) >= {share} * (size + into_least)"
+    meeting = placed.join(sized(mixed), "g", "left_semi").join(others, "g").filter(f"(of_into > members OR (of_into = members AND into < c)) AND {can}")
     asks = cut(meeting.select("node", "into").distinct())
     loads = asks.groupBy(F.col("into").alias("c")).agg(F.count(F.lit(1)).alias("asking"))
     # both sides of a cogroup need the same type
