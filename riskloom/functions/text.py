@@ -13,6 +13,8 @@ UNITS = {"million": 1e6, "mn": 1e6, "m": 1e6, "billion": 1e9, "bn": 1e9, "b": 1e
 CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP"}
 MONEY = r"(?i)(?:[$€£])?\s*\d+(?:\.\d+)?\s*(?:billion|million|trillion|bn|mn|b|m|t)?"
 HIDDEN = ("script", "style", "nav", "footer", "noscript")
+RAW = ("script", "style")  # what lies in them is no markup
+CONTAINERS = ("html", "body", "main", "header", "section", "article", "aside", "div", "table", "ul", "ol", "form")
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "nbsp": " ", "copy": "©", "middot": "·", "hellip": "…", "mdash": "—", "ndash": "–", "apos": "'", "#39": "'", "#x27": "'", "amp": "&"}
 
 
@@ -115,20 +117,45 @@ def strip_tags(html: Column) -> Column:
     return collapse(unescape(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")))
 
 
-def without(html: Column, tag: str) -> Column:
-    """Markup without the elements of a tag, those in each other included: from the last opening tag back, each goes
-    with all up to the closing tag that follows it; one without a closing tag stays."""
-    pieces = F.split(html, rf"(?i)(?=<{tag}\b)")
-    whole = rf"(?is)^<{tag}\b[^>]*>.*?</{tag}\s*>"
-    return F.aggregate(F.reverse(pieces), F.lit(""), lambda rest, piece: F.regexp_replace(F.concat(piece, rest), whole, " "))
+def shown(html: Column, hidden: Sequence[str], containers: Sequence[str] = CONTAINERS) -> Column:
+    """Markup without what lies in hidden elements, by one fold over the tags of these and of containers.
+
+    The fold keeps the names that are open, a letter each. A closing tag closes all up to the last open one of its name, and
+    does nothing if none is open. So a hidden element lasts until its own closing tag or, where that is missing, to the end of
+    the container around it, else to the end of the page; those in each other are counted. ``<nav/>`` hides nothing.
+    """
+    code = {n: chr(ord("A") + i) for i, n in enumerate(hidden)} | {n: chr(ord("a") + i) for i, n in enumerate(containers)}
+    names = "|".join(code)
+    pieces = F.split(html, rf"(?i)(?=</?(?:{names})(?![^\s/>]))")
+    part = lambda p, i: F.regexp_extract(p, rf"(?i)^<(/?)({names})(?![^\s/>])(?![^>]*/>)", i)
+    tags = F.transform(pieces, lambda p: F.struct(part(p, 1).alias("end"), F.coalesce(F.try_element_at(lookup(code), F.lower(part(p, 2))), F.lit("")).alias("c")))
+
+    def step(acc: Column, tag: Column) -> Column:
+        popped = F.left(acc["open"], F.length(acc["open"]) - F.length(F.call_function("substring_index", acc["open"], tag["c"], F.lit(-1))) - 1)
+        closed = F.when(F.contains(acc["open"], tag["c"]), popped).otherwise(acc["open"])
+        now = F.when(tag["c"] == "", acc["open"]).when(tag["end"] == "", F.concat(acc["open"], tag["c"])).otherwise(closed)
+        starts = (tag["end"] == "") & tag["c"].between("A", "Z")
+        # where the outermost hidden element stands among the open ones; 0 outside of any
+        top = F.when(acc["top"] > 0, F.when(F.length(now) < acc["top"], 0).otherwise(acc["top"])).when(starts, F.length(now)).otherwise(0)
+        return F.struct(now.alias("open"), top.alias("top"), F.concat(acc["flags"], F.when(top > 0, "0").otherwise("1")).alias("flags"))
+
+    flags = F.aggregate(tags, F.struct(F.lit("").alias("open"), F.lit(0).alias("top"), F.lit("").alias("flags")), step, lambda acc: acc["flags"])
+    return F.array_join(F.zip_with(pieces, F.split(flags, ""), lambda p, f: F.when(f == "1", p).otherwise(" ")), "")
 
 
 def html_to_text(html: Column, hidden: Sequence[str] = HIDDEN, max_chars: int = 400_000) -> Column:
-    """Visible text of a page: hidden elements go whole. Well-formed markup; broken markup is read by its tags alone."""
-    out = F.coalesce(html, F.lit(""))
-    for tag in hidden:
-        out = without(out, tag)
-    return F.substring(strip_tags(out), 1, max_chars)
+    """Visible text of a page: hidden elements go whole (``shown``), tags and comments become spaces.
+
+    Broken markup has a defined reading: a comment, script or style that is never closed lasts to the end of the page, as does a
+    tag without its ``>``; tags in a comment or script are no tags; ``<`` before anything but a letter, ``/``, ``!`` or ``?`` is text. Each
+    step goes over the page once. Null and empty pages give an empty text.
+    """
+    raw = "|".join(n for n in hidden if n in RAW)
+    comments = r"<!--.*?(?:-->|\z)" + (rf"|<({raw})(?![^\s/>])[^>]*(?<!/)(?:>|\z).*?(?:</\1(?![^\s/>])[^>]*>|\z)" if raw else "")
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), f"(?is){comments}", " ")
+    rest = [n for n in hidden if n not in RAW]
+    out = shown(out, rest) if rest else out
+    return F.substring(collapse(unescape(F.regexp_replace(out, r"(?s)<[a-zA-Z/!?][^>]*(?:>|\z)", " "))), 1, max_chars)
 
 
 def document_text(body: Column, content_type: Column, max_chars: int = 400_000) -> Column:

@@ -157,9 +157,6 @@ def fact_events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
 
 
 EV_ITEM = "f JOIN e ON f.canonical_event_id = e.event_id JOIN i ON e.document_id = i.id"
-TAGS = ("script", "style", "nav", "footer", "noscript")
-
-
 def space_sql(text: str) -> str:
     """SQL of collapse."""
     return rf"trim(regexp_replace({text}, '[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{2028}}\x{{2029}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"
@@ -173,10 +170,25 @@ def strip_sql(text: str) -> str:
     return space_sql(text)
 
 
-_HTML = "html"
-for _t in TAGS:
-    _HTML = rf"regexp_replace({_HTML}, '(?is)<{_t}\b[^>]*>.*?</{_t}\s*>', ' ', 'g')"
-_HTML = strip_sql(_HTML)
+def broken(pages: DataFrame) -> DataFrame:
+    """Each page with broken markup: no nav is closed, stray ends and an open script after the page, or no footer is closed."""
+    kind, html = F.pmod("page_id", F.lit(3)), F.col("html")
+    stray = F.concat(F.lit("</section></nav>"), html, F.lit("</div></footer><script>var a = '<nav>';<p>never closed"))
+    return pages.withColumn("html", F.when(kind == 0, F.replace(html, F.lit("</nav>"), F.lit(""))).when(kind == 1, stray).otherwise(F.replace(html, F.lit("</footer>"), F.lit(""))))
+
+
+def html_sql(html: str, unclosed: str = "") -> str:
+    """SQL of html_to_text for pages whose hidden elements are closed; ``unclosed``: one that lasts until the body ends."""
+    text = rf"regexp_replace({html}, '(?is)<!--.*?(?:-->|\z)|<script(?:[\s/][^>]*)?>.*?(?:</script[^>]*>|\z)|<style(?:[\s/][^>]*)?>.*?(?:</style[^>]*>|\z)', ' ', 'g')"
+    for name in ("nav", "footer", "noscript"):
+        text = rf"regexp_replace({text}, '(?is)<{name}(?:[\s/][^>]*)?>.*?{'(?:</body>|$)' if name == unclosed else f'</{name}[^>]*>'}', ' ', 'g')"
+    text = rf"regexp_replace({text}, '(?s)<[a-zA-Z/!?][^>]*(?:>|\z)', ' ', 'g')"
+    for name, c in T.ENTITIES.items():
+        text = "replace({}, '&{};', '{}')".format(text, name, c.replace("'", "''"))
+    return space_sql(text)
+
+
+_HTML = html_sql("html")
 SENT_SQL = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\s\x{0B}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[\s\x{0B}]+|[\s\x{0B}]+$', '', 'g')), lambda x: x <> '')"
 
 
@@ -357,6 +369,7 @@ QUERIES = {
     "apply_review": _q_apply,
     "preflight": lambda s, d: fin_events(s, d).select("event_id", T.preflight_reason(F.expr("CASE WHEN seq % 13 = 0 THEN ' ' WHEN seq % 17 = 0 THEN CONCAT('Review  for debt, guarantees, capital expenditure ', evidence_text) ELSE evidence_text END"), F.col("amount"), F.col("event_type"), 480.0, transactions=("purchase", "error"), reasons=("empty", "placeholder", "amount", "hypothetical")).alias("reason")),
     "context_window": lambda s, d: load(s, d, "documents").select("doc_id", F.md5(T.context_window(F.col("text"), F.lit("OF  THE"), 50)).alias("context")),
+    "broken_markup": lambda s, d: broken(load(s, d, "pages")).select("page_id", T.html_to_text(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("chars"), F.md5("t").alias("text_md5")),
     "html_to_text": lambda s, d: load(s, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("chars"), F.md5("t").alias("text_md5")),
     "network_edges": lambda s, d: G.edge_weights(net_events(s, d), {"FRANCE": "GERMANY"}).withColumn("weight", F.col("weight").cast("long")),
     "network_nodes": lambda s, d: G.node_weights(net_events(s, d), None, {"FRANCE": "GERMANY"}, ("CHINA",), 10).select("id", "kind", F.col("weight").cast("long").alias("weight")),
@@ -425,6 +438,7 @@ ORACLE = {
     "apply_review": f"WITH {DECIDE_SQL}, g AS (SELECT target, sum(mention_count) AS n FROM dv JOIN cf USING (fingerprint) WHERE decision = 'merge' GROUP BY target) SELECT cf.fingerprint, CAST(cf.mention_count + coalesce(n, 0) AS BIGINT) AS mention_count, CASE decision WHEN 'merge' THEN 'merged' WHEN 'confirm' THEN 'confirmed' WHEN 'flag' THEN 'flagged' ELSE 'provisional' END AS review_status, CASE WHEN decision = 'merge' THEN dv.target END AS merged_into, CASE WHEN decision IS NOT NULL THEN 'm' END AS reviewer_model FROM cf LEFT JOIN dv ON cf.fingerprint = dv.fingerprint LEFT JOIN g ON g.target = cf.fingerprint",
     "preflight": f"WITH {FIN_SQL} SELECT event_id, CASE WHEN seq % 13 = 0 THEN 'empty' WHEN seq % 17 = 0 THEN 'placeholder' WHEN amount > 480 THEN 'amount' WHEN event_type IN ('purchase', 'error') THEN 'hypothetical' END AS reason FROM e",
     "context_window": r"WITH x AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x{0B}\x{A0}]+', ' ', 'g')) AS t FROM documents), y AS (SELECT *, strpos(lower(t), 'of the') AS p FROM x) SELECT doc_id, md5(CASE WHEN p > 0 THEN substring(t, greatest(1, p - 50), least(length(t), p - 1 + 6 + 50) - greatest(1, p - 50) + 1) ELSE substring(t, 1, 100) END) AS context FROM y",
+    "broken_markup": f"SELECT page_id, CAST(length(t) AS BIGINT) AS chars, md5(t) AS text_md5 FROM (SELECT page_id, substring(CASE page_id % 3 WHEN 0 THEN {html_sql("replace(html, '</nav>', '')", "nav")} WHEN 1 THEN {html_sql("html")} ELSE {html_sql("replace(html, '</footer>', '')", "footer")} END, 1, 400000) AS t FROM pages) x",
     "html_to_text": f"SELECT page_id, CAST(length(t) AS BIGINT) AS chars, md5(t) AS text_md5 FROM (SELECT page_id, substring({_HTML}, 1, 400000) AS t FROM pages) x",
     "network_edges": f"WITH {NET_SQL}, m AS (SELECT CASE s WHEN 'FRANCE' THEN 'GERMANY' ELSE s END AS s, CASE t WHEN 'FRANCE' THEN 'GERMANY' ELSE t END AS t, ty, m FROM ne) SELECT s AS source, t AS target, ty AS type, count(*) AS weight, CAST(sum(m) AS BIGINT) AS mentions FROM m WHERE s <> t GROUP BY ALL",
     "network_nodes": f"WITH {NET_SQL}, m AS (SELECT unnest([s, t]) AS n FROM ne) SELECT id, CASE id WHEN 'CHINA' THEN 'index' ELSE 'company' END AS kind, count(*) AS weight FROM (SELECT CASE n WHEN 'FRANCE' THEN 'GERMANY' ELSE n END AS id FROM m) x GROUP BY id ORDER BY weight DESC, id LIMIT 10",

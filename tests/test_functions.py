@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,12 +60,43 @@ def test_markup(spark):
     assert one(spark, T.html_to_text(F.col("h")), h=page) == "One & two"
     assert one(spark, T.html_to_text(F.col("h"), max_chars=3), h=page) == "One"
     nested = "x<nav>a<nav>b<footer>f</footer></nav>c<NAV id=1>d</nav></nav>y<nav>open<script>" + "<b>s</b>" * 20_000 + "</script>z"
-    assert one(spark, T.html_to_text(F.col("h")), h=nested) == "x y open z"
+    assert one(spark, T.html_to_text(F.col("h")), h=nested) == "x y"  # the open nav lasts to the end of the page
     kinds = [("<p>x</p>", "text/html"), ("<p>x</p>", None), ("a  b", "text/plain"), ("{}", "application/json"), ("%PDF", "application/pdf"), (None, "text/html")]
     got = [one(spark, T.document_text(F.col("b"), F.col("k")), b=b, k=k) for b, k in kinds]
     assert [(g.text, g.status) for g in got] == [("x", "ok"), ("x", "ok"), ("a b", "ok"), ("{}", "ok"), ("", "unsupported"), ("", "error")]
 
 
+def test_broken_markup(spark):
+    read = lambda h: one(spark, T.html_to_text(F.col("h")), h=h)
+    cases = {
+        "<div><nav>a<b>b</div>c</nav>d": "c d",  # the container's end closes the open nav, the stray end does nothing
+        "<div><nav>a<div>b</div>c</nav>d</div>e": "d e",
+        "<body>a<footer>b<nav>c</footer>d</nav>e</body>f": "a d e f",
+        "a</nav></div>b": "a b",
+        "a<nav/>b<nav />c<nav-bar>d</nav-bar>": "a b c d",
+        "a<!-- <nav> -->b<!-- open <p>c": "a b",
+        "a<script>'</nav><script>'</script >b<style>c": "a b",
+        "a<script/>b": "a b",
+        "1 < 2 and 3 > 2 <p>x<a href='y": "1 < 2 and 3 > 2 x",
+        "<NOSCRIPT\n>a</noscript\t>b": "b",
+        "": "",
+    }
+    assert {h: read(h) for h in cases} == cases
+    assert read(None) == ""
+    assert one(spark, T.html_to_text(F.col("h"), hidden=("script",)), h="<nav>a</nav><script>b</script>") == "a"
+    assert one(spark, T.html_to_text(F.col("h"), hidden=("nav",)), h="<nav>a</nav><script>b</script>") == "b"
+
+
+def test_markup_in_time(spark):
+    """Pages that make a reading by repeated patterns quadratic: twice the page takes about twice the time."""
+    made = [lambda n: "<script>" * n + "x", lambda n: "<script>a</script>t " * n, lambda n: "<nav>" * n + "x", lambda n: "<nav>a</nav>t " * n, lambda n: "<a " * n, lambda n: "<!--" * n, lambda n: "<script " * n]
+    for page in made:
+        rows = spark.createDataFrame([(page(5_000),)] * 8, "h string").select(F.length(T.html_to_text(F.col("h"))).alias("n"))
+        start = time.perf_counter()
+        assert len({r.n for r in rows.collect()}) == 1
+        assert time.perf_counter() - start < 10
+
+
 def test_preflight(spark):
     reason = T.preflight_reason(F.col("e"), F.col("a"), F.col("k"))
     ask = lambda e, a, k: one(spark, reason, e=e, a=a, k=k)
