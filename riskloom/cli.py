@@ -15,6 +15,7 @@ from riskloom.plans.presets import load_settings
 from riskloom.session import get_spark
 from riskloom.sources import collectors as C
 from riskloom.sources import readers
+from riskloom.streaming.watch import watch
 
 
 def within(least: int, most: int):
@@ -33,7 +34,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--items", action="append", default=[], metavar="NAME=PATH", help="a collector: JSON lines of items (title, url, source, summary, published_at); without any, feeds and filings are read over HTTP")
     p.add_argument("--reports", default="reports")
     s = p.add_subparsers(dest="command", required=True)
-    for name in ("run", "watch", "report", "db-stats", "freshness", "build-site", "seed-lineage", "rebuild-observations"):
+    w = s.add_parser("watch", help="a streaming query over the feeds; recorded items are read anew each time")
+    w.add_argument("--once", action="store_true", help="one poll, then end")
+    for name in ("run", "report", "db-stats", "freshness", "build-site", "seed-lineage", "rebuild-observations"):
         s.add_parser(name)
     b = s.add_parser("backfill")
     b.add_argument("--years", type=within(1, 10), default=3)
@@ -68,16 +71,25 @@ def main(argv: list[str] | None = None, feed=None, filing=None, fetch=None) -> i
     settings = load_settings(a.config)
     # recorded items come without documents, unless a reader is given
     engine = Engine(spark, a.root, settings, fetch or (None if a.items else readers.document_reader(settings.agent)))
+
+    def told(out: dict, now) -> None:
+        engine.report(a.reports, now)
+        print(json.dumps(out | {"facts": engine.counts()["facts"]}))
+        for kind in ("degraded", "failed"):
+            if out[kind]:
+                print(f"{kind}: {', '.join(out[kind])}", file=sys.stderr)
+
+    if a.command == "watch" and not a.items:
+        feed, filing = feed or readers.feed_reader(settings.agent), filing or readers.filings_reader(settings.agent)
+        interval = None if a.once else f"{max(5, settings.poll_interval_minutes * 60)} seconds"
+        watch(engine, feed, filing, f"{a.root}/watch", interval, told).awaitTermination()
+        return 0
     if a.command in ("run", "watch", "backfill"):
         while True:
             now = utc_now()
             out = engine.run(collectors(engine, a, now, feed, filing), now, 0 if a.items else settings.request_delay_seconds)
-            engine.report(a.reports, now)
-            print(json.dumps(out | {"facts": engine.counts()["facts"]}))
-            for kind in ("degraded", "failed"):
-                if out[kind]:
-                    print(f"{kind}: {', '.join(out[kind])}", file=sys.stderr)
-            if a.command != "watch":
+            told(out, now)
+            if a.command != "watch" or a.once:
                 return int(bool(out["failed"]))
             time.sleep(max(5, engine.settings.poll_interval_minutes * 60))
     if a.command == "report":
