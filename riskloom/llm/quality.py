@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from riskloom.session import cut
 
 BUCKETS = 10_000
 MISSED = 0.02  # share of the trusted documents that the ratio's limit may miss, whatever the table's size
-RANKS = 10_000  # quantiles are exact to one in so many rows
+DIGITS = 4  # ratios of trusted texts are ranked by so many decimals: their quantiles are exact and the same on any partitions
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of words
 SYMBOLS = "#*$%&|<>"
@@ -108,26 +109,42 @@ def own_ratio(raw: list[int], target: list[int]) -> Column:
     return total / size - F.log(F.lit(float(sum(target) + len(raw))) - size) + math.log(sum(raw) + len(raw))
 
 
-def limits(docs: DataFrame, ids: DataFrame, raw: list[int], target: list[int], by: str = "lang", missed: float = MISSED) -> DataFrame:
-    """(``by``, q_limit): the least ratio at which a text of the group is kept.
+def limits(docs: DataFrame, ids: DataFrame, raw: list[int], target: list[int], scored: DataFrame, by: str = "lang", missed: float = MISSED) -> DataFrame:
+    """(``by``, q_limit): the least ratio at which a text of the group is kept, for each group of ``scored`` with a text that passes the base rules.
 
     A trusted text is compared as an unlabelled one is, with itself taken out of the target (``own_ratio``). A group's
     centre is the median of its trusted texts' ratios, so that how many labels a group has shifts nothing; below all
-    centres lies the same distance, the ``missed`` quantile of what trusted texts lie below theirs: the k-th least of
-    n, k = floor(missed * (n + 1)). A clean text is lost with a chance of about ``missed``, however large the table is.
-    A group without trusted texts has no row. If k is 0 (fewer than 1 / missed - 1 trusted texts pass the base rules),
-    no limit can promise that, and there are no rows.
+    centres lies the same distance, the ``missed`` quantile of what trusted texts lie below theirs. A clean text is lost
+    with a chance of about ``missed``, however large the table is.
+
+    Trusted texts may be few, so both lean on what all texts of the group (``scored``: their llr) say: on the mean for the centre, and for
+    the distance on the spread, as the ``missed`` quantile of a normal law. The weight of that is the chance that none of n trusted texts
+    lies below the quantile sought: 1 / 2 ^ n of the group's for the median, (1 - ``missed``) ^ n of all for the distance. So it is 1 without
+    trusted texts, fades as they come, and at no number does the rule change.
     """
     d = base_rules(docs.join(ids, F.col("doc_id") == F.col("q_id")).select(by, "text")).withColumn("q_f", features(len(raw)))
-    own = cut(d.select(by, "base_failed", own_ratio(raw, target).alias("q_own"))).filter("NOT base_failed")
-    n = own.count()
-    k = math.floor(missed * (n + 1))
-    centres = cut(own.groupBy(F.col(by).alias("q_by")).agg(F.percentile_approx("q_own", 0.5, RANKS).alias("q_centre")))
-    if not k:
-        return centres.filter("false").select(F.col("q_by").alias(by), F.col("q_centre").alias("q_limit"))
-    below = own.join(sized(centres), F.col(by).eqNullSafe(F.col("q_by"))).select((F.col("q_own") - F.col("q_centre")).alias("q_below"))
-    least = below.agg(F.percentile_approx("q_below", (k - 0.5) / n, RANKS)).first()[0]
-    return centres.select(F.col("q_by").alias(by), (F.col("q_centre") + least).alias("q_limit"))
+    own = cut(d.select(F.col(by).alias("q_by"), "base_failed", F.round(own_ratio(raw, target), DIGITS).alias("q_own"))).filter("NOT base_failed")
+    exact = lambda e: F.sum(e.cast("decimal(38,9)")).cast("double")
+    typical = scored.filter("NOT base_failed").groupBy(by).agg(F.count(F.lit(1)).alias("q_all"), exact(F.col("llr")).alias("q_sum"), exact(F.col("llr") * F.col("llr")).alias("q_squares"))
+    mean = F.col("q_sum") / F.col("q_all")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("q_squares") / F.col("q_all") - mean * mean))
+    middle = own.groupBy("q_by").agg(F.count(F.lit(1)).alias("q_n"), F.percentile("q_own", 0.5).alias("q_median"))
+    unsure = F.pow(F.lit(0.5), F.coalesce("q_n", F.lit(0)))
+    centre = unsure * mean + (1 - unsure) * F.coalesce("q_median", F.lit(0.0))
+    groups = cut(typical.join(middle, F.col(by).eqNullSafe(F.col("q_by")), "left").select(by, centre.alias("q_centre"), spread.alias("q_spread")))
+    centres = sized(groups.select(F.col(by).alias("c_by"), "q_centre"))
+    below = own.join(centres, F.col("q_by").eqNullSafe(F.col("c_by"))).select(F.round(F.col("q_own") - F.col("q_centre"), DIGITS).alias("q_below"))
+    n, least = below.agg(F.count(F.lit(1)), F.percentile("q_below", missed)).first()
+    weight = (1 - missed) ** n
+    distance = weight * NormalDist().inv_cdf(missed) * F.col("q_spread") + (1 - weight) * (least or 0.0)
+    return groups.select(by, (F.col("q_centre") + distance).alias("q_limit"))
+
+
+def decided(scored: DataFrame, limit: DataFrame) -> DataFrame:
+    """``scored``, which ``judge`` made, with kept as the limits of its groups (from ``limits``) have it."""
+    by = limit.columns[0]
+    d = scored.join(sized(cut(limit.select(F.col(by).alias("q_by"), "q_limit"))), F.col(by).eqNullSafe(F.col("q_by")), "left")
+    return d.select(*[F.col(c) for c in scored.columns if c != "kept"], (~F.col("base_failed") & F.coalesce(F.col("llr") >= F.col("q_limit"), F.lit(True))).alias("kept"))
 
 
 def judge(docs: DataFrame, weights: list[float], threshold: float | DataFrame | None = None) -> DataFrame:
@@ -157,5 +174,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     ids = trusted_ids(table(spark, sf_dir, "labels").filter("quality = 1"))
     raw, target = counted(docs, ids)
-    out = judge(docs, log_ratios(raw, target), limits(docs, ids, raw, target))
-    return out.drop("text", "lang")
+    scored = cut(judge(docs, log_ratios(raw, target)).drop("text"))
+    return decided(scored, limits(docs, ids, raw, target, scored)).drop("lang")
