@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import shielded, sized, table, word_count
@@ -13,6 +13,7 @@ SHARE = (3, 2)  # the mix takes 3/2 of all words
 MOST = 2  # copies of one document, and words of a source against its size
 ROWS_A_BUCKET = 10_000
 SEED = 20240501
+OFFSETS = 32  # random offsets of a source, of which the one whose words come nearest to the target is taken
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST) -> DataFrame:
@@ -52,8 +53,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     Systematic sampling: every document of a source expects target / source_size copies; their prefix sum
     over the source plus one random offset crosses an integer once for each copy emitted. Documents of a source go
     in order of size class (largest first), bucket, size and doc_id, so that copies are spread over
-    all sizes and the words taken miss the target by little more than one large document. The rank
-    in a source is the rank in a bucket plus the sizes of the buckets before it: no task holds a source.
+    all sizes. Of ``OFFSETS`` seeded offsets a source gets the one whose words come nearest to its target (ties: the first); the words of all are
+    summed in one pass. The rank in a source is the rank in a bucket plus the sizes of the buckets before it: no task holds a source. A
+    size class of a source has as many buckets as it has times ``ROWS_A_BUCKET`` rows.
 
     Null source: a source of its own, the last. Null or empty text: size 0, and copies as any other; a text of any length
     counts whole. Repeated rows and doc_ids: each row is a document; equal rows can swap places, and share a bucket. No rows:
@@ -61,29 +63,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     """
     inner, back = shielded(docs, "doc_id", "text", "source", made=MADE)
     inner = inner.withColumns({"mix_size": word_count(F.col("text")), "mix_key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return placed(inner, docs.count(), weights, share, most, seed).select(*back, *MADE)
+    return placed(inner, weights, share, most, seed).select(*back, *MADE)
 
 
-def placed(d: DataFrame, rows: int, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """``mix`` of ``rows`` rows that have doc_id, source, mix_size and mix_key, a hash of the text."""
-    k = max(1, -(-rows // ROWS_A_BUCKET))
+def placed(d: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """``mix`` of rows that have doc_id, source, mix_size and mix_key, a hash of the text."""
     # a name of the source that is never null: window and join then ask for the same distribution, and rows move once
     name = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    bucket = F.pmod(F.xxhash64("doc_id", "mix_key", F.lit(seed)), F.lit(k)).cast("int")
-    d = d.withColumns({"mix_name": name, "mix_class": F.floor(F.log2(F.col("mix_size") + 1)).cast("int"), "mix_bucket": bucket})
+    d = d.withColumns({"mix_name": name, "mix_class": F.floor(F.log2(F.col("mix_size") + 1)).cast("int")})
+    classes = cut(d.groupBy("source", "mix_name", "mix_class").agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("words")))
+    wanted = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most).withColumnsRenamed({"source": "b_source", "source_size": "mix_source_size", "target": "mix_target"})
+    parts = sized(cut(classes.select("mix_name", "mix_class", F.ceil(F.col("n") / ROWS_A_BUCKET).alias("mix_parts"))))
+    d = d.join(parts, ["mix_name", "mix_class"]).withColumn("mix_bucket", F.pmod(F.xxhash64("doc_id", "mix_key", F.lit(seed)), "mix_parts").cast("int")).drop("mix_parts")
     at = ["mix_name", "mix_class", "mix_bucket"]
-    buckets = cut(d.groupBy("source", *at).agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("words")))
-    wanted = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most).withColumnsRenamed({"source": "b_source", "source_size": "mix_source_size", "target": "mix_target"})
+    buckets = cut(d.groupBy("source", *at).agg(F.count(F.lit(1)).alias("n")))
     inside = Window.partitionBy("source").orderBy(F.col("mix_class").desc(), "mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = buckets.withColumn("b_ahead", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(wanted, F.col("source").eqNullSafe(F.col("b_source")))
     ahead = cut(ahead.select(*at, "b_ahead", "mix_source_size", "mix_target"))
     rank = F.row_number().over(Window.partitionBy(*at).orderBy(F.col("mix_size").desc(), F.col("doc_id").asc_nulls_last(), "mix_key"))
-    d = d.withColumn("mix_rank", rank).join(sized(ahead), at)
     expected = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     place = F.col("b_ahead") + F.col("mix_rank")
-    crossed = F.floor(place * expected + offset) - F.floor((place - 1) * expected + offset)
-    return d.withColumn("mix_copies", F.greatest(F.lit(0), F.least(crossed, F.lit(most))).cast("int"))
+
+    def crossed(offset: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.floor(place * expected + offset) - F.floor((place - 1) * expected + offset), F.lit(most))).cast("int")
+
+    def offset(i: Column) -> Column:
+        return F.pmod(F.xxhash64("mix_name", F.lit(seed), i), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    slim = d.select("doc_id", "mix_size", "mix_key", *at).withColumn("mix_rank", rank).join(sized(ahead), at)
+    words = [F.sum(F.col("mix_size") * crossed(offset(F.lit(i)))).alias(f"w{i}") for i in range(OFFSETS)]
+    sums = slim.groupBy("mix_name").agg(F.first("mix_target").alias("t"), *words)
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{i}") - F.col("t")).alias("miss"), F.lit(i).alias("i")) for i in range(OFFSETS)]))["i"]
+    chosen = ahead.join(cut(sums.select("mix_name", offset(nearest).alias("mix_offset"))), "mix_name")
+    d = d.withColumn("mix_rank", rank).join(sized(cut(chosen)), at)
+    return d.withColumn("mix_copies", crossed(F.col("mix_offset")))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -98,5 +111,5 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     slim = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("mix_size"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mix_key")))
-    out = placed(slim, slim.count())
+    out = placed(slim)
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken"), F.col("mix_copies").alias("copies"))
