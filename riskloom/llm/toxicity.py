@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,9 @@ EPOCHS, LEAST_STEPS, BATCH, STEP, SEED = 6, 300, 40, 4e-3, 5
 MOST_WINDOWS = 1_500  # windows of a step, whose states are kept in memory; a longer document makes a step by itself
 LEAST_SHARE = 3  # the rarer class is repeated until it is one in so many
 KNOWN_WORDS = 100_000  # words whose inputs a worker remembers
-CHUNK = 2048  # windows that run side by side
+WORDS = 4_000  # words whose inputs are made at a time
+CHUNK = 1024  # windows that run side by side
+PART = 500_000  # characters of text that a worker lays out at a time
 EDGE = b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum())
 
 
@@ -224,20 +227,25 @@ class Net:
         return seen, flat.reshape(ids.shape).T, span, sizes, vectors, scale, vectors @ self.p["wx"] + self.p["bx"]
 
     def scorer(self):
-        """A function from texts to scores; it remembers the inputs of words that it has met, up to KNOWN_WORDS."""
+        """A function from texts to scores; it remembers the inputs of words that it has met, up to KNOWN_WORDS. Texts are gone
+        through PART characters at a time, so its memory depends on the longest text alone."""
         vocab: dict[bytes, int] = {b"": 0}
-        held = [self.projected([b""])]
+        held = [np.empty((KNOWN_WORDS * 5 // 4, 6 * HIDDEN), np.float32)]  # memory is only taken for the rows that are filled
+        held[0][:1] = self.projected([b""])
 
-        def score(texts: list[str | None]) -> np.ndarray:
+        def part_score(texts: list[str | None]) -> np.ndarray:
             out = np.zeros(len(texts))
             if len(vocab) > KNOWN_WORDS:
                 vocab.clear()
                 vocab[b""] = 0
-                held[:] = [held[0][:1]]
             known, put = len(vocab), vocab.setdefault
             docs = [np.array([put(w, len(vocab)) for w in tokens(t)], np.int32) for t in texts]
-            if len(vocab) > known:
-                held[:] = [np.concatenate([*held, self.projected(list(vocab)[known:])])]
+            if len(vocab) > len(held[0]):
+                held[0] = np.concatenate([held[0][:known], np.empty((len(vocab) - known, 6 * HIDDEN), np.float32)])
+            new = list(itertools.islice(vocab, known, None))
+            for i in range(0, len(new), WORDS):
+                some = new[i : i + WORDS]
+                held[0][known + i : known + i + len(some)] = self.projected(some)
             ids, owner = laid_out(docs)
             logit = np.concatenate([self.run(held[0][ids[i : i + CHUNK].T], ids[i : i + CHUNK].T > 0) for i in range(0, len(ids), CHUNK)] or [np.zeros(0, np.float32)])
             if len(ids):
@@ -245,6 +253,16 @@ class Net:
                 out[owner[edges]] = sigmoid(np.maximum.reduceat(logit, edges).astype(float))
             return out
 
+        def score(texts: Iterable[str | None]) -> np.ndarray:
+            out, part, size = [], [], 0
+            for t in texts:
+                part.append(t)
+                size += len(t or "")
+                if size > PART:
+                    out.append(part_score(part))
+                    part, size = [], 0
+            return np.concatenate([*out, part_score(part)])
+
         return score
 
 
@@ -283,20 +301,11 @@ def toxicity(docs: DataFrame, net: Net) -> DataFrame:
     their text's score. No rows: no rows. A column named score is overwritten, all others are kept.
     """
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = net.scorer()
         for texts in batches:
-            # a few megabytes of text at a time, whatever the batch holds
-            out, part, size = [], [], 0
-            for t in texts:
-                part.append(t if isinstance(t, str) else None)
-                size += len(part[-1] or "")
-                if size > 2_000_000:
-                    out.append(score(part))
-                    part, size = [], 0
-            out.append(score(part))
-            yield pd.Series(np.concatenate(out))
+            yield pa.array(score(t.as_py() for t in texts))
 
     inner, back = shielded(docs, "text", made=["score"])
     return inner.select(*back, scored(F.col("text")).alias("score"))

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -394,6 +395,19 @@ def test_inputs_of_a_word_don_t_depend_on_its_neighbours():
     assert word[1] == word[5] and len(set(word.tolist())) == 5
 
 
+def test_toxicity_scores_many_texts_in_little_memory():
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(500)) for _ in range(700)]
+    score = toxicity.Net().scorer()
+    score(texts[:1])
+    tracemalloc.start()
+    many = score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 35e6
+    assert np.allclose(many, [x for t in texts for x in score([t])], atol=1e-6)
+
+
 def test_toxicity_sample_is_bounded_and_never_held_out(spark, toxic_tables):
     d, docs = toxic_tables
     tables = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
