@@ -327,8 +327,10 @@ def _q_names(s, d):
 
 def _q_sessions(s, d):
     e = fin_events(s, d).withColumn("amount", F.lit(None).cast("double"))
-    m = X.merge_spans(X.spans(e), 2)
-    return m.select("event_type", "source_entity", "target_entity", F.date_format("first", "yyyy-MM-dd").alias("first"), F.date_format("last", "yyyy-MM-dd").alias("last"), "mentions")
+    # as in the SQL, an undated mention is near no other and stays alone, and a source that is missing stays null
+    alone = e.filter("processed_at IS NULL").selectExpr("event_type", "source_entity", "COALESCE(target_entity, '') AS target_entity", "CAST(NULL AS DATE) AS first", "CAST(NULL AS DATE) AS last", "1L AS mentions")
+    m = X.merge_spans(X.spans(e.filter("processed_at IS NOT NULL")), 2).withColumn("source_entity", F.nullif("source_entity", F.lit("")))
+    return m.select(alone.columns).unionAll(alone).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first", "last")})
 
 
 QUERIES = {

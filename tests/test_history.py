@@ -13,6 +13,7 @@ from riskloom.operators import reads as R
 from riskloom.operators import review as V
 from riskloom.operators import sessions as X
 from riskloom.operators import state
+from riskloom.queries import ORACLE, QUERIES
 from riskloom.streaming import mentions as L
 
 START = datetime(2025, 1, 1)
@@ -132,6 +133,35 @@ def test_spans_merge_in_any_order_of_batches(spark):
     assert sorted(map(tuple, stored.collect())) == whole
 
 
+def tables(spark, path, rows):
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{path}/events.parquet")
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    return sorted(map(str, map(tuple, QUERIES["gap_facts"](spark, str(path)).collect())))
+
+
+def test_gap_facts_of_missing_values_equal_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    day = lambda d: datetime(2024, 1, d, 9)
+    undated = [(i, None, u, "A", 1.0) for i, u in ((1, 3), (2, 3), (3, None), (4, None))]
+    nobody = [(i, day(d), None, k, 1.0) for i, d, k in ((5, 1, "A"), (6, 3, "A"), (7, 8, "A"), (8, 1, None), (9, 2, None))]
+    others = [(i, day(d), u, k, 1.0) for i, d, u, k in ((10, 1, 3, "A"), (12, 4, 3, "A"), (22, 1, 3, "A"), (33, 3, 3, "A"), (13, 1, 3, ""), (14, 1, -5, None), (None, 9, 3, "B"))]
+    got = tables(spark, tmp_path, undated + nobody + others)
+    con = duckdb.connect()
+    for t in ("events", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    # no key has two mentions of one day, so the SQL leaves no tie open
+    assert got == sorted(map(str, con.sql(ORACLE["gap_facts"]).fetchall()))
+    assert got.count("('A', 'u3', 'u3', None, None, 1)") == 2
+
+
+def test_a_day_of_many_mentions_is_in_one_span(spark, tmp_path):
+    days = [19] + [23] * 40 + [25] * 9 + [28] * 5
+    rows = [(11 * i + 1, datetime(2024, 1, d, i % 24), 2, "A", 1.0) for i, d in enumerate(days)]
+    random.Random(5).shuffle(rows)
+    want = [("19", "19", 1), ("23", "25", 49), ("28", "28", 5)]
+    assert tables(spark, tmp_path, rows) == [str(("A", "u2", "u2", f"2024-01-{a}", f"2024-01-{b}", n)) for a, b, n in want]
+
+
 def fed(spark, tmp_path, parts, schema):
     for i, rows in enumerate(parts):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
